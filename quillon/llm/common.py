@@ -43,6 +43,12 @@ def if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def bounded(df: DataFrame, what: str) -> DataFrame:
+    """Store df; joins broadcast it if its measured rows are few, and shuffle it else."""
+    df = stored(df, what)
+    return if_small(df, df.count())
+
+
 def held_out(doc_id: str | Column, modulus: int, remainder: int) -> Column:
     """True where crc32 of the id's text leaves the remainder; ids that are null are never held out."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -8,11 +8,12 @@ and pairs under 0.3 almost never meet.
 
 Texts with the same set collapse to one class first. In a bucket (texts with
 one band in common) every class is compared with the bucket's smallest id
-only, which is linear in the bucket. Verified links merge classes into
-components; a later round compares what is still split within a bucket with
-further leaders and at last pairwise, so no pair that shares a bucket is left
-untested unless both ends are already in one component. Each test is made on
-the full shingle sets.
+only, which is linear in the bucket, and verified links merge classes into
+components. Buckets that still hold several components are compared in full:
+cut into blocks of bounded size, each pair of blocks weighs its members'
+one-byte sketches of the signature, and pairs of different components whose
+estimate reaches 0.1 (four standard errors) under the threshold go on. Every
+link is confirmed on the full shingle sets.
 
 Defined cases: null, empty and blank texts have no shingles and link with
 nothing; fewer words than a shingle make the whole sequence one shingle;
@@ -29,12 +30,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, if_small, stored
+from .common import bounded, stored
 from .shingles import mix64, shingle_sets
 
 BANDS, ROWS = 48, 6
-#: Cross pairs that may be written out at once, as a multiple of the classes that share a bucket.
-PAIRS_FACTOR = 4
+#: Members of a block; two blocks meet in one group of at most twice as many rows.
+BLOCK = 256
+#: How far under the threshold a sketch's estimate may fall, in parts of the whole.
+SLACK = 0.1
 #: Bytes of text that one vectorised step takes.
 STEP_BYTES = 4 << 20
 
@@ -54,13 +57,14 @@ def encode(series: pd.Series) -> list[bytes]:
     return [t.encode() if isinstance(t, str) else b"" for t in series.tolist()]
 
 
-def signatures(hashes: np.ndarray, counts: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """Band keys, one row for each text that has shingles."""
+def signatures(hashes: np.ndarray, counts: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys and one byte of every signature value, one row for each text that has shingles."""
     starts = (np.cumsum(counts) - counts)[counts > 0]
     values = bands * rows
     rng = np.random.default_rng(20_240_607)
     multipliers = rng.integers(1, 1 << 63, size=(values + 1) // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     keys = np.zeros((len(starts), bands), dtype=np.uint64)
+    sketch = np.zeros((len(starts), values), dtype=np.uint8)
     image = np.empty(len(hashes), dtype=np.uint64)
     spare = np.empty(len(hashes), dtype=np.uint64)
     for p, m in enumerate(multipliers):
@@ -71,12 +75,14 @@ def signatures(hashes: np.ndarray, counts: np.ndarray, bands: int = BANDS, rows:
         for k, extreme in ((2 * p, np.minimum), (2 * p + 1, np.maximum)):
             if k < values:
                 band = k // rows
-                keys[:, band] = mix64(keys[:, band] + extreme.reduceat(image, starts) + np.uint64(band + 1))
-    return keys
+                value = mix64(extreme.reduceat(image, starts))
+                sketch[:, k] = value & np.uint64(255)
+                keys[:, band] = mix64(keys[:, band] + value + np.uint64(band + 1))
+    return keys, sketch
 
 
 def profile(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, rows: int) -> DataFrame:
-    """One row a text: id, n_shingles, a 128-bit fingerprint of the set, and the band keys."""
+    """One row a text: id, n_shingles, a 128-bit fingerprint of the set, the band keys and the sketch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -87,16 +93,17 @@ def profile(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: in
                 starts = (np.cumsum(counts) - counts)[full]
                 lo = np.zeros(b - a, dtype=np.uint64)
                 hi = np.zeros(b - a, dtype=np.uint64)
-                out = [None] * (b - a)
+                out, sketches = [None] * (b - a), [None] * (b - a)
                 if len(starts):
                     lo[full] = np.add.reduceat(mix64(hashes), starts)
                     hi[full] = np.add.reduceat(mix64(hashes ^ np.uint64(0x5851F42D4C957F2D)), starts)
-                    for k, row in zip(np.flatnonzero(full), signatures(hashes, counts, bands, rows).view(np.int64), strict=True):
-                        out[k] = row
-                yield pd.DataFrame({"id": pdf["id"].iloc[a:b].array, "n_shingles": counts, "lo": lo.view(np.int64), "hi": hi.view(np.int64), "bands": out})
+                    keys, sketch = signatures(hashes, counts, bands, rows)
+                    for k, row, own in zip(np.flatnonzero(full), keys.view(np.int64), sketch, strict=True):
+                        out[k], sketches[k] = row, own.tobytes()
+                yield pd.DataFrame({"id": pdf["id"].iloc[a:b].array, "n_shingles": counts, "lo": lo.view(np.int64), "hi": hi.view(np.int64), "bands": out, "sketch": sketches})
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(
-        run, "id long, n_shingles long, lo long, hi long, bands array<long>"
+        run, "id long, n_shingles long, lo long, hi long, bands array<long>, sketch binary"
     )
 
 
@@ -128,6 +135,40 @@ def verify(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
     return linked(pairs.join(b, "b").join(a, "a"), shingle, percent)
 
 
+def likely(state: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components whose sketches agree enough.
+
+    state: bucket, n (members), id, component, sketch. A bucket's members are
+    dealt over blocks of about BLOCK, and each pair of blocks is one group, so
+    no group grows with its bucket.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    placed = state.withColumn("blocks", blocks).withColumn("own", own)
+    met = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "sketch")
+    least = percent / 100 - SLACK
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        left, right = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        x = np.frombuffer(b"".join(left["sketch"]), dtype=np.uint8).reshape(len(left), -1)
+        y = np.frombuffer(b"".join(right["sketch"]), dtype=np.uint8).reshape(len(right), -1)
+        ids, comps = right["id"].to_numpy(), right["component"].to_numpy()
+        found = []
+        for row, one, comp in zip(x, left["id"], left["component"], strict=True):
+            same = (y == row).mean(axis=1)
+            good = ((same - 1 / 256) / (1 - 1 / 256) >= least) & (comps != comp)
+            if i == j:
+                good &= ids > one
+            found += [(min(one, o), max(one, o)) for o in ids[good]]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return met.groupBy("bucket", "i", "j").applyInPandas(run, "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id that an edge (a, b) names; the component is the smallest id reachable.
 
@@ -138,79 +179,58 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = bounded(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stored(large.unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).distinct(), "edges")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = bounded(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
-        now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    ).groupBy("id").agg(F.min("component").alias("component"))
+    every = now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")))
+    return every.distinct()
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
     """One row a document: id, n_shingles, component (smallest id reachable over links), kept."""
+    key = ["n_shingles", "lo", "hi"]
     sets = stored(profile(docs, id_col, text_col, shingle, bands, rows), "sets")
-    classes = sets.where("n_shingles > 0 and id is not null").groupBy("n_shingles", "lo", "hi").agg(F.min("id").alias("rep"))
-    reps = classes.select(F.col("rep").alias("id"))
-    banded = sets.where("n_shingles > 0 and id is not null").join(classes.select(F.col("rep").alias("id"), "n_shingles", "lo", "hi"), ["id", "n_shingles", "lo", "hi"], "left_semi")
-    banded = banded.dropDuplicates(["id"]).select("id", F.posexplode("bands").alias("band", "hash")).select("id", F.xxhash64("band", "hash").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stored(banded.join(shared.select("bucket", "leader"), "bucket"), "members")
-    inside = members.select("id").distinct()
-    n_inside = inside.count()
+    full = sets.where("n_shingles > 0 and id is not null")
+    classes = bounded(full.groupBy(*key).agg(F.min("id").alias("rep")), "classes")
+    reps = full.join(classes, key).where("id = rep").select("id", "bands", "sketch")
+    reps = stored(reps.dropDuplicates(["id"]), "reps")
+    banded = reps.select("id", F.posexplode("bands").alias("band", "hash")).select("id", F.xxhash64("band", "hash").alias("bucket"))
+    shared = stored(banded.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    members = stored(banded.join(shared, "bucket"), "members")
+    inside = bounded(members.select("id").distinct(), "inside")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = stored(texts.join(if_small(inside, n_inside), "id", "left_semi").dropDuplicates(["id"]), "texts")
-
-    links = stored(verify(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), texts, shingle, percent), "links")
-    comps = stored(components(links), "components")
-    tried = members.select("bucket", F.col("leader").alias("head")).distinct()
-    while n_inside:
-        label = F.coalesce("component", "id").alias("component")
-        state = members.select("bucket", "id").join(comps, "id", "left").select("bucket", "id", label)
-        sizes = state.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("low"))
-        split = stored(
-            sizes.groupBy("bucket").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("sq"), F.count(F.lit(1)).alias("parts")).where("parts > 1"),
-            "split",
-        )
-        left = split.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2), F.lit(0.0))).first()
-        if not left[0]:
-            break
-        state = stored(state.join(split.select("bucket"), "bucket", "left_semi"), "state")
-        last = left[1] <= PAIRS_FACTOR * max(n_inside, 100_000)
-        if last:
-            other = state.select("bucket", F.col("id").alias("b"), F.col("component").alias("of"))
-            pairs = state.withColumnRenamed("id", "a").join(other, "bucket").where("component <> of and a < b").select("a", "b").distinct()
-        else:  # one more leader in each bucket: the smallest id that has not been one
-            heads = state.join(tried.withColumnRenamed("head", "id"), ["bucket", "id"], "left_anti").groupBy("bucket").agg(F.min(F.struct("id", "component")).alias("h"))
-            heads = stored(heads.select("bucket", F.col("h.id").alias("head"), F.col("h.component").alias("of")), "heads")
-            tried = stored(tried.unionByName(heads.select("bucket", "head")), "tried")
-            pairs = state.join(heads, "bucket").where("component <> of").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
-        fresh = verify(pairs, texts, shingle, percent)
-        links = stored(links.unionByName(fresh), "links")
-        comps = stored(components(links), "components")
-        if last:
-            break
-
-    of_class = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "lo", "hi", F.coalesce("component", "rep").alias("component"))
-    out = sets.select("id", "n_shingles", "lo", "hi")
-    full = out.where("n_shingles > 0").join(of_class, ["n_shingles", "lo", "hi"], "left")
-    empty = out.where("n_shingles = 0").withColumn("component", F.col("id"))
-    result = full.select("id", "n_shingles", "component").unionByName(empty.select("id", "n_shingles", "component"))
+    texts = stored(texts.join(inside, "id", "left_semi").dropDuplicates(["id"]), "texts")
+
+    pairs = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    links = stored(verify(pairs, texts, shingle, percent), "links")
+    labels = bounded(components(links), "labels")
+    state = members.join(labels, "id", "left").select("bucket", "n", "id", F.coalesce("component", "id").alias("component"))
+    state = stored(state, "state")
+    split = bounded(state.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket"), "split")
+    state = state.join(split, "bucket", "left_semi").join(reps.select("id", "sketch"), "id")
+    more = stored(verify(stored(likely(state, percent), "likely"), texts, shingle, percent), "links")
+    labels = bounded(components(links.unionByName(more)), "labels")
+
+    of_class = classes.join(labels, classes["rep"] == labels["id"], "left").select(*key, F.coalesce("component", "rep").alias("component"))
+    of_class = bounded(of_class, "of_class")
+    found = sets.where("n_shingles > 0").join(of_class, key, "left").select("id", "n_shingles", "component")
+    empty = sets.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return result.select("id", "n_shingles", component.alias("component"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    result = found.unionByName(empty).select("id", "n_shingles", component.alias("component"))
+    return result.withColumn("kept", F.coalesce(F.col("component") == F.col("id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The documents whose id names their component; rows that repeat a kept id all stay."""
     key = options.get("id_col", "doc_id")
-    gone = stored(near_duplicates(docs, **options).where("not kept").select(F.col("id").alias("__gone")).distinct(), "gone")
-    few = gone.limit(BROADCAST_ROWS + 1).count()
-    return docs.join(if_small(gone, few), F.col(key).cast("long") == F.col("__gone"), "left_anti")
+    gone = bounded(near_duplicates(docs, **options).where("not kept").select(F.col("id").alias("__gone")).distinct(), "gone")
+    return docs.join(gone, F.col(key).cast("long") == F.col("__gone"), "left_anti")
