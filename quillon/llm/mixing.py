@@ -4,7 +4,8 @@ Every document gets an exponential key, -ln(u) / weight, with u from a hash of
 its id and text and weight its quality; within a source, documents in key order
 are a weighted sample without replacement. A source whose target exceeds its
 size first gives complete epochs; the rest of its target is taken from the
-front of its key order by prefix sums.
+front of its key order by prefix sums, and the one document across the target
+in part.
 
 The order is never sorted as a whole. Keys fall into bins, as many for a
 source as the root of its rows, and bins' sums are prefix-summed; only the rows of the
@@ -14,13 +15,13 @@ third of all rows nor any other needs a task of its own size.
 Defined cases: null and empty texts have size 0 and are taken 0 times; a null
 source is a source of its own, weighed last; repeated rows tie on the key and
 are ordered by row; a source without words has target 0; if every source
-reaches its cap, targets are the caps; null or non-positive quality counts as
-FLOOR; other columns are ignored.
+reaches its cap, targets are the caps; a document without a weight counts as
+USUAL, one under FLOOR as FLOOR; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, bounded, stored, unit_hash
@@ -28,6 +29,8 @@ from .common import WORD, bounded, stored, unit_hash
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3.0
 FLOOR = 0.05
+#: Weight of a document that has none.
+USUAL = 0.6
 
 
 def fill(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WEIGHTS, most: float = MOST_EPOCHS) -> dict[str | None, float]:
@@ -50,21 +53,24 @@ def fill(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WEIGH
 
 
 def mix(
-    docs: DataFrame, quality: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST_EPOCHS, seed: int = 5
+    docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST_EPOCHS, seed: int = 5
 ) -> DataFrame:
-    """One row a document: id, source, size, source_size, target, taken."""
+    """One row a document: id, source, size, source_size, target, taken. quality: (id, weight), one row an id."""
     spark = docs.sparkSession
-    weight = F.lit(1.0) if quality is None else F.greatest(F.coalesce(quality.cast("double"), F.lit(FLOOR)), F.lit(FLOOR))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     u = unit_hash(F.col(id_col).cast("string"), text, seed=seed)
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"),
         F.col(source_col).cast("string").alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        (-F.log(u) / weight).alias("key"),
+        (-F.log(u)).alias("key"),
         F.monotonically_increasing_id().alias("row"),
     )
     rows = stored(rows, "keys")
+    if quality is not None:
+        rated = bounded(quality.select("id", "weight").where("id is not null").dropDuplicates(["id"]), "quality")
+        weight = F.greatest(F.coalesce(F.col("weight").cast("double"), F.lit(USUAL)), F.lit(FLOOR))
+        rows = stored(rows.join(rated, "id", "left").withColumn("key", F.col("key") / weight).drop("weight"), "weighted")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"), F.sum("key").alias("keys"))
     totals = bounded(totals, "totals")
     sources = [(r["source"], r["source_size"]) for r in totals.select("source", "source_size").toLocalIterator()]
@@ -89,7 +95,8 @@ def mix(
     whole = known.where(~cut).withColumn("extra", F.when(F.col("before") + F.col("words") <= F.col("rest"), F.col("size")).otherwise(F.lit(0)))
     order = Window.partitionBy("source").orderBy("key", "id", "row")
     inside = known.where(cut).withColumn("ends", F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    # the document across the target is taken if that comes nearer to it
-    inside = inside.withColumn("extra", F.when(F.col("ends") - F.col("size") / 2 <= F.col("rest"), F.col("size")).otherwise(F.lit(0))).drop("ends")
+    # the one document that lies across the target is taken in part
+    part = F.least(F.greatest(F.floor(F.col("rest") - (F.col("ends") - F.col("size"))), F.lit(0)), F.col("size")).cast("long")
+    inside = inside.withColumn("extra", part).drop("ends")
     both = whole.unionByName(inside)
     return both.select("id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("extra")).alias("taken"))

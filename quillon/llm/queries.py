@@ -7,8 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import held_out, table
+from .decontaminate import leaks
+from .exact_dedup import exact_duplicates
+from .langid import identify_languages
+from .masked_lm import score_documents, train
 from .minmax_dedup import near_duplicates
+from .mixing import mix
+from .pfp_dedup import remove_repeats
+from .quality_cnn import PIECE, Network, score_quality
+from .quality_cnn import SAMPLE_DOCS as QUALITY_DOCS
+from .toxicity import Model, fit, sampled, score_toxicity
+from .toxicity import PIECE as TOXIC_PIECE
+from .toxicity import SAMPLE_DOCS as TOXIC_DOCS
+from .warc import archived
 
 
 def op1_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +28,84 @@ def op1_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
 
 
+def op2_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0))
+    network = Network().fit(sampled(docs, labels, "quality", "doc_id", "text", QUALITY_DOCS, PIECE))
+    scored = score_quality(docs, network)
+    return scored.select(F.col("id").alias("doc_id"), held_out("id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op3_pfp_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0))
+    return fit(sampled(docs, labels, "toxic", "doc_id", "text", TOXIC_DOCS, TOXIC_PIECE))
+
+
+def op4_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, toxicity_model(spark, docs, sf_dir))
+    return scored.select(F.col("id").alias("doc_id"), held_out("id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_passages")
+
+
+def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents weigh 1 or a quarter."""
+    return table(spark, sf_dir, "labels").select(F.col("doc_id").cast("long").alias("id"), F.when(F.col("quality") == 1, 1.0).when(F.col("quality") == 0, 0.25).alias("weight"))
+
+
+def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"), quality_weights(spark, sf_dir))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
+
+
+def op6_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, train(docs)).withColumnRenamed("id", "doc_id")
+
+
+def op7_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = archived(table(spark, sf_dir, "pages"))
+    return records.where("record_type is not null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_duplicates(table(spark, sf_dir, "documents"), digest_all=True)
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op9_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    predicted = identify_languages(docs, ~held_out("doc_id", 4, 2))
+    return predicted.select(F.col("id").alias("doc_id"), held_out("id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "n_windows", "item_windows", "reparameterised")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minmax_near_dedup": op1_minmax_near_dedup,
+    "op2_quality_cnn": op2_quality_cnn,
+    "op3_pfp_repeats": op3_pfp_repeats,
+    "op4_segment_toxicity": op4_segment_toxicity,
+    "op5_mixture": op5_mixture,
+    "op6_masked_lm": op6_masked_lm,
+    "op7_warc_salvage": op7_warc_salvage,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op9_cross_parsing": op9_cross_parsing,
+    "op10_template_leaks": op10_template_leaks,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_exact_dedup": r"""
+        WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
+        g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
+        SELECT doc_id, keep_id, group_size, row_number() OVER (PARTITION BY norm ORDER BY doc_id) = 1 AS kept, sha256(norm) AS text_sha256
+        FROM t JOIN g USING (norm)
+    """,
+}
