@@ -138,15 +138,16 @@ def verify(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
 def likely(state: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of one bucket and different components whose sketches agree enough.
 
-    state: bucket, n (members), id, component, sketch. A bucket's members are
-    dealt over blocks of about BLOCK, and each pair of blocks is one group, so
-    no group grows with its bucket.
+    state: bucket, band, n (members), id, component, bands, sketch. A bucket's
+    members are dealt over blocks of about BLOCK, and each pair of blocks is one
+    group, so no group grows with its bucket. Texts that share several bands
+    are paired in the first one only.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     placed = state.withColumn("blocks", blocks).withColumn("own", own)
     met = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = met.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "sketch")
+    met = met.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "id", "component", "bands", "sketch")
     least = percent / 100 - SLACK
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -157,40 +158,56 @@ def likely(state: DataFrame, percent: int) -> DataFrame:
         x = np.frombuffer(b"".join(left["sketch"]), dtype=np.uint8).reshape(len(left), -1)
         y = np.frombuffer(b"".join(right["sketch"]), dtype=np.uint8).reshape(len(right), -1)
         ids, comps = right["id"].to_numpy(), right["component"].to_numpy()
+        band, mine, theirs = pdf["band"].iloc[0], np.stack(left["bands"].tolist()), np.stack(right["bands"].tolist())
         found = []
-        for row, one, comp in zip(x, left["id"], left["component"], strict=True):
+        for row, keys, one, comp in zip(x, mine, left["id"], left["component"], strict=True):
             same = (y == row).mean(axis=1)
             good = ((same - 1 / 256) / (1 - 1 / 256) >= least) & (comps != comp)
             if i == j:
                 good &= ids > one
-            found += [(min(one, o), max(one, o)) for o in ids[good]]
+            k = np.flatnonzero(good)
+            k = k[(theirs[k, :band] != keys[:band]).all(axis=1)]
+            found += [(min(one, o), max(one, o)) for o in ids[k]]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return met.groupBy("bucket", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component) for every id that an edge (a, b) names; the component is the smallest id reachable.
+def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(id, component) for every id that is not its component's smallest; edges are (a, b).
 
-    Alternates large-star and small-star steps. Each is a join and an
-    aggregate over the edges, so a component of any size stays spread out.
+    Rounds of hooking (every id to its smallest neighbour), pointer jumping
+    and contraction, each a join or a partial aggregate, so a component of any
+    size stays spread out. known: labels of edges handled before.
     """
-    now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
+
+    def mapped(pairs: DataFrame, to: DataFrame) -> DataFrame:
+        for side in ("u", "v"):
+            pairs = pairs.join(to.select(F.col("id").alias(side), "component"), side, "left").withColumn(side, F.coalesce("component", side)).drop("component")
+        return pairs
+
+    left = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    left = mapped(left, known) if known is not None else left
+    labels = known
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = bounded(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(large.unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).distinct(), "edges")
-        low = bounded(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    every = now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")))
-    return every.distinct()
+        left = stored(left.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        if left.isEmpty():
+            return labels if labels is not None else left.select(F.col("u").alias("id"), F.col("v").alias("component"))
+        parent = bounded(left.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id"), "parents")
+        while True:
+            above = parent.select(F.col("id").alias("component"), F.col("component").alias("top"))
+            parent = bounded(parent.join(above, "component", "left").select("id", F.coalesce("top", "component").alias("component"), F.col("top").isNotNull().alias("moved")), "parents")
+            moved = not parent.where("moved").isEmpty()
+            parent = parent.select("id", "component")
+            if not moved:
+                break
+        if labels is not None:
+            above = parent.select(F.col("id").alias("component"), F.col("component").alias("top"))
+            older = labels.join(above, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+            labels = bounded(older.unionByName(parent), "labels")
+        else:
+            labels = parent
+        left = mapped(left, parent)
 
 
 def near_duplicates(
@@ -203,7 +220,7 @@ def near_duplicates(
     classes = bounded(full.groupBy(*key).agg(F.min("id").alias("rep")), "classes")
     reps = full.join(classes, key).where("id = rep").select("id", "bands", "sketch")
     reps = stored(reps.dropDuplicates(["id"]), "reps")
-    banded = reps.select("id", F.posexplode("bands").alias("band", "hash")).select("id", F.xxhash64("band", "hash").alias("bucket"))
+    banded = reps.select("id", F.posexplode("bands").alias("band", "hash")).select("id", "band", F.xxhash64("band", "hash").alias("bucket"))
     shared = stored(banded.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
     members = stored(banded.join(shared, "bucket"), "members")
     inside = bounded(members.select("id").distinct(), "inside")
@@ -212,13 +229,13 @@ def near_duplicates(
 
     pairs = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     links = stored(verify(pairs, texts, shingle, percent), "links")
-    labels = bounded(components(links), "labels")
-    state = members.join(labels, "id", "left").select("bucket", "n", "id", F.coalesce("component", "id").alias("component"))
+    labels = components(links)
+    state = members.join(labels, "id", "left").select("bucket", "band", "n", "id", F.coalesce("component", "id").alias("component"))
     state = stored(state, "state")
     split = bounded(state.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket"), "split")
-    state = state.join(split, "bucket", "left_semi").join(reps.select("id", "sketch"), "id")
+    state = state.join(split, "bucket", "left_semi").join(reps, "id")
     more = stored(verify(stored(likely(state, percent), "likely"), texts, shingle, percent), "links")
-    labels = bounded(components(links.unionByName(more)), "labels")
+    labels = components(more, labels)
 
     of_class = classes.join(labels, classes["rep"] == labels["id"], "left").select(*key, F.coalesce("component", "rep").alias("component"))
     of_class = bounded(of_class, "of_class")
