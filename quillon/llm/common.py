@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if its measured rows stay under this.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 
 #: ASCII whitespace, as every contract on words defines it.
 SPACE = r"[\x20\x09-\x0D]"
@@ -49,6 +49,15 @@ def bounded(df: DataFrame, what: str) -> DataFrame:
     return if_small(df, df.count())
 
 
+def id_text(name: str) -> Column:
+    """An id as text: pandas would turn a long column with nulls into floats."""
+    return F.col(name).cast("long").cast("string").alias("id")
+
+
+def id_back(df: DataFrame) -> DataFrame:
+    return df.withColumn("id", F.col("id").cast("long"))
+
+
 def held_out(doc_id: str | Column, modulus: int, remainder: int) -> Column:
     """True where crc32 of the id's text leaves the remainder; ids that are null are never held out."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

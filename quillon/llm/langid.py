@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import id_back, id_text
+
 SAMPLE_DOCS = 200
 PIECE = 2_000
 TRAIN_CHARS = 32_768
@@ -179,4 +181,4 @@ def identify_languages(docs: DataFrame, train: Column, id_col: str = "doc_id", t
             pred, score = identify([t if isinstance(t, str) else None for t in pdf["text"].tolist()], samples)
             yield pd.DataFrame({"id": pdf["id"].array, "lang_pred": pred, "score": score})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "id long, lang_pred string, score double")
+    return id_back(docs.select(id_text(id_col), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "id string, lang_pred string, score double"))

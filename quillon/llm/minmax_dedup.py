@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, stored
+from .common import bounded, id_back, id_text, stored
 from .shingles import mix64, shingle_sets
 
 BANDS, ROWS = 48, 6
@@ -102,9 +102,8 @@ def profile(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: in
                         out[k], sketches[k] = row, own.tobytes()
                 yield pd.DataFrame({"id": pdf["id"].iloc[a:b].array, "n_shingles": counts, "lo": lo.view(np.int64), "hi": hi.view(np.int64), "bands": out, "sketch": sketches})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(
-        run, "id long, n_shingles long, lo long, hi long, bands array<long>, sketch binary"
-    )
+    source = docs.select(id_text(id_col), F.col(text_col).cast("string").alias("text"))
+    return id_back(source.mapInPandas(run, "id string, n_shingles long, lo long, hi long, bands array<long>, sketch binary"))
 
 
 def linked(pairs: DataFrame, shingle: int, percent: int) -> DataFrame:

@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import id_back, id_text
+
 SAMPLE_DOCS = 4_000
 PIECE = 16_000
 TRAIN_CHUNKS = 6
@@ -178,4 +180,4 @@ def score_quality(docs: DataFrame, network: Network, id_col: str = "doc_id", tex
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["id"].array, "score": network.scores([t if isinstance(t, str) else None for t in pdf["text"].tolist()])})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "id long, score double")
+    return id_back(docs.select(id_text(id_col), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "id string, score double"))

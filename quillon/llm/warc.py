@@ -207,10 +207,10 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         for pdf in batches:
             out = []
             for page, url, body, to in zip(pdf["id"], pdf["url"], pdf["body"], pdf["refers_to"], strict=True):
-                name = "null" if pd.isna(page) else str(int(page))
-                out.append(member(record(name, url, body.encode(), None if pd.isna(to) else str(int(to)))))
+                out.append(member(record(page or "null", url, body.encode(), to)))
             yield pd.DataFrame({"member": out})
 
+    known = known.withColumns({c: F.col(c).cast("string") for c in ("id", "refers_to")})
     members = known.mapInPandas(run, "member binary").select(F.col("member").cast("string").alias("value"))
     per_file = max(1, int(FILE_BYTES / max(1, total / max(1, narrow.count()))))
     separator = EMPTY_MEMBER.decode("latin-1")
