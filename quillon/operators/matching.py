@@ -25,7 +25,10 @@ def composite(lines: DataFrame, pattern: str, require: list[str], proximity: int
 
 def any_pattern(lines: DataFrame, patterns: list[str]) -> DataFrame:
     """All matches of all patterns, by start; equal starts in pattern order."""
-    each = F.flatten(F.array(*(F.transform(matches(F.lit(p), F.col("text")), lambda m, k=k: F.struct(m["start"].alias("start"), F.lit(k).alias("pattern"), m["text"].alias("matched"))) for k, p in enumerate(patterns))))
+    def numbered(k: int, p: str) -> Column:
+        return F.transform(matches(F.lit(p), F.col("text")), lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("pattern"), m["text"].alias("matched")))
+
+    each = F.flatten(F.array(*(numbered(k, p) for k, p in enumerate(patterns))))
     found = lines.select("path", "line", F.explode(F.array_sort(each)).alias("m"))
     return found.select("path", "line", "m.start", "m.pattern", "m.matched")
 

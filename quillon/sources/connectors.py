@@ -169,7 +169,9 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [_Container(c) for c in self.containers] if self.connector.url else []
 
-    def read(self, partition: _Container) -> Iterator[tuple[str, int, str]]:
+    def read(self, partition: _Container | None) -> Iterator[tuple[str, int, str]]:
+        if partition is None:  # a source without an address has no partitions
+            return
         fetch = fixture_fetch(self.fixture) if self.fixture else http_fetch
         seen: set[str] = set()
         for page in fetch(self.connector, partition.name, self.token):
