@@ -1,10 +1,11 @@
 """Lines, the keyword gate, and the two scan modes.
 
-Gated: an ordered alternation of all gate words runs over each line; its hits,
-exploded, meet the rules in a broadcast join, and only those (line, rule) pairs
-see a regex. Raw: every rule's regex sees every line. Both stay in the JVM.
+Gated: a trie regex of all gate words runs over each line, its hits name rules,
+and only those (line, rule) pairs, joined with the broadcast rules, see a regex.
+Raw: every rule's regex sees every line. Both are one pass in the JVM without a
+shuffle.
 
-With compat_gate the join keeps the earliest rule of each gate word only, as an
+With compat_gate the gate keeps the earliest rule of each gate word only, as an
 automaton that maps a word to one rule does; by default every rule of a word is
 reached.
 """
@@ -68,21 +69,25 @@ def fold(line: Column) -> Column:
 
 
 def gate(lines: DataFrame, rules: list[Rule], compat_gate: bool = False) -> DataFrame:
-    """lines with the ordinal of every rule whose gate word they hold, or that has none."""
-    spark = lines.sparkSession
+    """lines with the ordinal of every rule whose gate word they hold, or that has none.
+
+    A row's words are mapped to rules inside the row, so the gate is one scan
+    without a join or a shuffle, and a rule with two words in a line comes once.
+    """
     words = gate_words(rules, compat_gate)
     free = [k for k, r in enumerate(rules) if not r.prefilter]
-    out = None
+    ordinals = F.array(*map(F.lit, free)).cast("array<int>")
     if words:
         pattern = _trie(sorted({w for w, _ in words}))
         folded = fold(F.col("text"))
-        hits = lines.where(folded.rlike(pattern)).withColumn("word", F.explode(F.array_distinct(F.regexp_extract_all(folded, F.lit(pattern), F.lit(0)))))
-        table = spark.createDataFrame(words, "word string, ordinal int")
-        out = hits.join(F.broadcast(table), "word").drop("word").distinct()
-    if free:
-        every = lines.withColumn("ordinal", F.explode(F.array(*map(F.lit, free))))
-        out = every if out is None else out.unionByName(every)
-    return lines.withColumn("ordinal", F.lit(0)).limit(0) if out is None else out
+        of_word: dict[str, list[int]] = {}
+        for word, k in words:
+            of_word.setdefault(word, []).append(k)
+        table = F.create_map(*[c for word, own in of_word.items() for c in (F.lit(word), F.array(*map(F.lit, own)))])
+        hits = F.array_distinct(F.regexp_extract_all(folded, F.lit(pattern), F.lit(0)))
+        ordinals = F.array_distinct(F.concat(ordinals, F.flatten(F.transform(hits, lambda w: F.element_at(table, w)))))
+        lines = lines if free else lines.where(folded.rlike(pattern))
+    return lines.withColumn("ordinal", F.explode(ordinals))
 
 
 def matches(pattern: Column, line: Column, group: int = 0) -> Column:
@@ -130,15 +135,13 @@ def _allowed(allow: Allowlist, matched: Column, path: Column) -> Column:
 
 def detect(pairs: DataFrame, rules: list[Rule], allow: Allowlist | None = None, honour_lists: bool = True) -> DataFrame:
     """Findings of (path, line, text, ordinal) pairs: regex, then group, entropy and allowlists."""
-    spark = pairs.sparkSession
-    table = F.broadcast(frame(spark, rules))
-    plain = [k for k, r in enumerate(rules) if r.secret_group is None]
-    joined = pairs.where(F.col("ordinal").isin(plain)).join(table, "ordinal").where(F.rlike("text", F.col("pattern")))
-    found = joined.select("*", F.explode(matches(F.col("pattern"), F.col("text"))).alias("m"))
-    for k, r in enumerate(rules):  # a group needs a literal pattern; such rules are few and gated
+    table = F.broadcast(frame(pairs.sparkSession, rules))
+    joined = pairs.join(table, "ordinal").where(F.rlike("text", F.col("pattern")))
+    hits = matches(F.col("pattern"), F.col("text"))
+    for k, r in enumerate(rules):  # a group's own offset needs a literal pattern
         if r.secret_group is not None:
-            own = pairs.where((F.col("ordinal") == k) & F.col("text").rlike(r.pattern)).join(table, "ordinal")
-            found = found.unionByName(own.select("*", F.explode(_group_matches(F.col("text"), r.pattern, r.secret_group)).alias("m")))
+            hits = F.when(F.col("ordinal") == k, _group_matches(F.col("text"), r.pattern, r.secret_group)).otherwise(hits)
+    found = joined.withColumn("m", F.explode_outer(hits)).where(F.col("m").isNotNull())
     found = found.withColumn("matched", F.col("m.text")).where((F.col("matched") != "") | F.col("secret_group").isNull())
     entropy_rule = F.col("rule_id") == "generic-high-entropy"
     bits = text.shannon("matched")
