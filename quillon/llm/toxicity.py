@@ -31,9 +31,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_DOCS = 20_000
+from .common import id_back, id_text
+
+SAMPLE_DOCS = 8_000
 #: Bytes of each sampled text that train the counts, from its middle; scoring knows no such bound.
-PIECE = 8_000
+PIECE = 4_000
 STRENGTH = 4.0
 DRIFT = 1.0
 EXPECTED = 0.05
@@ -139,40 +141,61 @@ def log_odds(docs: list[tuple[list[bytes], int]]) -> dict[bytes, float]:
     toxic, clean = Counter(), Counter()
     for words, y in docs:  # a document counts a word once, however often it says it
         (toxic if y else clean).update(set(words))
-    # a prefix counts the distinct words of its family, a word its documents, so no evidence enters twice
-    a, b = Counter(), Counter()
-    for counts, out in ((toxic, a), (clean, b)):
-        for word, c in counts.items():
-            *families, own = chain(word)
-            out.update(families)
-            out[own] += c
+    # a prefix counts the distinct words of its family, a word its documents, so no evidence enters twice;
+    # a feature that no toxic document has can say nothing toxic, so only theirs are counted
+    a: Counter = Counter()
+    for word, c in toxic.items():
+        *families, own = chain(word)
+        a.update(families)
+        a[own] += c
+    b: Counter = Counter()
+    for word, c in clean.items():
+        for feature in chain(word):
+            if feature in a:
+                b[feature] += 1 if feature[:1] == b"^" else c
     scale = (sum(toxic.values()) + 1) / (sum(clean.values()) + 1)  # both classes as if they had as many tokens
     types = (len(toxic) + 1) / (len(clean) + 1)
-    odds: dict[bytes, float] = {}
-    for word in toxic.keys() | clean.keys():
+
+    def follow(word: bytes, own: float) -> Iterator[tuple[bytes, float]]:
         theta = 0.5
         for feature in chain(word):
-            yt, yc = a[feature], b[feature] * (types if feature[:1] == b"^" else scale)
+            whole = feature[:1] != b"^"
+            yt, yc = a[feature], (own if whole else b[feature]) * (scale if whole else types)
             if yt >= LEAST_COUNT or yc:
                 theta = (yt + STRENGTH * theta) / (yt + yc + STRENGTH)
-            odds[feature] = math.log(theta / (1 - theta))
-    # a word's own low odds must hide its family's high ones; beyond that, what adds nothing to the drift can go
-    odds = {f: v if v >= LEAST_ODDS else 0.0 for f, v in odds.items() if v >= LEAST_ODDS or any(odds[g] >= LEAST_ODDS for g in chain(f) if f[:1] != b"^")}
-    return dict(sorted(odds.items(), key=lambda x: (-abs(x[1]), x[0]))[:MOST_FEATURES])
+            yield feature, math.log(theta / (1 - theta))
+
+    odds: dict[bytes, float] = {}
+    for word in toxic:
+        odds.update(follow(word, clean[word]))
+    strong = {f: v for f, v in odds.items() if v >= LEAST_ODDS}
+    # a word's own low odds must hide its family's high ones
+    for words in (toxic, clean):
+        for word in words:
+            if word not in strong and any(f in strong for f in chain(word)[:-1]):
+                *_, (_, value) = follow(word, clean[word])
+                strong[word] = value if value >= LEAST_ODDS else 0.0
+    return dict(sorted(strong.items(), key=lambda x: (-abs(x[1]), x[0]))[:MOST_FEATURES])
 
 
 def fit(rows: list[tuple[str, int]]) -> Model:
     """Odds from all rows; chance law and calibration from rows whose half the odds have not seen."""
-    docs = [(tokens(t), y) for t, y in rows]
+    same: dict[bytes, bytes] = {}
+    docs = [([same.setdefault(w, w) for w in tokens(t)], y) for t, y in rows]
     n = sum(y for _, y in docs)
     prior = (n + 0.5) / (len(docs) + 1) if docs else 0.0
     if not n or n == len(docs):
         return Model({}, 1.0, 1.0, 0.0, math.log(prior / (1 - prior)) if 0 < prior < 1 else -30.0)
-    halves = [Scores(log_odds(docs[1 - k :: 2])) for k in (0, 1)]
+    seen = [0, 0]
+    half = np.zeros(len(docs), dtype=int)  # every other document of each class
+    for k, (_, y) in enumerate(docs):
+        half[k] = seen[y] % 2
+        seen[y] += 1
+    halves = [Scores(log_odds([d for d, own in zip(docs, half, strict=True) if own != k])) for k in (0, 1)]
     values, best = Counter(), []
     for k, (words, y) in enumerate(docs):
         if not y and words:
-            s = once(words, np.fromiter(map(halves[k % 2].__getitem__, words), dtype=np.float64, count=len(words)))
+            s = once(words, np.fromiter(map(halves[half[k]].__getitem__, words), dtype=np.float64, count=len(words)))
             values.update(np.round(s, 2).tolist())
             best.append((len(words), max((x[2] for x in segments(s)), default=0.0)))
     x = np.array(list(values), dtype=float)
@@ -186,9 +209,9 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     mean = [lam * s - math.log(m) for m, s in best]
     k = float(np.clip(math.exp(np.mean(mean) - 0.5772) if mean else 1.0, 1e-4, 1.0))
     found = np.zeros(len(rows))
-    for half in (0, 1):
-        model = Model(halves[half].odds, lam, k, 0.0, 0.0)
-        found[half::2] = [math.log1p(sum(s for _, _, s in model.passages(t))) for t, _ in rows[half::2]]
+    models = [Model(h.odds, lam, k, 0.0, 0.0) for h in halves]
+    for at, (text, _) in enumerate(rows):
+        found[at] = math.log1p(sum(s for _, _, s in models[half[at]].passages(text)))
     labels = np.array([y for _, y in rows], dtype=float)
     w = np.zeros(2)
     design = np.stack([np.ones(len(found)), found], axis=1)
@@ -219,16 +242,14 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
             out = [model.score(t if isinstance(t, str) else None) for t in pdf["text"].tolist()]
             yield pd.DataFrame({"id": pdf["id"].array, "score": [s for s, _ in out], "n_passages": [n for _, n in out]})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "id long, score double, n_passages long")
+    return id_back(docs.select(id_text(id_col), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "id string, score double, n_passages long"))
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The documents that score under the threshold, every column as it was."""
-    schema = docs.schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keep = np.array([model.score(t if isinstance(t, str) else None)[0] < threshold for t in pdf[text_col].tolist()], dtype=bool)
-            yield pdf[keep]
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([model.score(t if isinstance(t, str) else None)[0] < threshold for t in texts.tolist()], dtype=bool)
 
-    return docs.mapInPandas(run, schema)
+    return docs.where(clean(F.col(text_col).cast("string")))
