@@ -126,8 +126,10 @@ def compliance(findings: DataFrame, framework: str = "SOC2") -> DataFrame:
     """One row: counts, status, findings by rule and recommendations."""
     status = lambda s: F.count_if(F.col("verification") == s)
     unverified = F.count_if(F.col("verification").isNull() | F.col("verification").isin("unknown", "error"))
-    one = findings.agg(F.count(F.lit(1)).alias("total"), _of("critical").alias("critical"), _of("high").alias("high"), _of("medium").alias("medium"), _of("low").alias("low"), status("active").alias("active"), status("inactive").alias("inactive"), unverified.alias("unverified"))
-    by_rule = findings.groupBy("rule_id").count().agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("rule_id", "count")))).alias("findings_by_rule"))
+    counts = {"total": F.count(F.lit(1)), **{s: _of(s) for s in ("critical", "high", "medium", "low")}, "active": status("active"), "inactive": status("inactive"), "unverified": unverified}
+    by_rule = findings.groupBy("rule_id").agg(*(c.alias(n) for n, c in counts.items()))
+    rules = F.map_from_entries(F.sort_array(F.collect_list(F.struct("rule_id", "total"))))
+    one = by_rule.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in counts), rules.alias("findings_by_rule"))
     state = F.when((F.col("critical") > 0) | (F.col("active") > 0), "non_compliant").when(F.col("high") > 0, "needs_review").otherwise("compliant")
     advice = F.array_compact(
         F.array(
@@ -137,7 +139,7 @@ def compliance(findings: DataFrame, framework: str = "SOC2") -> DataFrame:
             F.when(F.col("unverified") > F.floor(F.col("total") / 2), F.lit("Verify the findings that have no status")),
         )
     )
-    return one.crossJoin(F.broadcast(by_rule)).withColumn("framework", F.lit(framework)).withColumn("status", state).withColumn("recommendations", advice)
+    return one.withColumn("framework", F.lit(framework)).withColumn("status", state).withColumn("recommendations", advice)
 
 
 BASE_RISK = {"critical": 90, "high": 70, "medium": 50, "low": 25}

@@ -10,7 +10,6 @@ import subprocess
 import tarfile
 import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
