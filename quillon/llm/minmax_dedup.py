@@ -23,7 +23,7 @@ null component and are kept; no rows give no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -39,17 +39,19 @@ BLOCK = 256
 #: How far under the threshold a sketch's estimate may fall, in parts of the whole.
 SLACK = 0.1
 #: Bytes of text that one vectorised step takes.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
-def _steps(texts: list[bytes], most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
+def _steps(texts: Sequence[bytes] | Sequence[int], most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts (or sizes) of at most `most` bytes, or of one text."""
     at = size = 0
     for k, t in enumerate(texts):
-        if k > at and size + len(t) > most:
+        n = t if isinstance(t, int) else len(t)
+        if k > at and size + n > most:
             yield at, k
             at, size = k, 0
-        size += len(t)
-    if texts:
+        size += n
+    if len(texts):
         yield at, len(texts)
 
 
@@ -114,7 +116,7 @@ def linked(pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
             left, right = encode(pdf["a_text"]), encode(pdf["b_text"])
             keep = np.zeros(len(pdf), dtype=bool)
             both = [x for pair in zip(left, right, strict=True) for x in pair]
-            for a, b in _steps([x + y for x, y in zip(left, right, strict=True)]):
+            for a, b in _steps([len(x) + len(y) for x, y in zip(left, right, strict=True)]):
                 hashes, counts = shingle_sets(both[2 * a : 2 * b], shingle)
                 ends = np.cumsum(counts)
                 for k in range(b - a):
