@@ -2,8 +2,8 @@
 
 Rows are grouped by the length of the normalised text, the survivors by a hash
 of its prefix, and only what survives both by the SHA-256 of the whole text.
-The first two levels run over a narrow table (id, row, length, prefix hash)
-that one scan writes; the second scan hashes whole texts of surviving groups.
+The first two levels run over a narrow table (length, prefix hash, rows) that
+one scan writes; the second scan hashes whole texts of surviving groups.
 
 Defined cases: null counts as the empty text, and empty texts are one group;
 of rows that tie on the id exactly one stays; a null id comes after every
@@ -33,9 +33,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = source.select("id", F.monotonically_increasing_id().alias("row"), normalised(F.col("text")).alias("norm"))
     rows = rows.select("id", "row", "norm", F.char_length("norm").alias("n"), F.xxhash64(F.substring("norm", 1, prefix)).alias("p"))
 
-    narrow = stored(rows.select("n", "p"), "profile")
-    lengths = narrow.groupBy("n").count().where("count > 1").select("n")
-    prefixes = narrow.join(lengths, "n", "left_semi").groupBy("n", "p").count().where("count > 1").select("n", "p", F.lit(True).alias("again"))
+    # counts by (length, prefix) are summed to counts by length, so no length's rows meet in one task
+    profile = stored(rows.groupBy("n", "p").count(), "profile")
+    lengths = profile.groupBy("n").agg(F.sum("count").alias("rows")).where("rows > 1").select("n")
+    prefixes = profile.where("count > 1").join(lengths, "n", "left_semi").select("n", "p", F.lit(True).alias("again"))
     prefixes = stored(prefixes, "prefixes")
     n_prefixes = prefixes.limit(BROADCAST_ROWS + 1).count()
 
