@@ -11,10 +11,16 @@ from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
 
+#: Rows of an Arrow batch: whole texts make rows large, and a worker holds several copies of its batch.
+BATCH_ROWS, USUAL_ROWS = "1000", "10000"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's sources to the executors, once for each application."""
+    """Send the package's sources to the executors, once for each application; keep batches small where nothing else is set."""
     context = spark.sparkContext
+    if spark.conf.get(_BATCH) == USUAL_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
     if context.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
