@@ -36,52 +36,71 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, if_small, stored
+from .common import bounded, id_back, id_text, stored
 from .minmax_dedup import _steps, encode
 from .shingles import mix64
 
 TRIGGER = 16
 STEP = 16
 #: Starts of a text that one vectorised step takes.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Bits of the bitmap of repeated contexts.
-BITMAP = 1 << 28
+BITMAP = 1 << 27
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-class Prints:
-    """Fingerprints of byte ranges of a buffer."""
-
-    def __init__(self, buf: np.ndarray, wide: bool = False):
-        n = len(buf)
-        plain = buf.astype(np.uint64) + np.uint64(1)
-        self.tables = []
-        for base in _BASES[: 1 + wide]:
-            step = np.full(n + 1, base, dtype=np.uint64)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, kept between batches."""
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        out = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            step = np.full(max(n, 3 * PIECE), b, dtype=np.uint64)
             step[0] = 1
-            power = np.cumprod(step)
-            step[1:] = np.uint64(pow(base, -1, 1 << 64))
-            total = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum(plain * power[:n], out=total[1:])
-            self.tables.append((total, np.cumprod(step)))
+            out.append(np.cumprod(step))
+        _POWERS[base] = out[0], out[1]
+    return _POWERS[base]
+
+
+class Prints:
+    """Fingerprints of byte ranges of a buffer, by either of two bases."""
+
+    def __init__(self, buf: np.ndarray):
+        self.plain = buf.astype(np.uint64) + np.uint64(1)
+        self.totals: dict[int, np.ndarray] = {}
+
+    def table(self, which: int) -> tuple[np.ndarray, np.ndarray]:
+        power, inverse = _powers(_BASES[which], len(self.plain) + 1)
+        if which not in self.totals:
+            total = np.zeros(len(self.plain) + 1, dtype=np.uint64)
+            np.cumsum(self.plain * power[: len(self.plain)], out=total[1:])
+            self.totals[which] = total
+        return self.totals[which], inverse
 
     def of(self, start: np.ndarray, end: np.ndarray, which: int = 0, salt: np.ndarray | int = 0) -> np.ndarray:
-        total, inverse = self.tables[which]
+        total, inverse = self.table(which)
         raw = (total[end] - total[start]) * inverse[start]
         return mix64(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.asarray(salt, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
-def parse(texts: list[bytes], span: int) -> tuple[np.ndarray, ...]:
-    """Phrases of a batch: buffer, offsets of texts, and for each phrase its text, first start, last start and trigger."""
+def place(uid: np.ndarray, at: np.ndarray | int = 0) -> np.ndarray:
+    """A hash of a position in a document, or of the document."""
+    return mix64(uid.astype(np.uint64) * np.uint64(_BASES[1]) + np.asarray(at).astype(np.uint64))
+
+
+def parse(texts: list[bytes], span: int) -> tuple[Prints, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Phrases of a batch: fingerprints, offsets of texts, and for each phrase its text, first start, last start and trigger."""
     lengths = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
     offsets = np.cumsum(lengths) - lengths
     buf = np.frombuffer(b"".join(texts), dtype=np.uint8)
     none = np.zeros(0, dtype=np.int64)
     wide = span // 2 - TRIGGER + 1
-    if not (lengths >= span).any():
-        return buf, offsets, none, none, none, none
     prints = Prints(buf)
-    total, inverse = prints.tables[0]
+    if not (lengths >= span).any():
+        return prints, offsets, none, none, none, none
+    total, inverse = prints.table(0)
     grams = len(buf) - TRIGGER + 1
     gram = mix64((total[TRIGGER:] - total[:-TRIGGER]) * inverse[:grams])
     key = (gram & ~np.uint64((1 << 31) - 1)) | np.arange(grams, dtype=np.uint64)
@@ -102,7 +121,7 @@ def parse(texts: list[bytes], span: int) -> tuple[np.ndarray, ...]:
     new[1:] = (t[1:] != t[:-1]) | (owner[1:] != owner[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(valid)) - 1
-    return buf, offsets, owner[first], valid[first], valid[last], t[first]
+    return prints, offsets, owner[first], valid[first], valid[last], t[first]
 
 
 def _numbered(docs: DataFrame, text_col: str) -> DataFrame:
@@ -116,14 +135,32 @@ def _pieces(texts: list[bytes], span: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield np.array([x[0] for x in cut[a:b]], dtype=np.int64), np.array([x[1] for x in cut[a:b]], dtype=np.int64), [x[2] for x in cut[a:b]]
 
 
-def _near(first: np.ndarray, last: np.ndarray) -> Iterator[np.ndarray]:
-    """Indexes of rows in groups that a stretch of at most about PIECE bytes holds."""
-    order = np.argsort(first, kind="stable")
-    at = 0
-    while at < len(order):
-        end = int(np.searchsorted(first[order], first[order[at]] + PIECE, side="right"))
-        yield order[at:end]
-        at = end
+def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether both bits of each hash are set in a bitmap."""
+    out = np.ones(len(h), dtype=bool)
+    for bit in (h % np.uint64(BITMAP), (h >> np.uint64(32)) % np.uint64(BITMAP)):
+        out &= (bits[(bit >> np.uint64(5)).astype(np.int64)] >> (bit & np.uint64(31)).astype(np.uint32) & 1).astype(bool)
+    return out
+
+
+def _parsed(pdf: pd.DataFrame, span: int, wanted: np.ndarray | None = None) -> Iterator[tuple[Prints, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Phrases of a batch's (wanted) documents: fingerprints, uid, where its text starts in the buffer, a, b, t."""
+    uids, texts = pdf["uid"].to_numpy(), encode(pdf["text"])
+    if wanted is not None:
+        texts = [t if k else b"" for t, k in zip(texts, _has(wanted, place(uids)), strict=True)]
+    for whose, base, pieces in _pieces(texts, span):
+        prints, offsets, owner, a, b, t = parse(pieces, span)
+        if len(t):
+            yield prints, uids[whose[owner]], offsets[owner] - base[owner], a, b, t
+
+
+def _blocks(a: np.ndarray, b: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Phrases cut into blocks by distance from the trigger: phrase, block number, first and last start."""
+    near, far = (t - b) // STEP, (t - a) // STEP
+    n = far - near + 1
+    k = np.repeat(np.arange(len(t)), n)
+    j = near[k] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return k, j, np.maximum(a[k], t[k] - j * STEP - STEP + 1), np.minimum(b[k], t[k] - j * STEP)
 
 
 def contexts(docs: DataFrame, span: int) -> DataFrame:
@@ -132,126 +169,121 @@ def contexts(docs: DataFrame, span: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for _, _, texts in _pieces(encode(pdf["text"]), span):
-                buf, _, _, _, _, t = parse(texts, span)
-                if len(t):
-                    yield pd.DataFrame({"h": Prints(buf).of(t, t + ahead).view(np.int64)})
+            for prints, _, _, _, _, t in _parsed(pdf, span):
+                yield pd.DataFrame({"h": prints.of(t, t + ahead).view(np.int64)})
 
-    return docs.select("text").mapInPandas(run, "h long")
+    return docs.mapInPandas(run, "h long")
 
 
 def bitmap(hashes: DataFrame) -> np.ndarray:
-    """Two bits a hash, in a map of fixed size."""
+    """Two bits a hash, in a map of fixed size that reaches the driver as pages of 32,768 bits."""
     bits = hashes.select(F.explode(F.array(F.pmod("h", F.lit(BITMAP)), F.pmod(F.shiftrightunsigned("h", 32), F.lit(BITMAP)))).alias("bit"))
-    words = bits.groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 AS INT))")).alias("bits")).toPandas()
-    out = np.zeros(BITMAP // 32, dtype=np.uint32)
-    out[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
+    placed = bits.select(F.bitmap_bucket_number(F.col("bit") + 1).alias("page"), F.bitmap_bit_position(F.col("bit") + 1).alias("at"))
+    pages = placed.repartition("page").groupBy("page").agg(F.bitmap_construct_agg("at").alias("bits"))
+    out = np.zeros(BITMAP // 32, dtype="<u4")
+    for row in pages.toLocalIterator():
+        out[(row["page"] - 1) * 1024 : row["page"] * 1024] = np.frombuffer(bytes(row["bits"]), dtype="<u4")
     return out
 
 
 def phrases(docs: DataFrame, span: int, known: np.ndarray) -> DataFrame:
-    """Extended phrases whose trigger's context may repeat: uid, a, b (starts), t (trigger), h, x, y (name)."""
+    """Extended phrases whose trigger's context may repeat: uid, a, b (starts), h, x, y (name), d, e (places)."""
     ahead = span - (span // 2 - TRIGGER)
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            uids = pdf["uid"].to_numpy()
-            for whose, base, texts in _pieces(encode(pdf["text"]), span):
-                buf, offsets, owner, a, b, t = parse(texts, span)
-                if not len(t):
-                    continue
-                prints = Prints(buf, wide=True)
+            for prints, uid, at, a, b, t in _parsed(pdf, span):
                 h = prints.of(t, t + ahead)
-                one, two = h % np.uint64(BITMAP), (h >> np.uint64(32)) % np.uint64(BITMAP)
-                has = lambda bit: shared.value[(bit >> np.uint64(5)).astype(np.int64)] >> (bit & np.uint64(31)).astype(np.uint32) & 1  # noqa: E731, B023
-                ok = np.flatnonzero(has(one) & has(two))
-                owner, a, b, t, h = owner[ok], a[ok], b[ok], t[ok], h[ok]
+                ok = _has(shared.value, h)
+                uid, at, a, b, t, h = (v[ok] for v in (uid, at, a, b, t, h))
                 salt = (t - a) * 1024 + (t - b)
                 x, y = (prints.of(a, b + span, k, salt).view(np.int64) for k in (0, 1))
-                at = offsets[owner] - base[owner]
-                yield pd.DataFrame({"uid": uids[whose[owner]], "a": a - at, "b": b - at, "t": t - at, "h": h.view(np.int64), "x": x, "y": y})
+                yield pd.DataFrame({"uid": uid, "a": a - at, "b": b - at, "h": h.view(np.int64), "x": x, "y": y})
 
-    return docs.mapInPandas(run, "uid long, a int, b int, t int, h long, x long, y long")
+    return docs.mapInPandas(run, "uid long, a int, b int, h long, x long, y long")
 
 
-def _by_document(docs: DataFrame, rows: DataFrame, what: str, *columns: str) -> DataFrame:
-    """The texts that rows speak of, each with its rows as an array."""
-    rows = stored(rows, what)
-    lists = rows.groupBy("uid").agg(F.collect_list(F.struct(*columns)).alias("rows"))
-    return docs.join(if_small(lists, rows.count()), "uid").select("uid", "text", *[F.col(f"rows.{c}").alias(c) for c in columns])
+def places(rows: DataFrame, at: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of the documents and of the positions (uid, at) that rows name."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            uid = pdf["uid"].to_numpy()
+            yield pd.DataFrame({"d": place(uid).view(np.int64), "h": place(uid, pdf[at].to_numpy()).view(np.int64)})
+
+    hashed = stored(rows.select("uid", at).mapInPandas(run, "d long, h long"), "places")
+    return bitmap(hashed.select(F.col("d").alias("h")).distinct()), bitmap(hashed.select("h"))
 
 
 def blocks(docs: DataFrame, entries: DataFrame, span: int) -> DataFrame:
-    """Blocks of up to STEP suffixes of dictionary entries: common bytes' name (j, c), all bytes' name (u, v)."""
+    """Blocks of up to STEP suffixes of dictionary entries (uid, a, single): common bytes' name (j, c), all bytes' name (u, v).
+
+    The documents are scanned again with a bitmap of the entries; a join on
+    (uid, a) then leaves exactly theirs, so no text is shuffled.
+    """
+    context = docs.sparkSession.sparkContext
+    wanted, phrase = map(context.broadcast, places(entries, "a"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for uid, text, a, b, t, single in zip(pdf["uid"], encode(pdf["text"]), pdf["a"], pdf["b"], pdf["t"], pdf["single"], strict=True):
-                a, b, t, single = (np.asarray(v, dtype=np.int64) for v in (a, b, t, single))
-                near, far = (t - b) // STEP, (t - a) // STEP
-                n = far - near + 1
-                k = np.repeat(np.arange(len(t)), n)
-                j = near[k] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                last = np.minimum(b[k], t[k] - j * STEP)
-                first = np.maximum(a[k], t[k] - j * STEP - STEP + 1)
+            for prints, uid, at, a, b, t in _parsed(pdf, span, wanted.value):
+                ok = _has(phrase.value, place(uid, a - at))
+                uid, at, a, b, t = (v[ok] for v in (uid, at, a, b, t))
+                k, j, first, last = _blocks(a, b, t)
                 common = t[k] - j * STEP
+                c = prints.of(common, common - STEP + 1 + span, 0, j).view(np.int64)
                 salt = (t[k] - first) * 1024 + (t[k] - last)
-                for g in _near(first, last):
-                    low, high = first[g].min(), max(last[g].max(), common[g].max()) + span
-                    prints = Prints(np.frombuffer(text[low:high], dtype=np.uint8), wide=True)
-                    c = prints.of(common[g] - low, common[g] - low - STEP + 1 + span, 0, j[g])
-                    u, v = (prints.of(first[g] - low, last[g] - low + span, w, salt[g]).view(np.int64) for w in (0, 1))
-                    out.append(pd.DataFrame({"uid": uid, "first": first[g], "last": last[g], "j": j[g], "c": c.view(np.int64), "u": u, "v": v, "single": single[k[g]] > 0}))
-            if out:
-                yield pd.concat(out)
+                u, v = (prints.of(first, last + span, w, salt).view(np.int64) for w in (0, 1))
+                yield pd.DataFrame({"uid": uid[k], "a": (a - at)[k], "first": first - at[k], "last": last - at[k], "j": j, "c": c, "u": u, "v": v})
 
-    return _by_document(docs, entries, "entries", "a", "b", "t", "single").mapInPandas(run, "uid long, first int, last int, j int, c long, u long, v long, single boolean")
+    found = docs.mapInPandas(run, "uid long, a int, first int, last int, j int, c long, u long, v long")
+    return found.join(entries.select("uid", "a", "single"), ["uid", "a"]).drop("a")
 
 
 def suffixes(docs: DataFrame, parts: DataFrame, span: int) -> DataFrame:
-    """Every suffix of the given blocks: uid, start, name (u, v)."""
+    """Every suffix of the given blocks (uid, first, wanted): uid, start, name (u, v)."""
+    context = docs.sparkSession.sparkContext
+    wanted, block = map(context.broadcast, places(parts, "first"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for uid, text, first, last, wanted in zip(pdf["uid"], encode(pdf["text"]), pdf["first"], pdf["last"], pdf["wanted"], strict=True):
-                first, last, wanted = (np.asarray(v, dtype=np.int64) for v in (first, last, wanted))
+            for prints, uid, at, a, b, t in _parsed(pdf, span, wanted.value):
+                k, _, first, last = _blocks(a, b, t)
+                ok = _has(block.value, place(uid[k], first - at[k]))
+                k, first, last = k[ok], first[ok], last[ok]
                 n = last - first + 1
-                k = np.repeat(np.arange(len(n)), n)
-                start = first[k] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                for g in _near(start, start):
-                    low = start[g].min()
-                    prints = Prints(np.frombuffer(text[low : start[g].max() + span], dtype=np.uint8), wide=True)
-                    u, v = (prints.of(start[g] - low, start[g] - low + span, w).view(np.int64) for w in (0, 1))
-                    out.append(pd.DataFrame({"uid": uid, "start": start[g], "u": u, "v": v, "wanted": wanted[k[g]] > 0}))
-            if out:
-                yield pd.concat(out)
+                m = np.repeat(np.arange(len(n)), n)
+                start = first[m] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                u, v = (prints.of(start, start + span, w).view(np.int64) for w in (0, 1))
+                shift = at[k][m]
+                yield pd.DataFrame({"uid": uid[k][m], "first": first[m] - shift, "start": start - shift, "u": u, "v": v})
 
-    return _by_document(docs, parts, "parts", "first", "last", "wanted").mapInPandas(run, "uid long, start int, u long, v long, wanted boolean")
+    found = docs.mapInPandas(run, "uid long, first int, start int, u long, v long")
+    return found.join(parts.select("uid", "first", "wanted"), ["uid", "first"]).drop("first")
 
 
 def repeated_starts(docs: DataFrame, span: int) -> DataFrame:
     """Runs of starts (uid, first, last) whose span of bytes also starts elsewhere; docs has uid and text."""
     again = stored(contexts(docs, span).groupBy("h").count().where("count > 1").select("h"), "contexts")
     found = stored(phrases(docs, span, bitmap(again)), "phrases")
-    entry = F.min(F.struct("uid", "a", "b", "t", "h"))
+    entry = F.min(F.struct("uid", "a", "h"))
     names = stored(found.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), entry.alias("e")).select("x", "y", "n", "e.*"), "dictionary")
     twice = bounded(names.where("n > 1").select("x", "y"), "twice")
     whole = found.join(twice, ["x", "y"], "left_semi").select("uid", F.col("a").alias("first"), F.col("b").alias("last"))
 
     contested = names.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("h")
-    entries = names.join(bounded(contested, "contested"), "h", "left_semi").select("uid", "a", "b", "t", (F.col("n") == 1).cast("int").alias("single"))
+    entries = names.join(bounded(contested, "contested"), "h", "left_semi").select("uid", "a", (F.col("n") == 1).alias("single"))
+    entries = bounded(entries, "entries")
     parts = stored(blocks(docs, entries, span), "blocks")
     same_all = bounded(parts.groupBy("u", "v").count().where("count > 1").select("u", "v", F.lit(True).alias("all")), "same")
     state = stored(parts.join(same_all, ["u", "v"], "left").withColumn("all", F.coalesce("all", F.lit(False))), "state")
     # blocks that are in question, with every other block that has the same bytes in common, one of each name
     keys = state.groupBy("j", "c").agg(F.count(F.lit(1)).alias("k"), F.bool_or(F.col("single") & ~F.col("all")).alias("open")).where("k > 1 and open").select("j", "c")
     open_ = state.join(bounded(keys, "open"), ["j", "c"], "left_semi")
-    asked = F.max((F.col("single") & ~F.col("all")).cast("int")).alias("wanted")
-    open_ = open_.groupBy("u", "v").agg(F.min(F.struct("uid", "first", "last")).alias("e"), asked).select("e.*", "wanted")
-    single = stored(suffixes(docs, open_, span), "suffixes")
+    asked = F.bool_or(F.col("single") & ~F.col("all")).alias("wanted")
+    open_ = open_.groupBy("u", "v").agg(F.min(F.struct("uid", "first")).alias("e"), asked).select("e.*", "wanted")
+    single = stored(suffixes(docs, bounded(open_, "open"), span), "suffixes")
     twins = bounded(single.groupBy("u", "v").count().where("count > 1").select("u", "v"), "twins")
     alone = single.where("wanted").join(twins, ["u", "v"], "left_semi").select("uid", F.col("start").alias("first"), F.col("start").alias("last"))
     block = state.where("single and `all`").select("uid", "first", "last")
@@ -272,9 +304,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row a document: id, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
     numbered = _numbered(docs, text_col)
     runs = stored(repeated_starts(numbered, span), "runs")
-    lists = runs.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("rows"))
-    size = runs.count()
-    lists = if_small(stored(lists, "lists"), size)
+    lists = stored(runs.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("rows")), "lists")
+    touched = docs.sparkSession.sparkContext.broadcast(places(lists.withColumn("first", F.lit(0)), "first")[0])
+
+    @F.pandas_udf("boolean")
+    def may_lose(uid: pd.Series) -> pd.Series:
+        return pd.Series(_has(touched.value, place(uid.to_numpy())))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -287,6 +322,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     {"id": pdf["id"].iloc[p:q].array, "n_bytes": [len(t) for t in texts[p:q]], "n_removed": [o[0] for o in out], "n_spans": [o[1] for o in out], "kept": [o[2] for o in out]}
                 )
 
-    source = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    joined = source.join(lists, "uid", "left").select("id", "text", F.col("rows.first").alias("firsts"), F.col("rows.last").alias("lasts"))
-    return joined.mapInPandas(run, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    source = docs.select(F.monotonically_increasing_id().alias("uid"), id_text(id_col), F.col(text_col).cast("string").alias("text"))
+    source = source.withColumn("hit", may_lose("uid"))
+    # only texts that lose something move to their runs
+    some = source.where("hit").join(lists, "uid", "left").select("id", "text", F.col("rows.first").alias("firsts"), F.col("rows.last").alias("lasts"))
+    none = source.where("not hit").select("id", "text", F.lit(None).cast("array<int>").alias("firsts"), F.lit(None).cast("array<int>").alias("lasts"))
+    return id_back(some.unionByName(none).mapInPandas(run, "id string, n_bytes long, n_removed long, n_spans long, kept binary"))
