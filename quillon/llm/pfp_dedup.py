@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, id_back, id_text, stored
+from .common import id_back, id_text, stored
 from .minmax_dedup import _steps, encode
 from .shingles import mix64
 
@@ -45,7 +45,7 @@ STEP = 16
 #: Starts of a text that one vectorised step takes.
 PIECE = 1 << 18
 #: Bits of the bitmap of repeated contexts.
-BITMAP = 1 << 27
+BITMAP = 1 << 26
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -269,22 +269,22 @@ def repeated_starts(docs: DataFrame, span: int) -> DataFrame:
     found = stored(phrases(docs, span, bitmap(again)), "phrases")
     entry = F.min(F.struct("uid", "a", "h"))
     names = stored(found.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), entry.alias("e")).select("x", "y", "n", "e.*"), "dictionary")
-    twice = bounded(names.where("n > 1").select("x", "y"), "twice")
+    twice = stored(names.where("n > 1").select("x", "y"), "twice")
     whole = found.join(twice, ["x", "y"], "left_semi").select("uid", F.col("a").alias("first"), F.col("b").alias("last"))
 
     contested = names.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("h")
-    entries = names.join(bounded(contested, "contested"), "h", "left_semi").select("uid", "a", (F.col("n") == 1).alias("single"))
-    entries = bounded(entries, "entries")
+    entries = names.join(stored(contested, "contested"), "h", "left_semi").select("uid", "a", (F.col("n") == 1).alias("single"))
+    entries = stored(entries, "entries")
     parts = stored(blocks(docs, entries, span), "blocks")
-    same_all = bounded(parts.groupBy("u", "v").count().where("count > 1").select("u", "v", F.lit(True).alias("all")), "same")
+    same_all = stored(parts.groupBy("u", "v").count().where("count > 1").select("u", "v", F.lit(True).alias("all")), "same")
     state = stored(parts.join(same_all, ["u", "v"], "left").withColumn("all", F.coalesce("all", F.lit(False))), "state")
     # blocks that are in question, with every other block that has the same bytes in common, one of each name
     keys = state.groupBy("j", "c").agg(F.count(F.lit(1)).alias("k"), F.bool_or(F.col("single") & ~F.col("all")).alias("open")).where("k > 1 and open").select("j", "c")
-    open_ = state.join(bounded(keys, "open"), ["j", "c"], "left_semi")
+    open_ = state.join(stored(keys, "open"), ["j", "c"], "left_semi")
     asked = F.bool_or(F.col("single") & ~F.col("all")).alias("wanted")
     open_ = open_.groupBy("u", "v").agg(F.min(F.struct("uid", "first")).alias("e"), asked).select("e.*", "wanted")
-    single = stored(suffixes(docs, bounded(open_, "open"), span), "suffixes")
-    twins = bounded(single.groupBy("u", "v").count().where("count > 1").select("u", "v"), "twins")
+    single = stored(suffixes(docs, stored(open_, "open"), span), "suffixes")
+    twins = stored(single.groupBy("u", "v").count().where("count > 1").select("u", "v"), "twins")
     alone = single.where("wanted").join(twins, ["u", "v"], "left_semi").select("uid", F.col("start").alias("first"), F.col("start").alias("last"))
     block = state.where("single and `all`").select("uid", "first", "last")
     return whole.unionByName(block).unionByName(alone)
