@@ -320,6 +320,37 @@ def test_masked_lm(spark):
     assert np.allclose(np.exp(model.middle.reshape(16**2, 16, 16**2)).sum(axis=1), 1, atol=1e-4)
 
 
+def test_lm_words_are_told_apart_beyond_any_table():
+    n = 400_000
+    names, counts = masked_lm.buckets([" ".join(f"w{k}" for k in range(n)).encode()])
+    assert counts.tolist() == [n] and len(np.unique(names)) == n
+
+
+def test_lm_counts_of_words_past_the_head_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(masked_lm, "HEAD", 3)
+    texts = ["a a a a b b b c c d", "a b c d e E", "f " * 2 + "a", "", None]
+    docs = documents(spark, [*enumerate(texts)])
+    model = masked_lm.train(docs)
+    got = {r.id: r.log_prob for r in masked_lm.score_documents(documents(spark, [*enumerate(texts), (9, "a unseen f")]), model).collect()}
+    count = {"a": 6, "b": 4, "c": 3, "d": 2, "e": 2, "f": 2}
+    assert set(model.classes.keys.tolist()) == set(masked_lm.buckets([b"a b c"])[0].tolist())
+    last = [w for w in [*count, "unseen"] if model.classes[masked_lm.buckets([w.encode()])[0]][0] == 15]
+    mass = sum(count.get(w, 0) + masked_lm.SMOOTH for w in last)
+    for i, text in [*enumerate(texts[:3]), (9, "a unseen f")]:
+        words, n = masked_lm.buckets([text.encode()])
+        codes = masked_lm.windows(model.classes[words], n)
+        inside = [np.log((count.get(w, 0) + masked_lm.SMOOTH) / mass) if w in last else model.inside[h] for w, h in zip(text.lower().split(), words)]
+        assert abs(model.middle[codes].sum() + sum(inside) - got[i]) < 1e-4
+
+
+def test_lm_trains_on_every_window_in_each_pass():
+    mass = np.sort(np.random.default_rng(1).pareto(1, 10_000))[::-1]
+    seen = np.zeros(len(mass))
+    for pick, share in masked_lm.batches(mass, np.random.default_rng(2)):
+        np.add.at(seen, pick, share)
+    assert np.allclose(seen, 1)
+
+
 def test_lm_windows_stay_within_their_text():
     codes = masked_lm.windows(np.array([1, 2, 3], dtype=np.uint8), np.array([2, 0, 1]))
     digits = [[c // 16**k % 16 for k in (4, 3, 2, 1, 0)] for c in codes.tolist()]
