@@ -44,6 +44,8 @@ MOST_FEATURES = 50_000
 LEAST_ODDS = 0.5
 #: Toxic documents (or distinct words, for a family) that make evidence.
 LEAST_COUNT = 2
+#: K is under 1 for independent words; clean texts that repeat themselves have higher maxima, which the fit must follow.
+MOST_K = 1e6
 
 _FOLD = bytes((c + 32 if 65 <= c <= 90 else c) if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -57,16 +59,6 @@ def chain(word: bytes) -> list[bytes]:
     return [b"^" + word[:n] for n in (4, 5, 6) if len(word) > n] + [word]
 
 
-def once(words: list[bytes], scores: np.ndarray) -> np.ndarray:
-    """A word's positive score counts where it comes first; said again it only adds drift."""
-    seen = set()
-    for k in np.flatnonzero(scores > 0).tolist():
-        if words[k] in seen:
-            scores[k] = -DRIFT
-        seen.add(words[k])
-    return scores
-
-
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score) in linear time."""
     hits = np.flatnonzero(scores > 0)
@@ -125,7 +117,7 @@ class Model:
         words = tokens(text)
         if not words or not self.odds:
             return []
-        scores = once(words, np.fromiter(map(self.scores.__getitem__, words), dtype=np.float64, count=len(words)))
+        scores = np.fromiter(map(self.scores.__getitem__, words), dtype=np.float64, count=len(words))
         chance = math.log(max(self.k * len(words), 1e-9))
         over = [(a, b, self.lam * s - chance) for a, b, s in segments(scores)]
         return [x for x in over if x[2] >= -math.log(EXPECTED)]
@@ -195,7 +187,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     values, best = Counter(), []
     for k, (words, y) in enumerate(docs):
         if not y and words:
-            s = once(words, np.fromiter(map(halves[half[k]].__getitem__, words), dtype=np.float64, count=len(words)))
+            s = np.fromiter(map(halves[half[k]].__getitem__, words), dtype=np.float64, count=len(words))
             values.update(np.round(s, 2).tolist())
             best.append((len(words), max((x[2] for x in segments(s)), default=0.0)))
     x = np.array(list(values), dtype=float)
@@ -207,7 +199,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
             lam = (low + high) / 2
             low, high = (lam, high) if (p * np.exp(np.minimum(lam * x, 500))).sum() < 1 else (low, lam)
     mean = [lam * s - math.log(m) for m, s in best]
-    k = float(np.clip(math.exp(np.mean(mean) - 0.5772) if mean else 1.0, 1e-4, 1.0))
+    k = float(np.clip(math.exp(np.mean(mean) - 0.5772) if mean else 1.0, 1e-4, MOST_K))
     found = np.zeros(len(rows))
     models = [Model(h.odds, lam, k, 0.0, 0.0) for h in halves]
     for at, (text, _) in enumerate(rows):

@@ -212,6 +212,18 @@ def test_toxicity(spark):
     assert toxicity.fit([]).score("x")[0] < 0.01 and toxicity.fit([("a", 1)]).score("x")[0] > 0.5
 
 
+def test_toxic_passages_that_repeat_earlier_words():
+    rng = random.Random(6)
+    model = toxicity.fit(toxic_rows(rng, 400))
+    clean = lambda n: words(rng, n).split()
+    passage = ["vileness", "scumbag", "vilewit"]
+    twice = [*clean(60), *passage, *clean(60), *passage, *clean(60)]
+    assert [(a, b) for a, b, _ in model.passages(" ".join(twice))] == [(60, 63), (123, 126)]
+    scattered = [w for insult in passage for w in (*clean(80), insult)]
+    dense = [*scattered, *clean(80), *passage, *clean(20)]
+    assert (len(scattered) + 80, len(scattered) + 83) in [(a, b) for a, b, _ in model.passages(" ".join(dense))]
+
+
 def test_quality_network(spark):
     rng = random.Random(7)
     row = lambda k: (" ".join(w + ("###" if k % 3 == 0 and rng.random() < 0.5 else "") for w in words(rng, 80).split()), int(k % 3 != 0))
