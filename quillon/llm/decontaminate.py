@@ -7,15 +7,20 @@ other values still meets its template. Where a window has slots, the values
 that stand there must fit: within one occurrence, equal values of the item
 correspond to equal values of the document. An occurrence is a diagonal
 (document position - item position). A document leaks an item when its
-consistent occurrences cover half of the item's windows.
+consistent occurrences cover half of the item's windows. Every capitalised word
+is a name, wherever it stands, so the template does not depend on the context.
+
+Windows of the plain lower-cased words, numbers included, are joined as well,
+so a verbatim copy in any case or context is met, also where capitals or slots
+differ or make up most of a window; half of an item's plain windows are a leak.
 
 The windows of a document are hashed by doubling (pairs, fours, eights) inside
 its row and only those that a benchmark window meets leave the scan.
 
 Defined cases: null and empty texts and items match nothing; items of four to
 seven words are matched by windows of four, all of them; shorter items hold too
-little to identify and match nothing; windows with fewer than half literal
-words are not used; repeated documents are reported under their id once;
+little to identify and match nothing; template windows with fewer than half literal
+words are not used, plain ones always; repeated documents are reported under their id once;
 documents that lack an id are reported under a null id; other columns are
 ignored, whatever their names.
 """
@@ -35,7 +40,7 @@ UNITS = (
     "|degrees?|km|kg|cm|mm|mg|ml|mph|kph|kwh|hz|khz|mhz|ghz|gb|mb|kb|lbs?|oz|ft|hrs?|mins?|secs?"
 )
 UNIT_RE = rf"(?i)(?<={NUMBER} {{1,3}})(?:{UNITS})\b"
-NAME_RE = r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+"
+NAME_RE = r"(?<!\p{L})\p{Lu}\p{Ll}+"
 WINDOW, SHORT = 8, 4
 COVERAGE = 0.5
 
@@ -55,6 +60,11 @@ def template_words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(marked), rf"[^\p{{L}}{NUMBER}-{UNIT}]+"), "")
 
 
+def plain_words(text: Column) -> Column:
+    """The lower-cased words and numbers as they stand."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+
+
 def _slot_values(text: Column) -> Column:
     """The values behind the placeholders of each type, in order."""
     bare = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), "[-]", " ")
@@ -87,10 +97,29 @@ def _slots(df: DataFrame, key: str) -> DataFrame:
     return each.select(key, "pos", "kind", F.get(F.col("values")[F.col("kind")], rank - 1).alias("value"))
 
 
+def _verbatim(source: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
+    """Pairs whose plain windows cover the item: id, text_hash, item, n_windows, item_windows."""
+    bench = _hashes(items.select("item", plain_words(F.col("text")).alias("words")))
+    bench = bench.where(F.size("words") >= SHORT).withColumn("w", F.when(F.size("words") >= WINDOW, WINDOW).otherwise(SHORT))
+    windows = stored(bench.select("item", "w", F.posexplode_outer(F.when(F.col("w") == WINDOW, F.col("h8")).otherwise(F.col("h4"))).alias("item_pos", "h")), "plain")
+    n_windows, n_short = windows.agg(F.count(F.lit(1)), F.count_if(F.col("w") == SHORT)).first()
+    totals = windows.groupBy("item").agg(F.count(F.lit(1)).alias("item_windows"), F.max("w").alias("w"))
+    hashed = _hashes(source.select("id", F.xxhash64("text").alias("text_hash"), plain_words(F.col("text")).alias("words")))
+    kinds = [("h8", WINDOW)] + ([("h4", SHORT)] if n_short else [])
+    met = None
+    for h, w in kinds:
+        wanted = windows.where(F.col("w") == w).select("h", "item", "item_pos")
+        found = hashed.select("id", "text_hash", F.posexplode_outer(h).alias("pos", "h")).join(if_small(wanted, n_windows), "h").select("id", "text_hash", "item", "item_pos")
+        met = found if met is None else met.unionByName(found)
+    pairs = met.distinct().groupBy("id", "text_hash", "item").agg(F.count(F.lit(1)).alias("n_windows"))
+    enough = F.when(F.col("w") == WINDOW, F.col("n_windows") >= coverage * F.col("item_windows")).otherwise(F.col("n_windows") == F.col("item_windows"))
+    return pairs.join(F.broadcast(totals) if n_windows <= BROADCAST_ROWS else totals, "item").where(enough).select("id", "text_hash", "item", "n_windows", "item_windows")
+
+
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """One row for each document and item it leaks: id, text_hash, item, n_windows, item_windows, reparameterised."""
-    bench = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text"))
-    bench = _hashes(bench.where(F.col("text").isNotNull()).select("item", "text", template_words(F.col("text")).alias("words")))
+    known = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where(F.col("text").isNotNull())
+    bench = _hashes(known.select("item", "text", template_words(F.col("text")).alias("words")))
     bench = bench.where(F.size("words") >= SHORT).withColumn("w", F.when(F.size("words") >= WINDOW, WINDOW).otherwise(SHORT))
     windows = bench.select("item", "w", "words", F.posexplode_outer(F.when(F.col("w") == WINDOW, F.col("h8")).otherwise(F.col("h4"))).alias("item_pos", "h"))
     literal = F.size(F.filter(F.slice("words", F.col("item_pos") + 1, F.col("w")), lambda x: ~x.isin(NUMBER, NAME, UNIT)))
@@ -130,7 +159,11 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     pairs = met.groupBy("id", "text_hash", "item", "item_pos").agg(F.bool_and("other").alias("other"))
     pairs = pairs.groupBy("id", "text_hash", "item").agg(F.count(F.lit(1)).alias("n_windows"), F.bool_or("other").alias("reparameterised"))
     enough = F.when(F.col("w") == WINDOW, F.col("n_windows") >= coverage * F.col("item_windows")).otherwise(F.col("n_windows") == F.col("item_windows"))
-    return pairs.join(F.broadcast(totals) if n_windows <= BROADCAST_ROWS else totals, "item").where(enough).select("id", "text_hash", "item", "n_windows", "item_windows", "reparameterised")
+    out = ["n_windows", "item_windows", "reparameterised"]
+    asked = pairs.join(F.broadcast(totals) if n_windows <= BROADCAST_ROWS else totals, "item").where(enough).select("id", "text_hash", "item", *out, F.lit(True).alias("template"))
+    copied = _verbatim(source, known, coverage).select("*", F.lit(False).alias("reparameterised"), F.lit(False).alias("template"))
+    both = asked.unionByName(copied).groupBy("id", "text_hash", "item").agg(F.max(F.struct("template", *out)).alias("best"))
+    return both.select("id", "text_hash", "item", *(f"best.{c}" for c in out))
 
 
 def drop_leaking(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

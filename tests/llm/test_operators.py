@@ -171,6 +171,14 @@ def test_decontamination(spark):
     assert sorted(r.doc_id for r in decontaminate.drop_leaking(documents(spark, rows), items).collect()) == [3, 5, 6, 7, 8]
 
 
+def test_leaks_in_any_case_and_context(spark):
+    items = spark.createDataFrame([(1, "Maria has 5 apples and 3 pears. Maria gives 2 apples to Peter."), (2, "What is the capital city of France called?"), (3, "Name the largest planet.")], "item_id long, text string")
+    again = "John has 7 apples and 4 pears. John gives 3 apples to Paul."
+    rows = [(1, again), (2, "he asked, What is the capital city of France called? and left"), (3, "so WHAT IS THE CAPITAL CITY OF FRANCE CALLED then"), (4, "maria has 5 apples and 3 pears. maria gives 2 apples to peter."), (5, "please, Name the largest planet. now"), (6, again.replace("John gives", "Mark gives"))]
+    got = {(r.id, r.item, r.reparameterised) for r in decontaminate.leaks(documents(spark, rows), items).collect()}
+    assert got == {(1, 1, True), (2, 2, False), (3, 2, False), (4, 1, False), (5, 3, False)}
+
+
 def brute_segments(scores):
     """All maximal scoring segments by their definition: the best one, then both sides."""
     n = len(scores)
