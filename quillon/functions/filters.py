@@ -129,19 +129,20 @@ def entropy_threshold(path: ColumnLike) -> Column:
     return out.when(is_lock_file(path) | is_minified(path), 4.5).when(is_env_file(path), 2.5).otherwise(3.0)
 
 
+_MARKER_OF = {name: marker for marker, names in COMMENT_MARKERS.items() for name in names.split()}
+
+
 def comment_marker(path: ColumnLike) -> Column:
-    out = F
-    for marker, names in COMMENT_MARKERS.items():
-        out = out.when(extension(path).isin(*names.split()), marker)
-    return out
+    table = F.create_map(*[F.lit(x) for pair in _MARKER_OF.items() for x in pair])
+    return table[extension(path)]
 
 
 def in_line_comment(context: ColumnLike, column: ColumnLike, path: ColumnLike) -> Column:
     """The match starts at or after its line's first comment marker; column is 1-based in bytes."""
-    marker = comment_marker(path)
-    at = F.position(marker, _c(context))
-    before = F.octet_length(F.substring(_c(context), F.lit(1), at - 1))
-    return F.coalesce((at > 0) & (F.greatest(_c(column) - 1, F.lit(0)) >= before), F.lit(False))
+    # without a marker all of the context is before it
+    context, marker = _c(context), comment_marker(path)
+    before = F.octet_length(F.call_function("substring_index", context, marker, F.lit(1)))
+    return F.coalesce((before < F.octet_length(context)) & (F.greatest(_c(column) - 1, F.lit(0)) >= before), F.lit(False))
 
 
 def is_fixture(path: ColumnLike) -> Column:

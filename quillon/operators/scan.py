@@ -1,9 +1,11 @@
 """Lines, the keyword gate, and the two scan modes.
 
 Gated: a trie regex of all gate words runs over each line, its hits name rules,
-and only those (line, rule) pairs, joined with the broadcast rules, see a regex.
-Raw: every rule's regex sees every line. Both are one pass in the JVM without a
-shuffle.
+and only those (line, rule) pairs see their rule's regex. Raw: every rule's
+regex sees every line. Both are one pass in the JVM without a join or a
+shuffle. Patterns are literals of the plan, a branch for each rule, so a task
+compiles each once; a pattern that came from a column would be compiled anew
+whenever the rule changes from row to row.
 
 With compat_gate the gate keeps the earliest rule of each gate word only, as an
 automaton that maps a word to one rule does; by default every rule of a word is
@@ -18,8 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import filters, text
-from ..rules import Allowlist, Rule, builtin, frame
-from ..schema import FINDING_COLUMNS
+from ..rules import ENTROPY_BYTES, ENTROPY_RULE, Allowlist, Rule, builtin
+from ..schema import FINDING_COLUMNS, rank
 
 ALLOW_MARKER = "quillon:allow"
 MAX_FILE_BYTES = 5 * 1024 * 1024
@@ -107,19 +109,46 @@ def matches(pattern: Column, line: Column, group: int = 0) -> Column:
     return F.aggregate(zipped, zero, step, lambda acc: acc["out"])
 
 
-def _group_matches(line: Column, pattern: str, group: int) -> Column:
-    """Like matches() for a literal pattern, with the byte offset of the group itself."""
-    whole = f"(?s:(.*?))({pattern})"
-    gaps, found, wanted = (F.regexp_extract_all(line, F.lit(whole), F.lit(k)) for k in (1, 2, group + 2))
+def _by_rule(rules: list[Rule], ordinal: Column, one) -> Column:
+    """one(k, rule) of the row's rule: a branch for each, so that patterns are literals and compiled once a task."""
+    out = F
+    for k, r in enumerate(rules):
+        out = out.when(ordinal == k, one(r))
+    return out
+
+
+def with_matches(pairs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """pairs (text, ordinal, ...) with m, struct<start, text>, for each match of the row's rule, or of its group; start is a 0-based byte offset.
+
+    The texts of the matches come first and alone, so a line without any costs one pass of its pattern.
+    """
+    line, ordinal = F.col("text"), F.col("ordinal")
+    hits = _by_rule(rules, ordinal, lambda r: F.regexp_extract_all(line, F.lit(r.pattern), F.lit(0)))
+    found = pairs.withColumn("_hits", F.explode(F.filter(F.array(hits), lambda h: F.size(h) > 0)))
+    gaps = _by_rule(rules, ordinal, lambda r: F.regexp_extract_all(line, F.lit(f"(?s:(.*?))({r.pattern})"), F.lit(1)))
+    grouped = [r for r in rules if r.secret_group is not None]
+    columns = [gaps.alias("gap"), F.col("_hits").alias("hit")]
+    if grouped:
+        wants = _by_rule(rules, ordinal, lambda r: F.lit(None) if r.secret_group is None else F.regexp_extract_all(line, F.lit(r.pattern), F.lit(r.secret_group)))
+        columns.append(F.coalesce(wants, "_hits").alias("want"))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("out"))
 
     def step(acc: Column, m: Column) -> Column:
-        start = acc["at"] + F.octet_length(m["gap"])
-        lead = F.octet_length(F.substring(m["hit"], F.lit(1), F.position(m["want"], m["hit"]) - 1))
-        one = F.struct((start + lead).cast("int").alias("start"), m["want"].alias("text"))
+        start, want = acc["at"] + F.octet_length(m["gap"]), m["want"] if grouped else m["hit"]
+        lead = F.octet_length(F.substring(m["hit"], F.lit(1), F.position(want, m["hit"]) - 1)) if grouped else F.lit(0)
+        one = F.struct((start + lead).cast("int").alias("start"), want.alias("text"))
         return F.struct((start + F.octet_length(m["hit"])).cast("int").alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.aggregate(F.arrays_zip(gaps.alias("gap"), found.alias("hit"), wanted.alias("want")), zero, step, lambda acc: acc["out"])
+    placed = F.aggregate(F.arrays_zip(*columns), zero, step, lambda acc: acc["out"])
+    return found.withColumn("m", F.explode(placed)).drop("_hits")
+
+
+def spread(lines: DataFrame) -> DataFrame:
+    """lines over all cores where they come in fewer partitions, as from one small file; large inputs stay as they are split."""
+    cores = lines.sparkSession.sparkContext.defaultParallelism
+    if lines.isStreaming or lines._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return lines
+    return lines.repartition(cores)
 
 
 def _allowed(allow: Allowlist, matched: Column, path: Column) -> Column:
@@ -135,26 +164,28 @@ def _allowed(allow: Allowlist, matched: Column, path: Column) -> Column:
 
 def detect(pairs: DataFrame, rules: list[Rule], allow: Allowlist | None = None, honour_lists: bool = True) -> DataFrame:
     """Findings of (path, line, text, ordinal) pairs: regex, then group, entropy and allowlists."""
-    table = F.broadcast(frame(pairs.sparkSession, rules))
-    joined = pairs.join(table, "ordinal").where(F.rlike("text", F.col("pattern")))
-    hits = matches(F.col("pattern"), F.col("text"))
-    for k, r in enumerate(rules):  # a group's own offset needs a literal pattern
-        if r.secret_group is not None:
-            hits = F.when(F.col("ordinal") == k, _group_matches(F.col("text"), r.pattern, r.secret_group)).otherwise(hits)
-    found = joined.withColumn("m", F.explode_outer(hits)).where(F.col("m").isNotNull())
-    found = found.withColumn("matched", F.col("m.text")).where((F.col("matched") != "") | F.col("secret_group").isNull())
-    entropy_rule = F.col("rule_id") == "generic-high-entropy"
-    bits = text.shannon("matched")
-    found = found.where(F.col("entropy").isNull() | (bits >= F.col("entropy")))
-    found = found.where(~entropy_rule | (F.octet_length("matched") >= 20))
+    found = with_matches(pairs, rules).withColumn("matched", F.col("m.text"))
+    grouped = [k for k, r in enumerate(rules) if r.secret_group is not None]
+    if grouped:
+        found = found.where((F.col("matched") != "") | ~F.col("ordinal").isin(grouped))
+    of_entropy = [(k, r) for k, r in enumerate(rules) if r.entropy is not None]
+    if of_entropy:
+        least = F
+        for k, r in of_entropy:
+            least = least.when(F.col("ordinal") == k, r.entropy)
+        sizes = [k for k, r in of_entropy if r.rule_id == ENTROPY_RULE]
+        found = found.where(~F.col("ordinal").isin(sizes) | (F.octet_length("matched") >= ENTROPY_BYTES)) if sizes else found
+        found = found.where(~F.col("ordinal").isin([k for k, _ in of_entropy]) | (text.shannon("matched") >= least.otherwise(F.lit(0.0))))
     if honour_lists:
         for k, r in enumerate(rules):
             if r.allow != Allowlist():
                 found = found.where((F.col("ordinal") != k) | ~_allowed(r.allow, F.col("matched"), F.col("path")))
         if allow is not None:
             found = found.where(~_allowed(allow, F.col("matched"), F.col("path")))
+    about = F.array(*(F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.description).alias("description"), F.lit(r.severity).alias("severity"), F.lit(rank(r.severity)).alias("severity_rank")) for r in rules))
+    rule = F.get(about, F.col("ordinal"))
     return found.select(
-        "rule_id", "description", "severity", "severity_rank", "path", "line", (F.col("m.start") + 1).alias("column"), "matched", F.col("text").alias("context"),
+        *(rule[c].alias(c) for c in ("rule_id", "description", "severity", "severity_rank")), "path", "line", (F.col("m.start") + 1).alias("column"), "matched", F.col("text").alias("context"),
         F.lit(None).cast("string").alias("commit"), F.lit(False).alias("likely_false_positive"), F.lit(None).cast("string").alias("verification"), F.lit(None).cast("string").alias("verification_error"),
     )
 
@@ -165,7 +196,7 @@ def scan_gated(
     """The working-tree mode: gate, path filters, allowlists, allow comment, then annotation."""
     rules = builtin() if rules is None else rules
     rules = [r for r in rules if enable is None or r.rule_id in enable]
-    kept = lines.where(~F.lower("text").contains(allow_marker.lower()))
+    kept = spread(lines).where(~F.lower("text").contains(allow_marker.lower()))
     pairs = gate(kept, rules, compat_gate)
     for k, r in enumerate(rules):
         if r.path_filter:
@@ -180,7 +211,7 @@ def scan_raw(lines: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """Every rule on every line, without gate, path filters, lists or allow comment."""
     rules = builtin() if rules is None else rules
     every = F.array(*(F.when(F.col("text").rlike(r.pattern), F.lit(k)) for k, r in enumerate(rules)))
-    pairs = lines.withColumn("ordinal", F.explode(F.array_compact(every)))
+    pairs = spread(lines).withColumn("ordinal", F.explode(F.array_compact(every)))
     return detect(pairs, rules, honour_lists=False)
 
 
@@ -206,8 +237,6 @@ def sort_report(findings: DataFrame) -> DataFrame:
 
 def report(findings: DataFrame, min_severity: str | None = None, show_all: bool = False, only_verified: bool = False, where: Column | None = None, redact: bool = True) -> DataFrame:
     """The reporting chain: severity, false positives, verification, expression, redaction, order."""
-    from ..schema import rank
-
     if min_severity:
         findings = findings.where(F.col("severity_rank") >= rank(min_severity))
     if not show_all:
