@@ -96,13 +96,15 @@ def scan_base64(lines: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
 def rotated(findings: DataFrame, within: int = 3) -> DataFrame:
     """Findings whose rule has another value one to `within` lines further down, in any file: likely old values.
 
-    Lines are dealt into bands of the window's size, so the range join is an
-    equi-join on (rule, band) with its neighbour.
+    A line's values are known by their least and greatest: another value follows
+    if either differs. Both are summed up by (rule, line) over all files first,
+    so a line number that every file has is one row, and the join is an equi-join.
     """
-    keyed = findings.withColumn("_band", F.floor(F.col("line") / (within + 1)))
-    other = findings.select(F.col("rule_id"), F.col("line").alias("_line"), F.col("matched").alias("_matched"), F.explode(F.array(F.floor(F.col("line") / (within + 1)), F.floor(F.col("line") / (within + 1)) - 1)).alias("_band")).distinct()
-    later = (F.col("_line") - F.col("line")).between(1, within) & (F.col("_matched") != F.col("matched"))
-    return keyed.alias("k").join(other.alias("o"), (F.col("k.rule_id") == F.col("o.rule_id")) & (F.col("k._band") == F.col("o._band")) & later, "left_semi").drop("_band")
+    values = findings.groupBy("rule_id", "line").agg(F.min("matched").alias("_low"), F.max("matched").alias("_high"))
+    above = F.sequence(F.col("line") - within, F.col("line") - 1)
+    ahead = values.select("rule_id", F.explode(above).alias("line"), "_low", "_high").groupBy("rule_id", "line").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+    other = (F.col("_low") != F.col("matched")) | (F.col("_high") != F.col("matched"))
+    return findings.join(ahead, ["rule_id", "line"]).where(other).select(*findings.columns)
 
 
 def continued(lines: DataFrame, least: int = 20) -> DataFrame:

@@ -85,7 +85,7 @@ def override_severity(findings: DataFrame, overrides: DataFrame) -> DataFrame:
     """overrides: (rule_id, severity)."""
     from ..schema import severity_rank
 
-    out = findings.join(F.broadcast(overrides.select("rule_id", F.col("severity").alias("_severity"))), "rule_id", "left")
+    out = findings.join(overrides.select("rule_id", F.col("severity").alias("_severity")), "rule_id", "left")
     out = out.withColumn("severity", F.coalesce("_severity", "severity")).drop("_severity")
     return out.withColumn("severity_rank", severity_rank(F.col("severity")))
 
@@ -119,27 +119,49 @@ def exit_code(findings: DataFrame, severity: str = "low", code: int = 1, ignore:
     return code if not findings.where(F.col("severity_rank") >= rank(severity)).isEmpty() else 0
 
 
-FRAMEWORKS = ("SOC2", "PCI-DSS", "HIPAA", "GDPR", "ISO27001", "NIST")
+# The sentences of a compliance report; frameworks with theirs, and whether those need a serious finding.
+ROTATE = "Immediately rotate %d critical-severity secrets detected in the codebase."
+REMEDIATE = "Prioritize remediation of %d high-severity findings within 24 hours."
+ACTIVE = "%d secrets were verified as ACTIVE — rotate them immediately."
+UNVERIFIED = "More than 50% of findings are unverified. Run with --verify to check active status."
+NOTHING = "No critical findings detected. Continue regular scanning."
+FRAMEWORKS: dict[str, list[tuple[str, bool]]] = {
+    "SOC2": [("SOC 2 CC6.1: Security controls must prevent unauthorized access to sensitive data.", False)],
+    "PCI-DSS": [
+        ("PCI-DSS Requirement 6.5.6: All security vulnerabilities must be remediated.", True),
+        ("PCI-DSS Requirement 3.2: Strong cryptography must be used for stored cardholder data.", False),
+    ],
+    "HIPAA": [("HIPAA 164.312(a)(2)(iv): Encryption and decryption of electronic protected health information.", False)],
+    "GDPR": [("GDPR Article 32: Security of processing — implement appropriate technical measures.", False)],
+    "ISO27001": [("ISO 27001 A.8.3: Information access restriction and cryptography controls.", False)],
+    "NIST": [("NIST CSF PR.DS-1: Data-at-rest is protected. Rotate exposed secrets.", False)],
+}
 
 
 def compliance(findings: DataFrame, framework: str = "SOC2") -> DataFrame:
-    """One row: counts, status, findings by rule and recommendations."""
+    """One row: counts, status, findings by rule and recommendations.
+
+    Critical or high findings are non_compliant, medium ones compliant_with_warnings; unverified
+    are those without any status; half of the findings is rounded down.
+    """
     status = lambda s: F.count_if(F.col("verification") == s)
-    unverified = F.count_if(F.col("verification").isNull() | F.col("verification").isin("unknown", "error"))
-    counts = {"total": F.count(F.lit(1)), **{s: _of(s) for s in ("critical", "high", "medium", "low")}, "active": status("active"), "inactive": status("inactive"), "unverified": unverified}
+    counts = {"total": F.count(F.lit(1)), **{s: _of(s) for s in ("critical", "high", "medium", "low")}, "active": status("active"), "inactive": status("inactive"), "unverified": F.count_if(F.col("verification").isNull())}
     by_rule = findings.groupBy("rule_id").agg(*(c.alias(n) for n, c in counts.items()))
     rules = F.map_from_entries(F.sort_array(F.collect_list(F.struct("rule_id", "total"))))
     one = by_rule.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in counts), rules.alias("findings_by_rule"))
-    state = F.when((F.col("critical") > 0) | (F.col("active") > 0), "non_compliant").when(F.col("high") > 0, "needs_review").otherwise("compliant")
+    serious = (F.col("critical") > 0) | (F.col("high") > 0)
+    state = F.when(serious, "non_compliant").when(F.col("medium") > 0, "compliant_with_warnings").otherwise("compliant")
     advice = F.array_compact(
         F.array(
-            F.when(F.col("critical") > 0, F.lit("Rotate critical credentials at once")),
-            F.when(F.col("active") > 0, F.lit("Revoke credentials that are verified as active")),
-            F.when(F.col("high") > 0, F.lit("Review high-severity findings")),
-            F.when(F.col("unverified") > F.floor(F.col("total") / 2), F.lit("Verify the findings that have no status")),
+            F.when(F.col("critical") > 0, F.format_string(ROTATE, "critical")),
+            F.when(F.col("high") > 0, F.format_string(REMEDIATE, "high")),
+            F.when(F.col("active") > 0, F.format_string(ACTIVE, "active")),
+            F.when(F.col("unverified") > F.floor(F.col("total") / 2), F.lit(UNVERIFIED)),
         )
     )
-    return one.withColumn("framework", F.lit(framework)).withColumn("status", state).withColumn("recommendations", advice)
+    advice = F.when(F.size(advice) > 0, advice).otherwise(F.array(F.lit(NOTHING)))
+    own = F.array_compact(F.array(*(F.when(serious, F.lit(text)) if needed else F.lit(text) for text, needed in FRAMEWORKS[framework])))
+    return one.withColumn("framework", F.lit(framework)).withColumn("status", state).withColumn("recommendations", F.concat(advice, own))
 
 
 BASE_RISK = {"critical": 90, "high": 70, "medium": 50, "low": 25}
@@ -152,28 +174,47 @@ def risk_score(severity: Column) -> Column:
     return out.otherwise(F.lit(25))
 
 
+#: Places in the original order that still lower a priority.
+PLACES = 20
+
+
 def prioritise(findings: DataFrame, order: list[str]) -> DataFrame:
-    """Active first, then by severity; priority is the base less the place in the original order (20 at most, 10 for low)."""
-    place = F.row_number().over(Window.orderBy(*order)) - 1
-    ranked = findings.withColumn("place", place)
+    """Active first, then by severity; priority is the base less the place in the original order (20 at most, 10 for low).
+
+    Only the first PLACES places differ, so only those rows are numbered; all others have place PLACES.
+    """
+    keyed = findings.withColumn("_key", F.struct(*order, F.xxhash64(*findings.columns).alias("_tie")))
+    first = keyed.select("_key").orderBy("_key").limit(PLACES)
+    last = first.agg(F.max("_key").alias("_last"))  # one row
+    both = keyed.crossJoin(F.broadcast(last))
+    place = F.least(F.row_number().over(Window.orderBy("_key")) - 1, F.lit(PLACES))
+    head = both.where(F.col("_key") <= F.col("_last")).withColumn("place", place)
+    rest = both.where(~F.coalesce(F.col("_key") <= F.col("_last"), F.lit(False))).withColumn("place", F.lit(PLACES))
     most = F.when(F.col("severity") == "low", 10).otherwise(20)
-    ranked = ranked.withColumn("priority", risk_score(F.col("severity")) - F.least(F.col("place"), most))
-    return ranked.orderBy(F.desc(F.coalesce(F.col("verification") == "active", F.lit(False))), F.desc("severity_rank"), "place")
+    ranked = head.unionByName(rest).withColumn("priority", risk_score(F.col("severity")) - F.least(F.col("place"), most))
+    ranked = ranked.orderBy(F.desc(F.coalesce(F.col("verification") == "active", F.lit(False))), F.desc("severity_rank"), "place", "_key")
+    return ranked.drop("_key", "_last")
 
 
 def project_counts(findings: DataFrame) -> DataFrame:
+    """Findings of each project."""
     return findings.groupBy("project").agg(F.count(F.lit(1)).alias("findings"), _of("critical").alias("critical"))
 
 
+def baseline_total(baselines: DataFrame) -> DataFrame:
+    """Fingerprints over the baselines of all projects (project, fingerprint): one row."""
+    return baselines.agg(F.count("fingerprint").alias("total"))
+
+
 def category_of(findings: DataFrame, categories: DataFrame) -> DataFrame:
     """Each finding with its first category by name; categories: (name, rule_ids array)."""
     flat = categories.select("name", F.explode("rule_ids").alias("rule_id")).groupBy("rule_id").agg(F.min("name").alias("category"))
-    return findings.join(F.broadcast(flat), "rule_id", "left")
+    return findings.join(flat, "rule_id", "left")
 
 
 def permitted(tokens: DataFrame, roles: DataFrame, permission: str) -> DataFrame:
     """tokens (token, role) whose role (role, permissions array) holds the permission."""
-    return tokens.join(F.broadcast(roles), "role").where(F.array_contains("permissions", permission)).select("token", "role")
+    return tokens.join(roles, "role").where(F.array_contains("permissions", permission)).select("token", "role")
 
 
 def ingest(tracked: DataFrame, findings: DataFrame, now: int, by: str = "scanner") -> DataFrame:

@@ -1,14 +1,17 @@
 """Patch history as added lines.
 
-The patch text is a DataFrame of numbered lines. Commit, file and hunk are
+The patch stream is spooled to a file and read in parallel, a row a commit,
+which becomes numbered lines. Commit, file and hunk are
 carried down by window functions over one commit's lines, so commits are
 independent and spread over the cluster.
 """
 
 from __future__ import annotations
 
+import re
 import subprocess
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,20 +35,28 @@ class Scope:
         return [*out, self.branch or "--all"]
 
 
-def patch_text(root: str, scope: Scope | None = None) -> str:
+def spool_patches(root: str, folder: str, scope: Scope | None = None) -> str:
+    """Write the patch stream of a repository to a file in folder, as it comes; folder must be one that executors see."""
+    path = Path(folder) / "history.patch"
     command = ["git", "-C", root, "log", "-p", "--unified=0", "--no-color", *(scope or Scope()).arguments()]
-    return subprocess.run(command, capture_output=True, check=True).stdout.decode("utf-8", "replace")
+    with path.open("wb") as out:
+        subprocess.run(command, stdout=out, check=True)
+    return str(path)
+
+
+def read_patches(spark: SparkSession, path: str) -> DataFrame:
+    """(commit, path, line, text) of every added line of patch files, split at commits so that a file is read in parallel.
+
+    Only a commit's first line starts with the word: messages are indented, and lines of a patch carry a sign.
+    """
+    chunks = spark.read.option("lineSep", "\ncommit ").text(path).select(F.monotonically_increasing_id().alias("chunk"), "value")
+    whole = F.when(F.col("value").startswith("commit "), F.col("value")).otherwise(F.concat(F.lit("commit "), "value"))
+    return parse_patches(chunks.select("chunk", whole.alias("patch")))
 
 
 def added_lines(spark: SparkSession, patch: str) -> DataFrame:
-    """(commit, path, line, text) of every added line of a patch stream."""
-    chunks, current = [], []
-    for line in patch.split("\n"):
-        if line.startswith("commit ") and current:
-            chunks.append("\n".join(current))
-            current = []
-        current.append(line)
-    chunks.append("\n".join(current))
+    """The same of a patch stream that is at hand as one text."""
+    chunks = re.split(r"\n(?=commit )", patch)
     return parse_patches(spark.createDataFrame(list(enumerate(chunks)), "chunk long, patch string"))
 
 

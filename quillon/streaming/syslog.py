@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,9 +15,23 @@ VAULT_TOKENS = Rule("vault-token-in-log", "Vault token in a log line", "high", r
 
 
 def log_lines(lines: DataFrame, source: str, text: str = "value") -> DataFrame:
-    """(path, line, text) of a batch of log lines in file order; a stream has no numbers, its lines are 0."""
-    number = F.lit(0) if lines.isStreaming else (F.monotonically_increasing_id() + 1).cast("int")
-    return lines.select(F.lit(source).alias("path"), number.alias("line"), F.col(text).alias("text"))
+    """(path, line, text) of a batch of log lines in file order; a stream has no numbers, its lines are 0.
+
+    Lines are numbered within the block of the file they were read from, or the
+    partition where there is no file, and blocks by the lines of those before.
+    """
+    if lines.isStreaming:
+        return lines.select(F.lit(source).alias("path"), F.lit(0).alias("line"), F.col(text).alias("text"))
+    at = F.monotonically_increasing_id()
+    try:
+        rows = lines.select(F.col(text).alias("text"), at.alias("_at"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    except AnalysisException:
+        rows = lines.select(F.col(text).alias("text"), at.alias("_at"), F.lit("").alias("_file"), F.shiftright(at, 33).alias("_block"))
+    blocks = rows.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1))  # a row a block
+    blocks = blocks.select("_file", "_block", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_at"))
+    return rows.withColumn("_place", place).join(blocks, ["_file", "_block"]).select(F.lit(source).alias("path"), (F.col("_before") + F.col("_place")).cast("int").alias("line"), "text")
 
 
 def scan_log(lines: DataFrame, rules: list[Rule] | None = None, max_lines: int = 0) -> DataFrame:
