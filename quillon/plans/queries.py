@@ -1,93 +1,17 @@
-"""Registered queries of the secret-detection engine with their SQL counterparts.
-
-The given tables hold few secrets, so lines are built from `orders` by rules
-that Spark and DuckDB share (md5, modulo); texts come from `documents`,
-`pages` and `events`.
-"""
+"""Registered queries on findings: scans, reports, joins, aggregates."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import decode, filters, text
 from ..operators import expressions, iac, matching, relational, scan
-from ..rules import ENTROPY_RULE, Rule, builtin
+from ..rules import ENTROPY_RULE, Allowlist, builtin
 from ..schema import fingerprint
 from ..sinks import formats
 from ..streaming import tracker
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-CHOSEN = ("aws-access-key-id", "github-pat", ENTROPY_RULE)
-
-
-def rules() -> list[Rule]:
-    return [r for r in builtin() if r.rule_id in CHOSEN]
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, line, text), a line an order."""
-    k = F.col("o_orderkey")
-    digest = F.md5(k.cast("string").cast("binary"))
-    folder = F.element_at(F.array(*map(F.lit, ("tests", "docs", "vendor", "src", "src", "src", "src"))), (k % 7 + 1).cast("int"))
-    ext = F.element_at(F.array(*map(F.lit, ("py", "js", "env", "md", "yaml"))), (k % 5 + 1).cast("int"))
-    body = (
-        F.when(k % 4 == 0, F.concat(F.lit('aws_key = "AKIA'), F.upper(F.substring(digest, 1, 16)), F.lit('"')))
-        .when(k % 4 == 1, F.concat(F.lit("token = ghp_"), digest, F.substring(digest, 1, 4)))
-        .when(k % 4 == 2, F.concat(F.lit("# password: "), digest))
-        .otherwise(F.concat(F.lit("plain text line "), k.cast("string")))
-    )
-    path = F.concat(folder, F.lit("/f"), (k % 50).cast("string"), F.lit("."), ext)
-    return _table(spark, sf_dir, "orders").select(path.alias("path"), k.cast("int").alias("line"), body.alias("text"))
-
-
-LINES_SQL = """
-lines AS (SELECT (['tests','docs','vendor','src','src','src','src'])[o_orderkey % 7 + 1] || '/f' || (o_orderkey % 50) || '.' || (['py','js','env','md','yaml'])[o_orderkey % 5 + 1] AS path,
-  o_orderkey::INT AS line,
-  CASE o_orderkey % 4 WHEN 0 THEN 'aws_key = "AKIA' || upper(substr(md5(o_orderkey::VARCHAR), 1, 16)) || '"'
-    WHEN 1 THEN 'token = ghp_' || md5(o_orderkey::VARCHAR) || substr(md5(o_orderkey::VARCHAR), 1, 4)
-    WHEN 2 THEN '# password: ' || md5(o_orderkey::VARCHAR) ELSE 'plain text line ' || o_orderkey END AS text FROM orders)"""
-
-_BITS = "list_sum(list_transform(list_distinct(string_split({v}, '')), lambda c: -((length({v}) - length(replace({v}, c, '')))::DOUBLE / strlen({v})) * log2((length({v}) - length(replace({v}, c, '')))::DOUBLE / strlen({v}))))"
-
-FOUND_SQL = (
-    LINES_SQL
-    + r""",
-hits AS (
-  SELECT 'aws-access-key-id' AS rule_id, 'critical' AS severity, 4 AS severity_rank, path, line, text, regexp_extract(text, '\b(AKIA|ASIA|AGPA|AIDA|AROA|AIPA|ANPA|ANVA|ASCA)[0-9A-Z]{16}\b') AS matched FROM lines
-  UNION ALL SELECT 'github-pat', 'critical', 4, path, line, text, regexp_extract(text, '\bgh[pousr]_[A-Za-z0-9]{36,255}\b') FROM lines
-  UNION ALL SELECT 'generic-high-entropy', 'medium', 2, path, line, text, v FROM (SELECT *, regexp_extract(text, '(?i)(key|token|secret|passwd|password|api[_-]?key)\s*[:=]\s*[''"]?([A-Za-z0-9+/_\-\.=]{16,})[''"]?', 2) AS v FROM lines)
-    WHERE strlen(v) >= 20 AND """
-    + _BITS.format(v="v")
-    + r""" >= 3.5),
-found AS (SELECT rule_id, severity, severity_rank, path, line, strpos(text, matched)::INT AS "column", matched, text AS context,
-    (CASE WHEN path LIKE '%.py' OR path LIKE '%.env' OR path LIKE '%.yaml' THEN strpos(text, '#') > 0 AND strpos(text, matched) >= strpos(text, '#')
-          WHEN path LIKE '%.js' THEN strpos(text, '//') > 0 AND strpos(text, matched) >= strpos(text, '//') ELSE false END) OR path LIKE 'tests/%' AS likely_false_positive
-  FROM hits WHERE matched <> '')"""
-)
-
-
-def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.scan_gated(lines(spark, sf_dir), rules())
-
-
-def register(name: str, sql: str | None = None, cte: str | None = None) -> Callable[[Query], Query]:
-    def add(query: Query) -> Query:
-        QUERIES[name] = query
-        if sql is not None:
-            ORACLES[name] = f"WITH {cte}\n{sql}" if cte else sql
-        return query
-
-    return add
+from .base import BITS, FOUND_SQL, LINES_SQL, ORACLES, QUERIES, found, found_once, lines, register, rules, table
 
 
 @register("scan_gated", 'SELECT rule_id, severity, path, line, "column", matched, context, likely_false_positive FROM found', FOUND_SQL)
@@ -95,24 +19,17 @@ def scan_gated(spark, sf_dir):
     return found(spark, sf_dir).select("rule_id", "severity", "path", "line", "column", "matched", "context", "likely_false_positive")
 
 
-@register("scan_documents", None)
-def scan_documents(spark, sf_dir):
-    """The whole catalog over the documents' lines."""
-    docs = _table(spark, sf_dir, "documents").select(F.concat(F.lit("docs-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")
-    return scan.scan_gated(scan.lines_of(docs)).select("rule_id", "path", "line", "column", "matched")
-
-
 @register(
     "entropy_documents",
     r"""SELECT doc_id, v AS value, round("""
-    + _BITS.format(v="v")
+    + BITS.format(v="v")
     + r""", 6) AS bits FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(key|token|secret|passwd|password|api[_-]?key)[ \t]*[:=][ \t]*[''"]?([A-Za-z0-9+/_\-\.=]{16,})[''"]?', 2)) AS v FROM documents)
     WHERE strlen(v) >= 20 AND """
-    + _BITS.format(v="v")
+    + BITS.format(v="v")
     + " >= 3.5",
 )
 def entropy_documents(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
     hits = scan.scan_gated(scan.lines_of(docs), [r for r in builtin() if r.rule_id == ENTROPY_RULE], flag=False)
     return hits.select(F.col("path").cast("long").alias("doc_id"), F.col("matched").alias("value"), F.round(text.shannon("matched"), 6).alias("bits"))
 
@@ -123,7 +40,7 @@ def entropy_documents(spark, sf_dir):
     FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '\r?\n$', ''), '\r?\n') AS parts FROM documents WHERE text <> '')""",
 )
 def document_lines(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
     return scan.lines_of(docs).withColumnRenamed("path", "doc_id")
 
 
@@ -145,8 +62,6 @@ def rule_subset(spark, sf_dir):
 
 @register("allowlist", "SELECT rule_id, path, line FROM found WHERE NOT regexp_matches(matched, '^AKIA0') AND NOT path LIKE 'vendor/%' AND NOT contains(matched, 'abc')", FOUND_SQL)
 def allowlist(spark, sf_dir):
-    from ..rules import Allowlist
-
     return scan.scan_gated(lines(spark, sf_dir), rules(), allow=Allowlist(("^AKIA0",), ("^vendor/",), ("abc",))).select("rule_id", "path", "line")
 
 
@@ -193,18 +108,18 @@ def expression_verifier(spark, sf_dir):
 
 @register("baseline_anti", "SELECT rule_id, path, line FROM found WHERE line % 10 <> 0", FOUND_SQL)
 def baseline_anti(spark, sf_dir):
-    hits = found(spark, sf_dir)
+    hits = found_once(spark, sf_dir)
     return relational.apply_baseline(hits, relational.baseline_of(hits.where(F.col("line") % 10 == 0))).select("rule_id", "path", "line")
 
 
 @register("baseline_suppressed", "SELECT count(*) AS suppressed FROM found WHERE line % 10 = 0", FOUND_SQL)
 def baseline_suppressed(spark, sf_dir):
-    hits = found(spark, sf_dir)
+    hits = found_once(spark, sf_dir)
     return relational.suppressed_by(hits, relational.baseline_of(hits.where(F.col("line") % 10 == 0)))
 
 
 def _changes(spark, sf_dir):
-    hits = found(spark, sf_dir)
+    hits = found_once(spark, sf_dir)
     return relational.diff(hits.where(F.col("line") % 3 != 0), hits.where(F.col("line") % 5 != 0))
 
 
@@ -223,7 +138,7 @@ def diff_summary(spark, sf_dir):
 
 @register("suppressions", "SELECT rule_id, path, line FROM found WHERE NOT (line % 4 = 0 AND (line % 8 <> 0 OR line % 3 = 0))", FOUND_SQL)
 def suppressions(spark, sf_dir):
-    hits = found(spark, sf_dir)
+    hits = found_once(spark, sf_dir)
     expiry = F.when(F.col("line") % 8 != 0, F.lit(None)).when(F.col("line") % 3 == 0, 2_000).otherwise(500).cast("long")
     table = hits.where(F.col("line") % 4 == 0).select(fingerprint().alias("fingerprint"), F.lit("known").alias("reason"), F.lit("me").alias("suppressed_by"), F.lit(1).cast("long").alias("created_at"), expiry.alias("expires_at"))
     return relational.apply_suppressions(hits, table, now=1_000).select("rule_id", "path", "line")
@@ -237,7 +152,7 @@ def override_severity(spark, sf_dir):
 
 @register("verify_cache", "SELECT rule_id, path, line, CASE WHEN line % 2 = 0 THEN 'active' END AS verification FROM found", FOUND_SQL)
 def verify_cache(spark, sf_dir):
-    hits = found(spark, sf_dir)
+    hits = found_once(spark, sf_dir)
     cache = hits.where(F.col("line") % 2 == 0).select("rule_id", text.secret_hash("matched").alias("secret_hash"), F.lit("active").alias("status"), F.lit(1).cast("long").alias("timestamp"))
     return relational.fill_verification(hits, cache).select("rule_id", "path", "line", "verification")
 
@@ -247,14 +162,41 @@ def verify_formats(spark, sf_dir):
     return relational.verify_formats(found(spark, sf_dir)).select("rule_id", "line", "verification")
 
 
-@register("compliance", "SELECT count(*) AS total, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, CASE WHEN count(*) FILTER (severity = 'critical') > 0 THEN 'non_compliant' ELSE 'compliant' END AS status FROM found", FOUND_SQL)
+@register(
+    "compliance",
+    """SELECT *, CASE WHEN critical > 0 OR high > 0 THEN 'non_compliant' WHEN medium > 0 THEN 'compliant_with_warnings' ELSE 'compliant' END AS status,
+        list_concat(CASE WHEN len(said) > 0 THEN said ELSE ['No critical findings detected. Continue regular scanning.'] END, ['SOC 2 CC6.1: Security controls must prevent unauthorized access to sensitive data.']) AS recommendations, 'SOC2' AS framework
+    FROM (SELECT *, list_filter([CASE WHEN critical > 0 THEN 'Immediately rotate ' || critical || ' critical-severity secrets detected in the codebase.' END,
+            CASE WHEN high > 0 THEN 'Prioritize remediation of ' || high || ' high-severity findings within 24 hours.' END, CASE WHEN active > 0 THEN active || ' secrets were verified as ACTIVE — rotate them immediately.' END,
+            CASE WHEN unverified > total // 2 THEN 'More than 50% of findings are unverified. Run with --verify to check active status.' END], lambda x: x IS NOT NULL) AS said
+        FROM (SELECT count(*) AS total, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low,
+            count(*) FILTER (line % 3 = 0) AS active, count(*) FILTER (line % 3 = 1) AS inactive, count(*) FILTER (line % 9 = 2) AS unverified FROM found))""".replace("SELECT *, CASE WHEN critical > 0 OR", "SELECT * EXCLUDE (said), CASE WHEN critical > 0 OR"),
+    FOUND_SQL,
+)
 def compliance(spark, sf_dir):
-    return relational.compliance(found(spark, sf_dir)).select("total", "critical", "high", "status")
+    k = F.col("line")
+    known = found(spark, sf_dir).withColumn("verification", F.when(k % 3 == 0, "active").when(k % 3 == 1, "inactive").when(k % 9 == 2, None).otherwise("unknown"))
+    return relational.compliance(known).drop("findings_by_rule")
+
+
+@register(
+    "compliance_by_rule",
+    "SELECT unnest(['SOC2', 'PCI-DSS', 'HIPAA', 'GDPR', 'ISO27001', 'NIST']) AS framework, rule_id, n FROM (SELECT rule_id, count(*) AS n FROM found WHERE severity = 'medium' GROUP BY rule_id)",
+    FOUND_SQL,
+)
+def compliance_by_rule(spark, sf_dir):
+    """Reports of all frameworks over the medium findings."""
+    hits = found_once(spark, sf_dir).where("severity = 'medium'")
+    out = None
+    for name in relational.FRAMEWORKS:
+        one = relational.compliance(hits, name).where("status = 'compliant_with_warnings'").select("framework", F.explode("findings_by_rule").alias("rule_id", "n"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @register("prioritise", "SELECT rule_id, line, CASE severity WHEN 'critical' THEN 90 WHEN 'high' THEN 70 WHEN 'medium' THEN 50 ELSE 25 END - least(row_number() OVER (ORDER BY path, line, rule_id) - 1, 20) AS priority FROM found", FOUND_SQL)
 def prioritise(spark, sf_dir):
-    return relational.prioritise(found(spark, sf_dir), ["path", "line", "rule_id"]).select("rule_id", "line", "priority")
+    return relational.prioritise(found_once(spark, sf_dir), ["path", "line", "rule_id"]).select("rule_id", "line", "priority")
 
 
 @register("category_lookup", "SELECT rule_id, line, CASE WHEN rule_id LIKE 'aws%' THEN 'cloud' WHEN rule_id = 'github-pat' THEN 'code' END AS category FROM found", FOUND_SQL)
@@ -270,7 +212,7 @@ def project_counts(spark, sf_dir):
 
 @register("tracker_ingest", "SELECT state, count(*) AS n FROM (SELECT CASE WHEN line % 6 = 0 THEN 'closed' ELSE 'open' END AS state FROM found) GROUP BY state", FOUND_SQL)
 def tracker_ingest(spark, sf_dir):
-    hits = found(spark, sf_dir)
+    hits = found_once(spark, sf_dir)
     empty = relational.ingest(hits.where("false").select(F.lit("").alias("fingerprint"), "rule_id", "path", "line", "matched", *[F.lit(None).cast(t).alias(c) for c, t in (("state", "string"), ("detected_at", "long"), ("updated_at", "long"), ("updated_by", "string"), ("tags", "array<string>"), ("assigned_to", "string"))]), hits.where(F.col("line") % 6 == 0), now=1)
     closed = relational.set_state(empty, empty.select("fingerprint", F.lit("closed").alias("state"), F.lit("me").alias("by")), now=2)
     return relational.by_state(relational.ingest(closed, hits, now=3))
@@ -278,7 +220,7 @@ def tracker_ingest(spark, sf_dir):
 
 @register("rotation", "SELECT rule_id, path, line FROM found f WHERE EXISTS (SELECT 1 FROM found o WHERE o.rule_id = f.rule_id AND o.line - f.line BETWEEN 1 AND 3 AND o.matched <> f.matched)", FOUND_SQL)
 def rotation(spark, sf_dir):
-    return matching.rotated(found(spark, sf_dir)).select("rule_id", "path", "line")
+    return matching.rotated(found_once(spark, sf_dir)).select("rule_id", "path", "line")
 
 
 @register("composite", r"SELECT path, line, strpos(text, 'AKIA')::INT AS \"column\", regexp_extract(text, 'AKIA[0-9A-Z]+') AS matched FROM lines l WHERE contains(text, 'AKIA') AND EXISTS (SELECT 1 FROM lines o WHERE o.path = l.path AND o.line BETWEEN l.line - 100 AND l.line + 100 AND contains(o.text, 'password'))".replace('\\"', '"'), LINES_SQL)
@@ -302,9 +244,9 @@ def value_predicates(spark, sf_dir):
     return found(spark, sf_dir).select("matched", filters.is_hex_blob("matched").alias("hex_blob"), filters.is_example("matched").alias("example"))
 
 
-@register("entropies", "SELECT v AS value, round(" + _BITS.format(v="v") + ", 6) AS shannon, round(-log2(list_max(list_transform(list_distinct(string_split(v, '')), lambda c: (length(v) - length(replace(v, c, '')))::DOUBLE / length(v)))), 6) AS least FROM (SELECT md5(c_name) AS v FROM customer)")
+@register("entropies", "SELECT v AS value, round(" + BITS.format(v="v") + ", 6) AS shannon, round(-log2(list_max(list_transform(list_distinct(string_split(v, '')), lambda c: (length(v) - length(replace(v, c, '')))::DOUBLE / length(v)))), 6) AS least FROM (SELECT md5(c_name) AS v FROM customer)")
 def entropies(spark, sf_dir):
-    values = _table(spark, sf_dir, "customer").select(F.md5(F.col("c_name").cast("binary")).alias("value"))
+    values = table(spark, sf_dir, "customer").select(F.md5(F.col("c_name").cast("binary")).alias("value"))
     return values.select("value", F.round(text.shannon("value"), 6).alias("shannon"), F.round(text.min_entropy("value"), 6).alias("least"))
 
 
@@ -315,12 +257,12 @@ def secret_hashes(spark, sf_dir):
 
 @register("html_text", r"SELECT page_id, length(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<style\b.*?</style\s*>', '', 'g'), '(?s)<[^>]*>', '', 'g')) AS n FROM pages")
 def html_text(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", F.char_length(decode.strip_tags("html")).cast("long").alias("n"))
+    return table(spark, sf_dir, "pages").select("page_id", F.char_length(decode.strip_tags("html")).cast("long").alias("n"))
 
 
 @register("json_strings", """SELECT event_id, regexp_extract_all(props, '"((?:[^"\\\\]|\\\\.)*)"', 1) AS strings FROM events""".replace("\\\\\\\\", "\\\\"))
 def json_strings(spark, sf_dir):
-    return _table(spark, sf_dir, "events").select("event_id", decode.json_strings("props").alias("strings"))
+    return table(spark, sf_dir, "events").select("event_id", decode.json_strings("props").alias("strings"))
 
 
 @register("env_pairs", "SELECT path, line, trim(split_part(text, '=', 1)) AS key, trim(trim(substr(text, strpos(text, '=') + 1)), '\"''') AS value FROM lines WHERE contains(text, '=')", LINES_SQL)
@@ -347,7 +289,7 @@ def github_annotations(spark, sf_dir):
 
 @register("prometheus", """SELECT 'quillon_findings_total{severity="' || severity || '"} ' || count(*) AS value FROM found GROUP BY severity UNION ALL SELECT 'quillon_findings_by_rule{rule="' || rule_id || '"} ' || count(*) FROM found GROUP BY rule_id""", FOUND_SQL)
 def prometheus(spark, sf_dir):
-    return formats.prometheus_lines(found(spark, sf_dir))
+    return formats.prometheus_lines(found_once(spark, sf_dir))
 
 
 @register("sarif_rules", "SELECT rule_id FROM found GROUP BY rule_id", FOUND_SQL)
@@ -357,7 +299,7 @@ def sarif_rules(spark, sf_dir):
 
 @register("events_by_hour", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def events_by_hour(spark, sf_dir):
-    return tracker.counts_by_window(_table(spark, sf_dir, "events"), "ts", "event_type", "1 hour")
+    return tracker.counts_by_window(table(spark, sf_dir, "events"), "ts", "event_type", "1 hour")
 
 
 @register("key_pairs", "SELECT path, max(line) FILTER (k % 2 = 0) AS line FROM (SELECT path, line, line // 4 AS k FROM lines WHERE contains(text, 'AKIA')) GROUP BY path HAVING count(*) FILTER (k % 2 = 0) > 0 AND count(*) FILTER (k % 2 = 1) > 0", LINES_SQL)
@@ -368,15 +310,12 @@ def key_pairs(spark, sf_dir):
     return iac.key_pairs(own).select("path", "line")
 
 
-@register("rule_tests", None)
-def rule_tests(spark, sf_dir):
-    cases = lines(spark, sf_dir).select(F.lit("github-pat").alias("rule_id"), F.col("text").alias("input"), F.col("text").contains("ghp_").alias("should_match"))
-    return matching.rule_tests(cases, rules())
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings by rule and severity of the built lines and the documents together."""
-    docs = _table(spark, sf_dir, "documents").select(F.concat(F.lit("corpus/"), F.col("doc_id").cast("string"), F.lit(".log")).alias("path"), "text")
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("corpus/"), F.col("doc_id").cast("string"), F.lit(".log")).alias("path"), "text")
     both = lines(spark, sf_dir).unionByName(scan.lines_of(docs))
     hits = scan.scan_gated(both)
     return hits.groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("findings"), F.count_if("likely_false_positive").alias("hidden"), F.countDistinct("path").alias("files"))
+
+
+from . import contents, reports  # noqa: E402, F401  they register themselves
