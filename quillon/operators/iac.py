@@ -200,15 +200,14 @@ def scan_files(documents: DataFrame) -> DataFrame:
     """All structural findings of documents (path, text)."""
     from .scan import lines_of
 
-    docs = documents.select("path", "text").withColumn("kind", file_kind(F.col("path")))
-    lines = lines_of(docs)
-    kinds = docs.select("path", "kind").distinct()
-    known = lines.join(kinds, "path")
-    of = lambda *extractors: known.where(F.col("kind").isin(_kinds(*extractors))).drop("kind")
-    not_json = docs.where(F.col("kind").isin(_kinds("json-yaml")) & F.try_parse_json("text").isNotNull()).select("path")
-    yaml = decode.yaml_pairs(of("yaml", "json-yaml").join(not_json, "path", "left_anti")).select("path", "key", "value")
-    pairs = yaml.unionByName(decode.env_pairs(of("env")).select("path", "key", "value")).unionByName(decode.ini_pairs(of("ini")).select("path", "key", "value"))
-    pairs = pairs.join(kinds, "path").withColumn("fixed", F.lit(False)).unionByName(_parsed(docs).select("path", "key", "value", "kind", "fixed"))
+    # a file's kind is a function of its path, so other files are left out before their texts are cut into lines
+    docs = documents.select("path", "text").withColumn("kind", file_kind(F.col("path"))).where("kind <> 'unknown'")
+    with_kind = lambda df: df.withColumn("kind", file_kind(F.col("path")))
+    of = lambda *extractors: docs.where(F.col("kind").isin(_kinds(*extractors)))
+    known = with_kind(lines_of(docs))
+    yaml = of("yaml").unionByName(of("json-yaml").where(F.try_parse_json("text").isNull()))
+    pairs = decode.yaml_pairs(lines_of(yaml)).select("path", "key", "value").unionByName(decode.env_pairs(lines_of(of("env"))).select("path", "key", "value")).unionByName(decode.ini_pairs(lines_of(of("ini"))).select("path", "key", "value"))
+    pairs = with_kind(pairs).withColumn("fixed", F.lit(False)).unionByName(_parsed(docs).select("path", "key", "value", "kind", "fixed"))
 
     key, value, kind = F.col("key"), F.col("value"), F.col("kind")
     wanted = (
@@ -232,8 +231,7 @@ def scan_files(documents: DataFrame) -> DataFrame:
     out = _findings(hits)
 
     text, low, bare = F.col("text"), F.lower("text"), F.trim("text")
-    sealed = docs.where(F.col("text").contains("$ANSIBLE_VAULT;")).select("path")
-    single = known.join(sealed, "path", "left_anti")
+    single = with_kind(lines_of(docs.where(~F.col("text").contains("$ANSIBLE_VAULT;"))))
     ansible_key = F.trim(F.substring_index(bare, ":", 1))
     listed = F.regexp_extract(bare, r"^- ([^=]*)=", 1)
     line_kinds: list[tuple[str, Column, Column]] = [
@@ -257,4 +255,4 @@ def scan_files(documents: DataFrame) -> DataFrame:
     out = out.unionByName(_findings(_spec(quoted).select("path", "line", "matched", bare.alias("context"), "rule_id", "severity", F.col("about").alias("description"))))
     pem = known.where((F.col("kind") == "cosign") & text.contains("-----BEGIN")).groupBy("path").agg(F.min("line").alias("line"), F.bool_or(text.rlike("-----BEGIN (EC )?PRIVATE KEY-----")).alias("is_key")).where("is_key")
     pem = pem.select("path", "line", F.lit("-----BEGIN PRIVATE KEY-----").alias("matched"), F.lit("private key").alias("context"), F.lit("iac-cosign-private-key").alias("rule_id"), F.lit("critical").alias("severity"), F.lit("Cosign private key in file").alias("description"))
-    return out.unionByName(_findings(pem)).unionByName(key_pairs(lines)).unionByName(credential_chains(lines))
+    return out.unionByName(_findings(pem)).unionByName(key_pairs(lines_of(documents))).unionByName(credential_chains(lines_of(documents)))

@@ -63,22 +63,56 @@ def to_verify(findings: DataFrame, include: list[str] | None = None, exclude: li
     return findings.where(wanted & ~(rule.isin(exclude) if exclude else F.lit(False))).select("rule_id", "matched").distinct()
 
 
-#: Offline format verifiers: rule and the shape its value must have.
-FORMATS = {
-    "aws-access-key-id": r"^(AKIA|ASIA|AGPA|AIDA|AROA|AIPA|ANPA|ANVA|ASCA)[0-9A-Z]{16}$",
-    "github-pat": r"^gh[pousr]_[A-Za-z0-9]{36,255}$",
-    "jwt": r"^[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+$",
-    "private-key-pem": r"^-----BEGIN .*PRIVATE KEY.*-----$",
-    "sendgrid-api-key": r"^SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}$",
-}
+# Offline verifiers by the bytes a value must have at least, and by the starts one of which it must have.
+LEAST_BYTES: dict[int, tuple[str, ...]] = {
+    10: ("backblaze-b2-key-id", "wasabi-api-key", "harbor-token", "nexus-token"),
+    16: ("linkedin-client-secret",),
+    20: (
+        "azure-ad-client-secret", "azure-client-secret", "bitbucket-app-password", "bitbucket-client-secret", "tencent-secret-id", "tiktok-access-token", "paypal-client-secret", "paddle-token", "wepay-token",
+        "maven-central-token", "semgrep-api-token", "codeium-api-key", "tabnine-api-key", "weaviate-api-key", "qdrant-api-key", "comet-ml-api-key", "modal-api-key", "runwayml-api-key", "portkey-api-key",
+        "braintrust-api-key", "cal-com-api-key", "metabase-session-token", "drone-ci-token", "woodpecker-ci-token",
+    ),
+}
+STARTS: dict[str, tuple[str, ...]] = {
+    "alibaba-access-key-id": ("LTAI", "AK"), "flutterwave-secret-key": ("FLWSECK",), "razorpay-key": ("rzp_",), "razorpay-key-v2": ("rzp_",), "nuget-api-key": ("oy2",), "fly-io-token": ("FlyV1_",),
+    "deno-deploy-token": ("ddp_",), "greptile-api-key": ("grpt_",), "langsmith-api-key": ("lsk_",), "langfuse-secret-key": ("sk-lf-",), "helicone-api-key": ("sk-helicone-",),
+}
+ANY_VALUE = ("gcp-oauth-client-id", "zoom-api-secret")
+AWS_SECRETS = ("aws-secret-access-key", "aws-access-key-id")
+DATABASES = ("postgres://", "postgresql://", "mysql://", "mongodb://", "mongodb+srv://", "redis://", "rediss://")
+
+
+def _some(tests: list[Column]) -> Column:
+    out = F.lit(False)
+    for test in tests:
+        out = out | test
+    return out
 
 
 def verify_formats(findings: DataFrame) -> DataFrame:
-    """unknown where the value has its provider's shape, inactive where not, untouched for other rules."""
-    out = F
-    for rule, shape in FORMATS.items():
-        out = out.when(F.col("rule_id") == rule, F.when(F.col("matched").rlike(shape), "unknown").otherwise("inactive"))
-    return findings.withColumn("verification", F.coalesce("verification", out.otherwise(F.lit(None))))
+    """Offline verification: unknown where the value has its provider's shape, inactive where not; untouched for rules that need the network.
+
+    A whole PEM block whose body is base64 is active. A service account is JSON with its type, key and address.
+    """
+    rule, value = F.col("rule_id"), F.col("matched")
+    size = F.octet_length(value)
+    shaped = F
+    for least, rules in LEAST_BYTES.items():
+        shaped = shaped.when(rule.isin(*rules), size >= least)
+    for name, starts in STARTS.items():
+        shaped = shaped.when(rule == name, _some([value.startswith(x) for x in starts]))
+    shaped = shaped.when(rule.isin(*ANY_VALUE), F.lit(True)).when(rule.isin(*AWS_SECRETS), value.rlike(r"^[A-Za-z0-9+/=]{40}\z"))
+    shaped = shaped.when(rule.isin("plaid-token", "plaid-key"), value.startswith("access-") | (size >= 20))
+    has = lambda path: F.get_json_object(value, path).isNotNull()
+    shaped = shaped.when(rule == "gcp-service-account-key", F.coalesce((F.get_json_object(value, "$.type") == "service_account") & has("$.private_key") & has("$.client_email"), F.lit(False)))
+    address = _some([value.startswith(x) for x in DATABASES])
+    pairs = (value.contains("password=") | value.contains("pwd=")) & (value.contains("host=") | value.contains("server="))
+    shaped = shaped.when(rule == "database-connection-string", F.when(address, value.contains("@") & value.contains(":")).otherwise(pairs))
+    shaped = shaped.when(rule == "private-key-pem", value.contains("-----BEGIN ") & value.contains("-----END ") & value.contains("PRIVATE KEY-----")).otherwise(F.lit(None))
+    body = F.regexp_extract(value, r"(?s)-----BEGIN.*?-----\n(.*?)-----END", 1)
+    whole = (rule == "private-key-pem") & value.rlike(r"(?s)-----BEGIN.*?-----\n.*?-----END") & F.trim(F.regexp_replace(body, r"^\s+|\s+$", "")).rlike(r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?\z")
+    status = F.when(whole & shaped, "active").when(shaped, "unknown").when(~shaped, "inactive")
+    return findings.withColumn("verification", F.coalesce("verification", status))
 
 
 def override_severity(findings: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -44,11 +44,19 @@ def _trie(words: list[str]) -> str:
             node = node.setdefault(c, {})
         node[""] = {}
 
+    def either(chars: list[str], node: dict) -> str:
+        """Branches by their first character; many are told apart by classes of six first, as branches are tried in turn."""
+        if len(chars) > 6:
+            parts = [chars[k : k + 6] for k in range(0, len(chars), 6)]
+            return "(?:" + "|".join(f"(?=[{''.join(map(re.escape, part))}]){either(part, node)}" for part in parts) + ")"
+        branches = [re.escape(c) + build(node[c]) for c in chars]
+        return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
+
     def build(node: dict) -> str:
-        branches = [re.escape(c) + build(child) for c, child in sorted(node.items()) if c]
-        if not branches:
+        chars = sorted(c for c in node if c)
+        if not chars:
             return ""
-        inner = branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
+        inner = either(chars, node)
         return f"(?:{inner})?" if "" in node else inner
 
     return build(root)
@@ -78,23 +86,22 @@ def gate(lines: DataFrame, rules: list[Rule], compat_gate: bool = False) -> Data
     """
     words = gate_words(rules, compat_gate)
     free = [k for k, r in enumerate(rules) if not r.prefilter]
-    ordinals = F.array(*map(F.lit, free)).cast("array<int>")
-    if words:
-        pattern = _trie(sorted({w for w, _ in words}))
-        folded = fold(F.col("text"))
-        of_word: dict[str, list[int]] = {}
-        for word, k in words:
-            of_word.setdefault(word, []).append(k)
-        table = F.create_map(*[c for word, own in of_word.items() for c in (F.lit(word), F.array(*map(F.lit, own)))])
-        hits = F.array_distinct(F.regexp_extract_all(folded, F.lit(pattern), F.lit(0)))
-        ordinals = F.array_distinct(F.concat(ordinals, F.flatten(F.transform(hits, lambda w: F.element_at(table, w)))))
-        lines = lines if free else lines.where(folded.rlike(pattern))
-    return lines.withColumn("ordinal", F.explode(ordinals))
+    always = F.array(*map(F.lit, free)).cast("array<int>")
+    if not words:
+        return lines.withColumn("ordinal", F.explode(always))
+    of_word: dict[str, list[int]] = {}
+    for word, k in words:
+        of_word.setdefault(word, []).append(k)
+    table = F.create_map(*[c for word, own in of_word.items() for c in (F.lit(word), F.array(*map(F.lit, own)))])
+    found = lines.withColumn("_words", F.regexp_extract_all(fold(F.col("text")), F.lit(_trie(sorted(of_word))), F.lit(0)))
+    # lines without words explode to nothing, so no filter runs the pattern a second time
+    ordinals = F.concat(always, F.flatten(F.transform(F.array_distinct("_words"), lambda w: F.element_at(table, w))))
+    return found.withColumn("ordinal", F.explode(F.array_distinct(ordinals))).drop("_words")
 
 
 def matches(pattern: Column, line: Column, group: int = 0) -> Column:
     """array<struct<start, text>> of all non-overlapping matches; start is a 0-based byte offset of the match."""
-    whole = F.concat(F.lit("(?s:(.*?))("), pattern, F.lit(")"))
+    whole = F.concat(F.lit(r"\G(?s:(.*?))("), pattern, F.lit(")"))
     gaps = F.regexp_extract_all(line, whole, F.lit(1))
     found = F.regexp_extract_all(line, whole, F.lit(2))
     wanted = found if group == 0 else F.regexp_extract_all(line, whole, F.lit(group + 2))
@@ -123,14 +130,15 @@ def with_matches(pairs: DataFrame, rules: list[Rule]) -> DataFrame:
     The texts of the matches come first and alone, so a line without any costs one pass of its pattern.
     """
     line, ordinal = F.col("text"), F.col("ordinal")
-    hits = _by_rule(rules, ordinal, lambda r: F.regexp_extract_all(line, F.lit(r.pattern), F.lit(0)))
-    found = pairs.withColumn("_hits", F.explode(F.filter(F.array(hits), lambda h: F.size(h) > 0)))
-    gaps = _by_rule(rules, ordinal, lambda r: F.regexp_extract_all(line, F.lit(f"(?s:(.*?))({r.pattern})"), F.lit(1)))
-    grouped = [r for r in rules if r.secret_group is not None]
-    columns = [gaps.alias("gap"), F.col("_hits").alias("hit")]
+    # columns of their own, as an expression inside a generator is interpreted, branch by branch
+    found = pairs.withColumn("_hit", _by_rule(rules, ordinal, lambda r: F.regexp_extract_all(line, F.lit(r.pattern), F.lit(0))))
+    some = F.size("_hit") > 0
+    found = found.withColumn("_gap", F.when(some, _by_rule(rules, ordinal, lambda r: F.regexp_extract_all(line, F.lit(rf"\G(?s:(.*?))({r.pattern})"), F.lit(1)))))
+    grouped = any(r.secret_group is not None for r in rules)
+    columns = [F.col("_gap").alias("gap"), F.col("_hit").alias("hit")]
     if grouped:
-        wants = _by_rule(rules, ordinal, lambda r: F.lit(None) if r.secret_group is None else F.regexp_extract_all(line, F.lit(r.pattern), F.lit(r.secret_group)))
-        columns.append(F.coalesce(wants, "_hits").alias("want"))
+        found = found.withColumn("_want", F.when(some, _by_rule(rules, ordinal, lambda r: F.lit(None) if r.secret_group is None else F.regexp_extract_all(line, F.lit(r.pattern), F.lit(r.secret_group)))))
+        columns.append(F.coalesce("_want", "_hit").alias("want"))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("out"))
 
     def step(acc: Column, m: Column) -> Column:
@@ -140,7 +148,7 @@ def with_matches(pairs: DataFrame, rules: list[Rule]) -> DataFrame:
         return F.struct((start + F.octet_length(m["hit"])).cast("int").alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     placed = F.aggregate(F.arrays_zip(*columns), zero, step, lambda acc: acc["out"])
-    return found.withColumn("m", F.explode(placed)).drop("_hits")
+    return found.withColumn("m", F.explode(placed)).drop("_hit", "_gap", "_want")
 
 
 def spread(lines: DataFrame) -> DataFrame:
@@ -211,7 +219,7 @@ def scan_raw(lines: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """Every rule on every line, without gate, path filters, lists or allow comment."""
     rules = builtin() if rules is None else rules
     every = F.array(*(F.when(F.col("text").rlike(r.pattern), F.lit(k)) for k, r in enumerate(rules)))
-    pairs = spread(lines).withColumn("ordinal", F.explode(F.array_compact(every)))
+    pairs = spread(lines).withColumn("_every", every).withColumn("ordinal", F.explode(F.array_compact("_every"))).drop("_every")
     return detect(pairs, rules, honour_lists=False)
 
 

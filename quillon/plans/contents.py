@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import decode, filters, text
-from ..operators import bpe, comments, iac, matching, scan
+from ..operators import bpe, comments, iac, matching, relational, scan
 from ..rules import ENTROPY_RULE, builtin
 from ..sources import files, git
 from ..streaming import syslog
@@ -500,3 +500,24 @@ def changed_files(spark, sf_dir):
         F.col("k").alias("path"), F.when(k % 3 == 0, 8).otherwise(9).cast("long").alias("length"), F.when(k % 2 == 1, 4).otherwise(5).cast("long").alias("modificationTime"), F.when(k % 5 == 0, "other").otherwise(F.col("v")).alias("content_hash")
     )
     return scan.changed_only(now, known).select("path")
+
+
+# (rule, value, status): a value of the provider's shape, and one that is not
+VERIFIED: list[tuple[str, str, str | None]] = [
+    ("aws-secret-access-key", "{v}abcd+/==", "unknown"), ("aws-access-key-id", "AKIA{v}", "inactive"), ("azure-client-secret", "{v}", "unknown"), ("azure-ad-client-secret", "short", "inactive"),
+    ("bitbucket-app-password", "{v}", "unknown"), ("tencent-secret-id", "AKID", "inactive"), ("linkedin-client-secret", "0123456789abcdef", "unknown"), ("linkedin-client-secret", "0123456789", "inactive"),
+    ("harbor-token", "0123456789", "unknown"), ("wasabi-api-key", "{k}", "inactive"), ("alibaba-access-key-id", "AK{v}", "unknown"), ("alibaba-access-key-id", "{v}", "inactive"),
+    ("flutterwave-secret-key", "FLWSECK-{v}", "unknown"), ("razorpay-key-v2", "{v}", "inactive"), ("nuget-api-key", "oy2{v}", "unknown"), ("fly-io-token", "fly_{v}", "inactive"), ("deno-deploy-token", "ddp_{v}", "unknown"),
+    ("greptile-api-key", "grpt_{v}", "unknown"), ("langsmith-api-key", "{v}", "inactive"), ("langfuse-secret-key", "sk-lf-{v}", "unknown"), ("helicone-api-key", "sk-{v}", "inactive"),
+    ("zoom-api-secret", "x", "unknown"), ("gcp-oauth-client-id", "{v}", "unknown"), ("plaid-token", "access-x", "unknown"), ("plaid-key", "x", "inactive"), ("github-pat", "ghp_{v}", None),
+    ("gcp-service-account-key", '{"type": "service_account", "private_key": "{v}", "client_email": "a"}', "unknown"), ("gcp-service-account-key", '{"type": "other"}', "inactive"), ("gcp-service-account-key", "{v}", "inactive"),
+    ("database-connection-string", "postgres://u:{v}@h/d", "unknown"), ("database-connection-string", "redis://h", "inactive"), ("database-connection-string", "host=h;password={v}", "unknown"), ("database-connection-string", "{v}", "inactive"),
+    ("private-key-pem", "-----BEGIN PRIVATE KEY-----\n{v}\n-----END PRIVATE KEY-----", "active"), ("private-key-pem", "-----BEGIN PRIVATE KEY-----\n!{v}\n-----END PRIVATE KEY-----", "unknown"), ("private-key-pem", "-----BEGIN PRIVATE KEY-----", "inactive"),
+]
+
+
+@register("verified_formats", expected([(r, t, s) for r, t, s in VERIFIED], "rule_id matched verification"))
+def verified_formats(spark, sf_dir):
+    """Every offline verifier on a value that has its shape and one that has not."""
+    rows = filled(spark, sf_dir, [(r, t) for r, t, _ in VERIFIED]).select(F.col("path").alias("rule_id"), F.col("text").alias("matched"), F.lit(None).cast("string").alias("verification"))
+    return relational.verify_formats(rows)

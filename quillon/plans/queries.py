@@ -157,7 +157,7 @@ def verify_cache(spark, sf_dir):
     return relational.fill_verification(hits, cache).select("rule_id", "path", "line", "verification")
 
 
-@register("verify_formats", "SELECT rule_id, line, CASE WHEN rule_id IN ('aws-access-key-id', 'github-pat') THEN 'unknown' END AS verification FROM found", FOUND_SQL)
+@register("verify_formats", "SELECT rule_id, line, CASE WHEN rule_id = 'aws-access-key-id' THEN 'inactive' END AS verification FROM found", FOUND_SQL)
 def verify_formats(spark, sf_dir):
     return relational.verify_formats(found(spark, sf_dir)).select("rule_id", "line", "verification")
 

@@ -72,7 +72,7 @@ def only_paths(files: DataFrame, root: str, paths: list[str]) -> DataFrame:
     """Files whose path below root is listed."""
     wanted = files.sparkSession.createDataFrame([(p,) for p in paths], "below string")
     below = F.regexp_replace("path", "^(?:file:)?/*" + re.escape(root.strip("/")) + "/", "")
-    return files.join(F.broadcast(wanted), below == F.col("below"), "left_semi")
+    return files.join(wanted, below == F.col("below"), "left_semi")
 
 
 def archive_entries(name: str, content: bytes) -> Iterator[tuple[str, bytes]]:
