@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import filters, text
 from ..rules import ENTROPY_BYTES, ENTROPY_RULE, Allowlist, Rule, builtin
-from ..schema import FINDING_COLUMNS, rank
+from ..schema import FINDING, FINDING_COLUMNS, rank
 
 ALLOW_MARKER = "quillon:allow"
 MAX_FILE_BYTES = 5 * 1024 * 1024
@@ -172,6 +172,8 @@ def _allowed(allow: Allowlist, matched: Column, path: Column) -> Column:
 
 def detect(pairs: DataFrame, rules: list[Rule], allow: Allowlist | None = None, honour_lists: bool = True) -> DataFrame:
     """Findings of (path, line, text, ordinal) pairs: regex, then group, entropy and allowlists."""
+    if not rules:
+        return pairs.sparkSession.createDataFrame([], FINDING)
     found = with_matches(pairs, rules).withColumn("matched", F.col("m.text"))
     grouped = [k for k, r in enumerate(rules) if r.secret_group is not None]
     if grouped:
@@ -218,6 +220,8 @@ def scan_gated(
 def scan_raw(lines: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """Every rule on every line, without gate, path filters, lists or allow comment."""
     rules = builtin() if rules is None else rules
+    if not rules:
+        return lines.sparkSession.createDataFrame([], FINDING)
     every = F.array(*(F.when(F.col("text").rlike(r.pattern), F.lit(k)) for k, r in enumerate(rules)))
     pairs = spread(lines).withColumn("_every", every).withColumn("ordinal", F.explode(F.array_compact("_every"))).drop("_every")
     return detect(pairs, rules, honour_lists=False)

@@ -318,4 +318,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("findings"), F.count_if("likely_false_positive").alias("hidden"), F.countDistinct("path").alias("files"))
 
 
-from . import contents, reports  # noqa: E402, F401  they register themselves
+from . import contents, reports, services  # noqa: E402, F401  they register themselves

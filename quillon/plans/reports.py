@@ -98,11 +98,6 @@ def reported(spark, sf_dir):
 def report_places(spark, sf_dir):
     """The order of a report: most severe first, then by path, with ties settled."""
     rows = scan.sort_report(found(spark, sf_dir)).select("rule_id", "line")
-    return rows.withColumn("place", (F.monotonically_increasing_id() + 1).cast("int")) if rows.rdd.getNumPartitions() == 1 else _placed(rows)
-
-
-def _placed(rows):
-    """Places across the partitions of a sorted table."""
     numbered = rows.withColumn("_at", F.monotonically_increasing_id()).persist()
     sizes = sorted((r["part"], r["count"]) for r in numbered.groupBy(F.shiftright("_at", 33).alias("part")).count().collect())
     before, at = {}, 0

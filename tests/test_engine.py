@@ -137,6 +137,11 @@ def test_gate_is_leftmost_longest_and_compat_keeps_the_first_rule(spark):
     assert seen("nothing") == []
 
 
+def test_no_rules_find_nothing(spark):
+    lines = lines_frame(spark, "t ghp_" + "a" * 36)
+    assert scan.scan_gated(lines, enable=[]).count() == 0 == scan.scan_raw(lines, []).count()
+
+
 def test_lines(spark):
     got = lambda t: [r.text for r in lines_frame(spark, t).orderBy("line").collect()]
     assert got("a\r\nb\n\nc") == ["a", "b", "", "c"] and got("a\n") == ["a"] and got("") == [] and got("a\n\n") == ["a", ""]
