@@ -22,6 +22,9 @@ of the documents is one row a task. A fixed-size bitmap of repeated trigger
 contexts keeps most of the text's parse out of the second scan's output; where
 it fills up, more rows go on, and none is lost.
 
+Rows are numbered once, in a stored copy of the texts that all scans read, so
+that a name stands for the same row however a scan is split or repeated.
+
 Defined cases: null counts as empty; texts under `span` bytes lose nothing;
 matches never cross documents; equal and repeated rows each lose what they
 share; ids may be null or repeat; other columns are ignored.
@@ -36,14 +39,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_back, id_text, stored
+from .common import id_back, id_text, numbered, release, stored
 from .minmax_dedup import _steps, encode
 from .shingles import mix64
 
 TRIGGER = 16
 STEP = 16
 #: Starts of a text that one vectorised step takes.
-PIECE = 1 << 18
+PIECE = 1 << 17
 #: Bits of the bitmap of repeated contexts.
 BITMAP = 1 << 26
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -124,10 +127,6 @@ def parse(texts: list[bytes], span: int) -> tuple[Prints, np.ndarray, np.ndarray
     return prints, offsets, owner[first], valid[first], valid[last], t[first]
 
 
-def _numbered(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("uid"), F.col(text_col).cast("string").alias("text"))
-
-
 def _pieces(texts: list[bytes], span: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
     """Batches of pieces, whose starts together are the texts' starts: text of each piece, its offset, its bytes."""
     cut = [(k, at, t[at : at + PIECE + span - 1]) for k, t in enumerate(texts) for at in range(0, max(1, len(t) - span + 1), PIECE) if len(t) >= span]
@@ -264,20 +263,23 @@ def suffixes(docs: DataFrame, parts: DataFrame, span: int) -> DataFrame:
 
 
 def repeated_starts(docs: DataFrame, span: int) -> DataFrame:
-    """Runs of starts (uid, first, last) whose span of bytes also starts elsewhere; docs has uid and text."""
+    """Runs of starts (uid, first, last) whose span of bytes also starts elsewhere; docs (uid, text) must say the same uids in every scan."""
     again = stored(contexts(docs, span).groupBy("h").count().where("count > 1").select("h"), "contexts")
     found = stored(phrases(docs, span, bitmap(again)), "phrases")
     entry = F.min(F.struct("uid", "a", "h"))
     names = stored(found.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), entry.alias("e")).select("x", "y", "n", "e.*"), "dictionary")
     twice = stored(names.where("n > 1").select("x", "y"), "twice")
-    whole = found.join(twice, ["x", "y"], "left_semi").select("uid", F.col("a").alias("first"), F.col("b").alias("last"))
+    whole = stored(found.join(twice, ["x", "y"], "left_semi").select("uid", F.col("a").alias("first"), F.col("b").alias("last")), "whole")
+    release(again, found, twice)
 
-    contested = names.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("h")
-    entries = names.join(stored(contested, "contested"), "h", "left_semi").select("uid", "a", (F.col("n") == 1).alias("single"))
+    contested = stored(names.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("h"), "contested")
+    entries = names.join(contested, "h", "left_semi").select("uid", "a", (F.col("n") == 1).alias("single"))
     entries = stored(entries, "entries")
+    release(names, contested)
     parts = stored(blocks(docs, entries, span), "blocks")
     same_all = stored(parts.groupBy("u", "v").count().where("count > 1").select("u", "v", F.lit(True).alias("all")), "same")
     state = stored(parts.join(same_all, ["u", "v"], "left").withColumn("all", F.coalesce("all", F.lit(False))), "state")
+    release(entries, parts, same_all)
     # blocks that are in question, with every other block that has the same bytes in common, one of each name
     keys = state.groupBy("j", "c").agg(F.count(F.lit(1)).alias("k"), F.bool_or(F.col("single") & ~F.col("all")).alias("open")).where("k > 1 and open").select("j", "c")
     open_ = state.join(stored(keys, "open"), ["j", "c"], "left_semi")
@@ -287,7 +289,23 @@ def repeated_starts(docs: DataFrame, span: int) -> DataFrame:
     twins = stored(single.groupBy("u", "v").count().where("count > 1").select("u", "v"), "twins")
     alone = single.where("wanted").join(twins, ["u", "v"], "left_semi").select("uid", F.col("start").alias("first"), F.col("start").alias("last"))
     block = state.where("single and `all`").select("uid", "first", "last")
-    return whole.unionByName(block).unionByName(alone)
+    runs = stored(whole.unionByName(block).unionByName(alone), "runs")
+    release(whole, state, single, twins)
+    return runs
+
+
+def marked(rows: DataFrame, some: DataFrame) -> DataFrame:
+    """rows with hit: true for every uid that some has, and for few others.
+
+    A bitmap of hashed uids in pages of 32,768 bits, of which BITMAP bits make 8 MB at most, goes to every task.
+    """
+    bit = F.pmod(F.xxhash64("uid"), F.lit(BITMAP))
+    page, at = F.shiftright(bit, 15), F.col("_bit").bitwiseAND(32_767)
+    pages = some.select(page.alias("_page"), bit.alias("_bit")).groupBy("_page").agg(F.bitmap_construct_agg(at).alias("_bits"))
+    known = rows.withColumn("_page", page).withColumn("_bit", bit).join(F.broadcast(stored(pages, "pages")), "_page", "left")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), at.bitwiseAND(7).cast("int"))) != 0
+    return known.withColumn("hit", F.coalesce(hit, F.lit(False))).drop("_page", "_bit", "_bits")
 
 
 def _cut(text: bytes, first: np.ndarray, last: np.ndarray, span: int) -> tuple[int, int, bytes]:
@@ -302,29 +320,26 @@ def _cut(text: bytes, first: np.ndarray, last: np.ndarray, span: int) -> tuple[i
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 400) -> DataFrame:
     """One row a document: id, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
-    numbered = _numbered(docs, text_col)
-    runs = stored(repeated_starts(numbered, span), "runs")
+    source = numbered(docs, id=id_text(id_col), text=F.col(text_col).cast("string")).withColumnRenamed("row", "uid")
+    runs = repeated_starts(source.select("uid", "text"), span)
     lists = stored(runs.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("rows")), "lists")
-    touched = docs.sparkSession.sparkContext.broadcast(places(lists.withColumn("first", F.lit(0)), "first")[0])
-
-    @F.pandas_udf("boolean")
-    def may_lose(uid: pd.Series) -> pd.Series:
-        return pd.Series(_has(touched.value, place(uid.to_numpy())))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = encode(pdf["text"])
-            for p, q in _steps(texts, 16 << 20):
+            for p, q in _steps(texts, 4 << 20):
                 out = []
-                for text, firsts, lasts in zip(texts[p:q], pdf["firsts"].iloc[p:q], pdf["lasts"].iloc[p:q], strict=True):
+                for text, firsts, lasts in zip(texts[p:q], pdf["firsts"].iloc[p:q], pdf["lasts"].iloc[p:q], strict=True):  # the bitmap lets a few by that lose nothing
                     out.append((0, 0, text) if firsts is None else _cut(text, np.asarray(firsts, dtype=np.int64), np.asarray(lasts, dtype=np.int64), span))
                 yield pd.DataFrame(
                     {"id": pdf["id"].iloc[p:q].array, "n_bytes": [len(t) for t in texts[p:q]], "n_removed": [o[0] for o in out], "n_spans": [o[1] for o in out], "kept": [o[2] for o in out]}
                 )
 
-    source = docs.select(F.monotonically_increasing_id().alias("uid"), id_text(id_col), F.col(text_col).cast("string").alias("text"))
-    source = source.withColumn("hit", may_lose("uid"))
     # only texts that lose something move to their runs
+    source = marked(source, lists)
     some = source.where("hit").join(lists, "uid", "left").select("id", "text", F.col("rows.first").alias("firsts"), F.col("rows.last").alias("lasts"))
-    none = source.where("not hit").select("id", "text", F.lit(None).cast("array<int>").alias("firsts"), F.lit(None).cast("array<int>").alias("lasts"))
-    return id_back(some.unionByName(none).mapInPandas(run, "id string, n_bytes long, n_removed long, n_spans long, kept binary"))
+    cut = some.mapInPandas(run, "id string, n_bytes long, n_removed long, n_spans long, kept binary")
+    whole = F.coalesce("text", F.lit("")).cast("binary")
+    none = F.lit(0).cast("long")
+    rest = source.where("not hit").select("id", F.octet_length(whole).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), whole.alias("kept"))
+    return id_back(cut.unionByName(rest))
