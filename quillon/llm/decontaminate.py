@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded, if_small, stored
+from .common import bounded, if_small, is_small, stored
 
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 NUMBER_RE = r"[0-9]+(?:[.,:/][0-9]+)*"
@@ -102,18 +102,19 @@ def _verbatim(source: DataFrame, items: DataFrame, coverage: float) -> DataFrame
     bench = _hashes(items.select("item", plain_words(F.col("text")).alias("words")))
     bench = bench.where(F.size("words") >= SHORT).withColumn("w", F.when(F.size("words") >= WINDOW, WINDOW).otherwise(SHORT))
     windows = stored(bench.select("item", "w", F.posexplode_outer(F.when(F.col("w") == WINDOW, F.col("h8")).otherwise(F.col("h4"))).alias("item_pos", "h")), "plain")
-    n_windows, n_short = windows.agg(F.count(F.lit(1)), F.count_if(F.col("w") == SHORT)).first()
+    n_short = windows.where(F.col("w") == SHORT).count()
+    small = is_small(windows)
     totals = windows.groupBy("item").agg(F.count(F.lit(1)).alias("item_windows"), F.max("w").alias("w"))
     hashed = _hashes(source.select("id", F.xxhash64("text").alias("text_hash"), plain_words(F.col("text")).alias("words")))
     kinds = [("h8", WINDOW)] + ([("h4", SHORT)] if n_short else [])
     met = None
     for h, w in kinds:
         wanted = windows.where(F.col("w") == w).select("h", "item", "item_pos")
-        found = hashed.select("id", "text_hash", F.posexplode_outer(h).alias("pos", "h")).join(if_small(wanted, n_windows), "h").select("id", "text_hash", "item", "item_pos")
+        found = hashed.select("id", "text_hash", F.posexplode_outer(h).alias("pos", "h")).join((F.broadcast(wanted) if small else wanted), "h").select("id", "text_hash", "item", "item_pos")
         met = found if met is None else met.unionByName(found)
     pairs = met.distinct().groupBy("id", "text_hash", "item").agg(F.count(F.lit(1)).alias("n_windows"))
     enough = F.when(F.col("w") == WINDOW, F.col("n_windows") >= coverage * F.col("item_windows")).otherwise(F.col("n_windows") == F.col("item_windows"))
-    return pairs.join(F.broadcast(totals) if n_windows <= BROADCAST_ROWS else totals, "item").where(enough).select("id", "text_hash", "item", "n_windows", "item_windows")
+    return pairs.join(F.broadcast(totals) if small else totals, "item").where(enough).select("id", "text_hash", "item", "n_windows", "item_windows")
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
@@ -125,15 +126,18 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     literal = F.size(F.filter(F.slice("words", F.col("item_pos") + 1, F.col("w")), lambda x: ~x.isin(NUMBER, NAME, UNIT)))
     windows = windows.where(2 * literal >= F.col("w")).select("item", "w", "item_pos", "h", (literal < F.col("w")).alias("has_slots"))
     windows = stored(windows, "bench")
-    n_windows, n_slotted, n_short = windows.agg(F.count(F.lit(1)), F.count_if("has_slots"), F.count_if(F.col("w") == SHORT)).first()
+    n_slotted, n_short = windows.agg(F.count_if("has_slots"), F.count_if(F.col("w") == SHORT)).first()
+    small = is_small(windows)
     totals = windows.groupBy("item").agg(F.count(F.lit(1)).alias("item_windows"), F.max("w").alias("w"))
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
     hashed = _hashes(source.select("id", F.xxhash64("text").alias("text_hash"), template_words(F.col("text")).alias("words")))
     wanted = windows.select("h", "item", "item_pos", "w", "has_slots")
-    met = hashed.select("id", "text_hash", F.posexplode_outer("h8").alias("pos", "h")).join(if_small(wanted.where(F.col("w") == WINDOW), n_windows), "h")
+    long = wanted.where(F.col("w") == WINDOW)
+    met = hashed.select("id", "text_hash", F.posexplode_outer("h8").alias("pos", "h")).join(F.broadcast(long) if small else long, "h")
     if n_short:
-        short = hashed.select("id", "text_hash", F.posexplode_outer("h4").alias("pos", "h")).join(if_small(wanted.where(F.col("w") == SHORT), n_windows), "h")
+        brief = wanted.where(F.col("w") == SHORT)
+        short = hashed.select("id", "text_hash", F.posexplode_outer("h4").alias("pos", "h")).join(F.broadcast(brief) if small else brief, "h")
         met = met.unionByName(short)
     met = met.select("id", "text_hash", "item", "item_pos", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "w", "has_slots")
     met = stored(met, "met")
@@ -142,7 +146,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     if n_slotted:
         asked = met.where("has_slots").select(F.col("id").alias("d_id"), F.col("text_hash").alias("d_hash")).distinct()
         asked = stored(asked, "asked")
-        texts = source.withColumn("text_hash", F.xxhash64("text")).join(if_small(asked, asked.count()), same, "left_semi").dropDuplicates(["id", "text_hash"])
+        texts = source.withColumn("text_hash", F.xxhash64("text")).join(if_small(asked), same, "left_semi").dropDuplicates(["id", "text_hash"])
         texts = texts.withColumn("key", F.struct("id", "text_hash")).withColumn("words", template_words(F.col("text")))
         there = _slots(texts, "key").select(F.col("key.id").alias("d_id"), F.col("key.text_hash").alias("d_hash"), "pos", "kind", F.col("value").alias("doc_value"))
         ours = _slots(bench, "item").select("item", "pos", "kind", F.col("value").alias("item_value"))
@@ -160,7 +164,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     pairs = pairs.groupBy("id", "text_hash", "item").agg(F.count(F.lit(1)).alias("n_windows"), F.bool_or("other").alias("reparameterised"))
     enough = F.when(F.col("w") == WINDOW, F.col("n_windows") >= coverage * F.col("item_windows")).otherwise(F.col("n_windows") == F.col("item_windows"))
     out = ["n_windows", "item_windows", "reparameterised"]
-    asked = pairs.join(F.broadcast(totals) if n_windows <= BROADCAST_ROWS else totals, "item").where(enough).select("id", "text_hash", "item", *out, F.lit(True).alias("template"))
+    asked = pairs.join(F.broadcast(totals) if small else totals, "item").where(enough).select("id", "text_hash", "item", *out, F.lit(True).alias("template"))
     copied = _verbatim(source, known, coverage).select("*", F.lit(False).alias("reparameterised"), F.lit(False).alias("template"))
     both = asked.unionByName(copied).groupBy("id", "text_hash", "item").agg(F.max(F.struct("template", *out)).alias("best"))
     return both.select("id", "text_hash", "item", *(f"best.{c}" for c in out))

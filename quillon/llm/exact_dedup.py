@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded, stored
+from .common import bounded, is_small, release, stored
 
 PREFIX = 64
 
@@ -27,10 +27,13 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(flat, "  +", " ")
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, digest_all: bool = False) -> DataFrame:
-    """One row a document: id, row, keep_id, group_size, kept, digest (binary SHA-256; of surviving groups, or of all)."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = source.select("id", F.monotonically_increasing_id().alias("row"), normalised(F.col("text")).alias("norm"))
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, digest_all: bool = False, row_col: str | None = None) -> DataFrame:
+    """One row a document: id, row, keep_id, group_size, kept, digest (binary SHA-256; of surviving groups, or of all).
+
+    row is the value of row_col; without one it tells this result's rows apart and says nothing about docs.
+    """
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), row.alias("row"), normalised(F.col(text_col).cast("string")).alias("norm"))
     rows = rows.select("id", "row", "norm", F.char_length("norm").alias("n"), F.xxhash64(F.substring("norm", 1, prefix)).alias("p"))
 
     # counts by (length, prefix) are summed to counts by length, so no length's rows meet in one task
@@ -38,10 +41,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     lengths = profile.groupBy("n").agg(F.sum("count").alias("rows")).where("rows > 1").select("n")
     prefixes = profile.where("count > 1").join(lengths, "n", "left_semi").select("n", "p", F.lit(True).alias("again"))
     prefixes = stored(prefixes, "prefixes")
-    n_prefixes = prefixes.limit(BROADCAST_ROWS + 1).count()
+    release(profile)
 
     whole = F.unhex(F.sha2("norm", 256))
-    if n_prefixes <= BROADCAST_ROWS:
+    if is_small(prefixes):
         tagged = rows.join(F.broadcast(prefixes), ["n", "p"], "left")
         digest = whole if digest_all else F.when(F.col("again"), whole)
         tagged = tagged.select("id", "row", F.coalesce("again", F.lit(False)).alias("again"), digest.alias("digest"))
@@ -49,6 +52,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         tagged = rows.select("id", "row", "n", "p", whole.alias("digest")).join(prefixes, ["n", "p"], "left")
         tagged = tagged.select("id", "row", F.coalesce("again", F.lit(False)).alias("again"), "digest")
     tagged = stored(tagged, "digests")
+    release(prefixes)
 
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row")))
     groups = tagged.where("again").groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
@@ -69,7 +73,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The documents without those that repeat an earlier one."""
-    gone = bounded(exact_duplicates(docs, **options).where("not kept").select(F.col("row").alias("__row")), "gone")
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    return numbered.join(gone, "__row", "left_anti").drop("__row")
+    """The documents without those that repeat an earlier one.
+
+    Rows are numbered once, in a stored copy, and dropped from that copy by the
+    stored number, so that a scan split another way drops the same rows.
+    """
+    number = "row"
+    while number in map(str.lower, docs.columns):
+        number += "_"
+    kept = stored(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    gone = bounded(exact_duplicates(kept, row_col=number, **options).where("not kept").select(F.col("row").alias(number)), "gone")
+    return kept.join(gone, number, "left_anti").select(*docs.columns)

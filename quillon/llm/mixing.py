@@ -21,7 +21,7 @@ USUAL, one under FLOOR as FLOOR; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, bounded, stored, unit_hash
@@ -33,30 +33,50 @@ FLOOR = 0.05
 USUAL = 0.6
 
 
-def fill(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WEIGHTS, most: float = MOST_EPOCHS) -> dict[str | None, float]:
-    """Target of each source: all sizes shared by weight, capped at `most` times the size, the excess reshared."""
-    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
-    weight = {s: weights[k % len(weights)] for k, (s, _) in enumerate(order)}
-    caps = {s: most * n for s, n in order}
-    free, left, target = [s for s, _ in order], float(sum(n for _, n in order)), {}
-    while free:
-        total = sum(weight[s] for s in free)
-        over = [s for s in free if left * weight[s] / total > caps[s]]
-        if not over:
-            target |= {s: left * weight[s] / total for s in free}
+def ranked(totals: DataFrame) -> DataFrame:
+    """Stored totals (source, ...) with the place of each source by code point, null last, however many there are.
+
+    Range partitions are in order, so a place is the rows of the partitions before plus the place in the own one.
+    """
+    last = F.col("source").isNull()
+    spread = totals.withColumn("_last", last).repartitionByRange("_last", "source").sortWithinPartitions("_last", "source")
+    spread = stored(spread.select("*", F.monotonically_increasing_id().alias("_at")), "sources")
+    part = F.shiftright("_at", 33)
+    sizes = {r["part"]: r["count"] for r in spread.groupBy(part.alias("part")).count().collect()}  # one row a partition
+    before, at = {}, 0
+    for k in sorted(sizes):
+        before[k], at = at, at + sizes[k]
+    offset = F.create_map(*[x for k, n in before.items() for x in (F.lit(k).cast("long"), F.lit(n).cast("long"))]) if before else None
+    place = offset[part.cast("long")] + F.col("_at").bitwiseAND((1 << 33) - 1) if before else F.lit(0).cast("long")
+    return spread.withColumn("place", place).drop("_at", "_last")
+
+
+def targets(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_EPOCHS) -> DataFrame:
+    """totals (source, source_size, ...) with the target: all sizes shared by weight, capped at `most` times the size, the excess reshared.
+
+    Every target is min(cap, level * weight) for one level, which rises, from sums over
+    all sources, until no more of them reach their caps.
+    """
+    weight = F.array(*map(F.lit, weights))[F.pmod("place", F.lit(len(weights))).cast("int")]
+    known = ranked(totals).withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(most))
+    total = known.agg(F.sum("source_size")).first()[0] or 0
+    level = 0.0
+    while True:
+        full = F.col("cap") <= F.col("weight") * F.lit(level)
+        taken, free = known.agg(F.sum(F.when(full, F.col("cap")).otherwise(0.0)), F.sum(F.when(~full, F.col("weight")).otherwise(0.0))).first()
+        if not free:
+            return known.withColumn("target", F.col("cap")).drop("weight", "cap", "place")
+        new = (total - taken) / free
+        if new <= level:
             break
-        for s in over:
-            target[s] = caps[s]
-        left -= sum(caps[s] for s in over)
-        free = [s for s in free if s not in over]
-    return target
+        level = new
+    return known.withColumn("target", F.least("cap", F.col("weight") * F.lit(level))).drop("weight", "cap", "place")
 
 
 def mix(
-    docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST_EPOCHS, seed: int = 5
+    docs: DataFrame, quality: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST_EPOCHS, seed: int = 5
 ) -> DataFrame:
-    """One row a document: id, source, size, source_size, target, taken. quality: (id, weight), one row an id."""
-    spark = docs.sparkSession
+    """One row a document: id, source, size, source_size, target, taken. quality: a document's weight, of docs' columns."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     u = unit_hash(F.col(id_col).cast("string"), text, seed=seed)
     rows = docs.select(
@@ -64,19 +84,13 @@ def mix(
         F.col(source_col).cast("string").alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         (-F.log(u)).alias("key"),
+        (F.lit(USUAL) if quality is None else quality.cast("double")).alias("quality"),
         F.monotonically_increasing_id().alias("row"),
     )
-    rows = stored(rows, "keys")
-    if quality is not None:
-        rated = bounded(quality.select("id", "weight").where("id is not null").dropDuplicates(["id"]), "quality")
-        weight = F.greatest(F.coalesce(F.col("weight").cast("double"), F.lit(USUAL)), F.lit(FLOOR))
-        rows = stored(rows.join(rated, "id", "left").withColumn("key", F.col("key") / weight).drop("weight"), "weighted")
+    weight = F.greatest(F.coalesce("quality", F.lit(USUAL)), F.lit(FLOOR))
+    rows = stored(rows.withColumn("key", F.col("key") / weight).drop("quality"), "keys")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"), F.sum("key").alias("keys"))
-    totals = bounded(totals, "totals")
-    sources = [(r["source"], r["source_size"]) for r in totals.select("source", "source_size").toLocalIterator()]
-    target = fill(sources, weights, most)
-    goal = spark.createDataFrame([(s, float(t)) for s, t in target.items()] or [("", 0.0)], "source string, target double")
-    plan = totals.join(F.broadcast(goal).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    plan = targets(totals, weights, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = plan.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     plan = plan.withColumn("bins", F.ceil(F.sqrt("n"))).withColumn("mean", F.greatest(F.col("keys") / F.col("n"), F.lit(1e-12)))

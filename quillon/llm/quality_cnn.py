@@ -7,9 +7,8 @@ are pooled over the document, by mean and by maximum, and one hidden layer
 combines them into one probability. Chunks are pooled as they come, so memory
 does not grow with a document.
 
-Learning reads a bounded sample: at most SAMPLE_DOCS labelled documents by a
-hash of the text, TRAIN_CHUNKS evenly spaced chunks of each. Scoring reads
-every byte.
+Learning reads a bounded sample of labelled documents, SAMPLE_DOCS at most by a
+hash of the text, and every byte of those; scoring reads every byte of all.
 
 Defined cases: null and empty texts are one chunk of padding and get the
 network's value for it; without both classes among the labels every text gets
@@ -23,14 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_back, id_text
 
 SAMPLE_DOCS = 4_000
-PIECE = 16_000
-TRAIN_CHUNKS = 6
 CHUNK, WIDTH, STRIDE = 512, 8, 2
 EMBED, FILTERS, HIDDEN = 6, 24, 16
 EPOCHS, BATCH, RATE = 8, 64, 0.01
@@ -116,8 +113,13 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(logit.astype(np.float64), -30, 30)))
 
     def gradients(self, chunks: np.ndarray, owner: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        """Mean cross-entropy gradients of a batch; owner is the document of each chunk, ascending."""
-        feats, z, windows = self.convolve(chunks)
+        """Mean cross-entropy gradients of a batch; owner is the document of each chunk, ascending.
+
+        Only each filter's best place in each chunk has a gradient, so the chunks' responses
+        are made STEP chunks at a time and a long document costs no more memory than its bytes.
+        """
+        parts = [(f, z.argmax(axis=1)) for f, z, _ in (self.convolve(chunks[a : a + STEP]) for a in range(0, len(chunks), STEP))]
+        feats, at = (np.concatenate(x) for x in zip(*parts, strict=True))
         starts = np.searchsorted(owner, np.arange(len(y)))
         counts = np.diff(np.append(starts, len(owner)))
         mean = np.add.reduceat(feats, starts) / counts[:, None]
@@ -133,13 +135,14 @@ class Network:
         df = (dx[:, :FILTERS] / counts[:, None])[owner] + dx[:, FILTERS:][owner] * top
         df = (df * (feats > 0)).astype(np.float32)
         g["bias"] = df.sum(0)
-        at = z.argmax(axis=1)
-        n = np.arange(len(chunks))[:, None]
-        won = windows[n, at]  # (chunks, filters, width * embed)
-        g["filters"] = np.einsum("cf,cfw->wf", df, won)
-        back = (df[:, :, None] * self.p["filters"].T[None]).reshape(len(chunks), FILTERS, WIDTH, EMBED)
-        codes = chunks[n[:, :, None], at[:, :, None] * STRIDE + np.arange(WIDTH)]
-        g["embed"] = np.stack([np.bincount(codes.ravel(), weights=back[..., k].ravel(), minlength=PAD + 1) for k in range(EMBED)], axis=1)
+        g["filters"], g["embed"] = np.zeros_like(self.p["filters"]), np.zeros(self.p["embed"].shape)
+        for a in range(0, len(chunks), STEP):
+            own, n = df[a : a + STEP], np.arange(min(STEP, len(chunks) - a))[:, None, None]
+            codes = chunks[a : a + STEP][n, at[a : a + STEP, :, None] * STRIDE + np.arange(WIDTH)]  # (chunks, filters, width)
+            won = self.p["embed"][codes].reshape(len(own), FILTERS, WIDTH * EMBED)
+            g["filters"] += np.einsum("cf,cfw->wf", own, won)
+            back = (own[:, :, None] * self.p["filters"].T[None]).reshape(len(own), FILTERS, WIDTH, EMBED)
+            g["embed"] += np.stack([np.bincount(codes.ravel(), weights=back[..., k].ravel(), minlength=PAD + 1) for k in range(EMBED)], axis=1)
         return g
 
     def fit(self, rows: list[tuple[str, int]], seed: int = 7) -> Network:
@@ -147,10 +150,7 @@ class Network:
         if not len(y) or y.min() == y.max():
             self.share = float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.5
             return self
-        docs = []
-        for text, _ in rows:
-            c = chunks_of(text)
-            docs.append(c[np.unique(np.linspace(0, len(c) - 1, TRAIN_CHUNKS).astype(int))])
+        docs = [chunks_of(text) for text, _ in rows]
         rng = np.random.default_rng(seed)
         first = {k: np.zeros_like(v, dtype=np.float64) for k, v in self.p.items()}
         second = {k: np.zeros_like(v, dtype=np.float64) for k, v in self.p.items()}
@@ -173,6 +173,16 @@ class Network:
         return self
 
 
+def quality_of(network: Network, text: Column) -> Column:
+    """The network's score of a text, in Arrow batches."""
+
+    @F.pandas_udf("double")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(network.scores([t if isinstance(t, str) else None for t in texts.tolist()]), dtype=float)
+
+    return run(text.cast("string"))
+
+
 def score_quality(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, score."""
 

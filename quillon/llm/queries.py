@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, table
@@ -15,11 +15,10 @@ from .masked_lm import score_documents, train
 from .minmax_dedup import near_duplicates
 from .mixing import mix
 from .pfp_dedup import remove_repeats
-from .quality_cnn import PIECE, Network, score_quality
 from .quality_cnn import SAMPLE_DOCS as QUALITY_DOCS
-from .toxicity import Model, fit, sampled, score_toxicity
-from .toxicity import PIECE as TOXIC_PIECE
+from .quality_cnn import Network, quality_of, score_quality
 from .toxicity import SAMPLE_DOCS as TOXIC_DOCS
+from .toxicity import Model, fit, sampled, score_toxicity
 from .warc import archived
 
 
@@ -28,11 +27,14 @@ def op1_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
 
 
+def quality_network(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Network:
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0))
+    return Network().fit(sampled(docs, labels, "quality", "doc_id", "text", QUALITY_DOCS))
+
+
 def op2_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0))
-    network = Network().fit(sampled(docs, labels, "quality", "doc_id", "text", QUALITY_DOCS, PIECE))
-    scored = score_quality(docs, network)
+    scored = score_quality(docs, quality_network(spark, docs, sf_dir))
     return scored.select(F.col("id").alias("doc_id"), held_out("id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
@@ -43,7 +45,7 @@ def op3_pfp_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
     labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0))
-    return fit(sampled(docs, labels, "toxic", "doc_id", "text", TOXIC_DOCS, TOXIC_PIECE))
+    return fit(sampled(docs, labels, "toxic", "doc_id", "text", TOXIC_DOCS))
 
 
 def op4_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,13 +54,14 @@ def op4_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), held_out("id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_passages")
 
 
-def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents weigh 1 or a quarter."""
-    return table(spark, sf_dir, "labels").select(F.col("doc_id").cast("long").alias("id"), F.when(F.col("quality") == 1, 1.0).when(F.col("quality") == 0, 0.25).alias("weight"))
+def quality_weight(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Column:
+    """What the quality network says of each text is its weight in a mixture."""
+    return quality_of(quality_network(spark, docs, sf_dir), F.col("text"))
 
 
 def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(table(spark, sf_dir, "documents"), quality_weights(spark, sf_dir))
+    docs = table(spark, sf_dir, "documents")
+    mixed = mix(docs, quality_weight(spark, docs, sf_dir))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
 
 
@@ -68,8 +71,11 @@ def op6_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gap in what was just written means lost pages, so it ends the query rather than leaving them out."""
     records = archived(table(spark, sf_dir, "pages"))
-    return records.where("record_type is not null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    lost = F.raise_error(F.concat_ws(" ", F.lit("unreadable archive:"), "file", "offset", "gap_bytes", "reason"))
+    kind = F.when(F.col("record_type").isNull(), lost).otherwise(F.col("record_type"))
+    return records.select("page_id", "payload_bytes", "payload_digest", kind.alias("record_type"), "refers_to")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ a segment is significant when its expected number of chance hits is under
 EXPECTED. The sum of the significant segments' nats over chance goes through a
 logistic curve fitted on the training documents.
 
-Learning reads a bounded sample: at most SAMPLE_DOCS labelled documents, by a
-hash of the text; equal texts count once. Scoring reads every whole text.
+Learning reads a bounded sample of labelled documents, SAMPLE_DOCS at most by a
+hash of the text, whole; equal texts count once. Scoring reads every whole text.
 
 Defined cases: null, empty and tokenless texts have no segment and get the
 curve's value at nothing found; a training set without either class scores
@@ -31,16 +31,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_back, id_text
+from .common import bounded, id_back, id_text
 
 SAMPLE_DOCS = 8_000
-#: Bytes of each sampled text that train the counts, from its middle; scoring knows no such bound.
-PIECE = 4_000
 STRENGTH = 4.0
 DRIFT = 1.0
 EXPECTED = 0.05
-#: Features kept, by log-odds; those nearer to zero only add to the drift.
-MOST_FEATURES = 50_000
+#: Features nearer to zero only add to the drift.
 LEAST_ODDS = 0.5
 #: Toxic documents (or distinct words, for a family) that make evidence.
 LEAST_COUNT = 2
@@ -167,7 +164,7 @@ def log_odds(docs: list[tuple[list[bytes], int]]) -> dict[bytes, float]:
             if word not in strong and any(f in strong for f in chain(word)[:-1]):
                 *_, (_, value) = follow(word, clean[word])
                 strong[word] = value if value >= LEAST_ODDS else 0.0
-    return dict(sorted(strong.items(), key=lambda x: (-abs(x[1]), x[0]))[:MOST_FEATURES])
+    return strong
 
 
 def fit(rows: list[tuple[str, int]]) -> Model:
@@ -214,14 +211,14 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     return Model(log_odds(docs), lam, k, float(max(w[1], 0.0)), float(w[0]))
 
 
-def sampled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, most: int, piece: int) -> list[tuple[str, int]]:
-    """At most `most` labelled texts, equal ones once, by a hash of the text."""
+def sampled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, most: int) -> list[tuple[str, int]]:
+    """At most `most` labelled whole texts, equal ones once, by a hash of the text."""
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("y")).dropDuplicates(["id"])
     share = min(1.0, 1.1 * most / max(1, known.count()))
     drawn = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) <= F.lit(int(share * (1 << 20))))
-    middle = F.greatest(F.lit(1), ((F.char_length("text") - piece) / 2).cast("int"))
+    drawn = bounded(drawn, "drawn")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    rows = source.join(F.broadcast(drawn), "id").select(F.xxhash64("text").alias("h"), F.substring("text", middle, F.lit(piece)).alias("text"), "y")
+    rows = source.join(drawn, "id").select(F.xxhash64("text").alias("h"), "text", "y")
     rows = rows.dropDuplicates(["h"]).orderBy("h").limit(most)
     return [(r["text"], r["y"]) for r in rows.toLocalIterator()]
 

@@ -7,7 +7,7 @@ valid concatenation of members and any Hadoop file system can hold it.
 
 Records with equal payloads share one response; the others are revisits that
 name it. Which payloads repeat is known from narrow digests before any record
-is built.
+is built. Files are cut by the bytes of their members.
 
 The salvage reader checks each member (magic, deflate stream, CRC, length) and
 each record (version line, header, length, payload digest). After a failed
@@ -37,12 +37,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, shared_dir, stored
+from .common import is_small, shared_dir, stored
 
 VERSION = b"WARC/1.1\r\n"
 MAGIC = b"\x1f\x8b\x08"
-#: Payload bytes that one archive file holds, about; a file is one row of the reader.
-FILE_BYTES = 16 << 20
+#: Bytes that one archive file holds, unless its one record has more; a file is one row of the reader.
+FILE_BYTES = 8 << 20
+#: Ways in which rows of one digest are spread where the groups are too large to broadcast.
+SALTS = 32
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -196,25 +198,33 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     """Write a record for each row to files under path."""
     source = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(body_col).cast("string"), F.lit("")).alias("body"))
     source = source.select("id", "url", "body", F.unhex(F.sha1("body")).alias("digest"), F.octet_length("body").alias("bytes"))
-    narrow = stored(source.select("id", "digest", "bytes"), "digests")
-    groups = narrow.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
-    groups = bounded(groups.select("digest", "bytes", "first"), "groups")
-    total = narrow.agg(F.sum("bytes")).first()[0] or 0
-    known = source.join(groups, ["digest", "bytes"], "left").select("id", "url", "body", F.when(F.col("id") != F.col("first"), F.col("first")).alias("refers_to"))
-    known = known.select("id", "url", "body", F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.col("refers_to")).alias("refers_to"))
+    narrow = source.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    groups = stored(narrow.where("n > 1 and first is not null").select("digest", "bytes", "first"), "groups")
+    if is_small(groups):
+        known = source.join(F.broadcast(groups), ["digest", "bytes"], "left")
+    else:  # a payload that a third of all pages have must not meet in one task
+        salted = source.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int"))
+        known = salted.join(groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["digest", "bytes", "salt"], "left")
+    refers_to = F.when(F.col("id") != F.col("first"), F.col("first"))
+    known = known.select(F.col("id").cast("string").alias("id"), "url", "body", refers_to.cast("string").alias("refers_to"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, size = [], 0
         for pdf in batches:
-            out = []
             for page, url, body, to in zip(pdf["id"], pdf["url"], pdf["body"], pdf["refers_to"], strict=True):
-                out.append(member(record(page or "null", url, body.encode(), to)))
-            yield pd.DataFrame({"member": out})
-
-    known = known.withColumns({c: F.col(c).cast("string") for c in ("id", "refers_to")})
-    members = known.mapInPandas(run, "member binary").select(F.col("member").cast("string").alias("value"))
-    per_file = max(1, int(FILE_BYTES / max(1, total / max(1, narrow.count()))))
+                one = member(record(page or "null", url, body.encode(), to))
+                if out and size + len(one) > FILE_BYTES:
+                    yield pd.DataFrame({"members": [b"".join(out)]})
+                    out, size = [], 0
+                out.append(one)
+                size += len(one)
+        if out:
+            yield pd.DataFrame({"members": [b"".join(out)]})
+
+    # a row is what a file holds, so files are cut by their bytes
+    members = known.mapInPandas(run, "members binary").select(F.col("members").cast("string").alias("value"))
     separator = EMPTY_MEMBER.decode("latin-1")
-    members.write.option("lineSep", separator).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", per_file).text(path)
+    members.write.option("lineSep", separator).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).text(path)
     return path
 
 
