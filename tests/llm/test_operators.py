@@ -5,9 +5,11 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from quillon.llm import decontaminate, exact_dedup, langid, masked_lm, minmax_dedup, mixing, pfp_dedup, quality_cnn, shingles, toxicity, warc
@@ -99,6 +101,67 @@ def test_near_duplicates_compare_split_buckets_block_by_block(spark, monkeypatch
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("by_blocks", [2, 1_000])
+def test_near_duplicates_in_large_split_buckets(spark, monkeypatch, by_blocks):
+    """Families around one template, linked inside and apart from each other, in buckets that either way compares."""
+    monkeypatch.setattr(minmax_dedup, "BY_BLOCKS", by_blocks)
+    monkeypatch.setattr(minmax_dedup, "BLOCK", 3)
+    rng = random.Random(15)
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for family in range(8):
+        parts = list(base)
+        for at in range(0, 100, 14):
+            parts[at] = f"f{family}at{at}"
+        for k in range(6):
+            own = list(parts)
+            own[rng.randrange(100)] = f"x{family}y{k}"
+            rows.append((10 * family + k, " ".join(own)))
+    rng.shuffle(rows)
+    want = brute_components(rows)
+    assert len(set(want.values())) > 3
+    assert {r.id: r.component for r in minmax_dedup.near_duplicates(documents(spark, rows)).collect()} == want
+
+
+def test_smallest_shingles_tell_what_may_link():
+    rng = np.random.default_rng(3)
+    for size in (40, 400, 4_000):
+        every = np.unique(rng.integers(0, 1 << 32, size, dtype=np.uint32))
+        for share, may in ((0.9, True), (0.76, True), (0.6, False), (0.0, False)):
+            cut = int(len(every) * (1 - share) / (1 + share))  # each lacks as many of the other's
+            shuffled = rng.permutation(every)
+            x, y = np.sort(shuffled[cut:]), np.sort(np.r_[shuffled[2 * cut :], shuffled[:cut]] if cut else shuffled)
+            exact = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+            got = minmax_dedup.may_link(x[: minmax_dedup.LEAST], y[: minmax_dedup.LEAST], 75)
+            assert got or exact < 0.75
+            assert not got or exact > 0.62
+
+
+def test_near_duplicates_of_one_id_on_two_texts(spark):
+    rng = random.Random(14)
+    a, b = words(rng, 100), words(rng, 100)
+    near = lambda t: t.replace(" ", " edited ", 1)
+    rows = [(5, a), (5, b), (9, near(a)), (8, near(b))]
+    got = sorted((r.id, r.component, r.kept) for r in minmax_dedup.near_duplicates(documents(spark, rows)).collect())
+    assert got == [(5, 5, True), (5, 5, True), (8, 5, False), (9, 5, False)]
+    left = minmax_dedup.drop_near_duplicates(documents(spark, [*rows, (3, near(a) + " end")]))
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == sorted([(3, near(a) + " end"), (5, b)])
+
+
+def test_near_duplicate_links_found(spark):
+    """Recall of links at and just over the threshold, against brute force."""
+    rng = random.Random(16)
+    rows = []
+    for k in range(60):
+        parts = [f"v{rng.randrange(5_000)}" for _ in range(60)]
+        own = list(parts)
+        own[30 - 1] = "changed"  # 51 of 61 shingles in common
+        rows += [(2 * k, " ".join(parts)), (2 * k + 1, " ".join(own))]
+    want, got = brute_components(rows), {r.id: r.component for r in minmax_dedup.near_duplicates(documents(spark, rows)).collect()}
+    linked = [i for i, c in want.items() if c != i]
+    assert len(linked) == 60 and np.mean([got[i] == want[i] for i in linked]) >= 0.98
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101)], "a long, b long")
     got = {r.id: r.component for r in minmax_dedup.components(edges).collect()}
@@ -152,6 +215,34 @@ def test_repeats_match_brute_force(spark, span):
     assert sorted(got, key=key) == sorted(brute_repeats(rows, span), key=key)
 
 
+def test_results_do_not_depend_on_how_scans_are_split(spark, tmp_path, monkeypatch):
+    """Row numbers are made once: scans that split the input another way each time give the same rows."""
+    rng = random.Random(21)
+    passage = words(rng, 120)
+    rows = [(k, words(rng, 40) + passage * (k % 3 == 0) + words(rng, 30)) for k in range(60)] + [(k, "same") for k in range(100, 130)]
+    documents(spark, rows).repartition(16).write.parquet(f"file://{tmp_path}/documents")
+    from quillon.llm import common
+
+    real, turns = common.stored, itertools.cycle(["1k", "128m", "3k", "9k"])
+
+    def stored(df, what):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", next(turns))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        return real(df, what)
+
+    for module in (common, pfp_dedup, exact_dedup, minmax_dedup):
+        monkeypatch.setattr(module, "stored", stored)
+    try:
+        docs = spark.read.parquet(f"file://{tmp_path}/documents")
+        got = [(r.id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in pfp_dedup.remove_repeats(docs).collect()]
+        assert sorted(got) == sorted(brute_repeats(rows, 400))
+        assert sorted(r.doc_id for r in exact_dedup.drop_exact_duplicates(docs).collect()) == [*range(60), 100]
+        assert sorted(r.doc_id for r in minmax_dedup.drop_near_duplicates(docs.where("doc_id >= 100")).collect()) == [100]
+    finally:
+        for key in ("maxPartitionBytes", "openCostInBytes"):
+            spark.conf.unset(f"spark.sql.files.{key}")
+
+
 def test_repeats_in_pieces_of_a_long_text(spark, monkeypatch):
     monkeypatch.setattr(pfp_dedup, "PIECE", 700)
     rng = random.Random(8)
@@ -179,6 +270,94 @@ def test_leaks_in_any_case_and_context(spark):
     assert got == {(1, 1, True), (2, 2, False), (3, 2, False), (4, 1, False), (5, 3, False)}
 
 
+N, M, U = decontaminate.NUMBER, decontaminate.NAME, decontaminate.UNIT
+
+
+def brute_template(text):
+    """Template words and the value behind each placeholder, by plain substitution from left to right."""
+    out, out_end = [], 0
+    bare = text.replace("-", " ")
+    for m in regex.finditer(rf"(?P<n>{decontaminate.NUMBER_RE})|(?P<w>\p{{L}}+)", bare):
+        word = m[0]
+        if m["n"]:
+            out.append((N, word))
+        elif out and out[-1][0] == N and bare[out_end : m.start()].strip(" ") == "" and regex.fullmatch(rf"(?i)(?:{decontaminate.UNITS})", word):
+            out.append((U, word.lower()))
+        elif regex.fullmatch(r"\p{Lu}\p{Ll}+", word):
+            out.append((M, word.lower()))
+        else:
+            out.append((word.lower(), None))
+        out_end = m.end()
+    return out
+
+
+def brute_windows(words, w):
+    return {k: tuple(words[k : k + w]) for k in range(len(words) - w + 1)}
+
+
+def brute_leaks(rows, items):
+    found = set()
+    for i, text in rows:
+        for item, question in items:
+            if not text or not question:
+                continue
+            pair = None
+            ours, theirs = brute_template(question), brute_template(text)
+            w = 8 if len(ours) >= 8 else 4
+            slots = {N, M, U}
+            wanted = {k: v for k, v in brute_windows([x for x, _ in ours], w).items() if 2 * sum(x not in slots for x in v) >= w} if len(ours) >= 4 else {}
+            there = brute_windows([x for x, _ in theirs], w)
+            met = {}
+            for k, v in wanted.items():
+                for at, u in there.items():
+                    if u == v:
+                        met.setdefault(at - k, set()).add(k)
+            good, other = {}, {}
+            for diagonal, places in met.items():
+                groups = {}
+                for k in places:
+                    for at in range(k, k + w):
+                        if ours[at][0] in slots:
+                            groups.setdefault(ours[at], set()).add(theirs[at + diagonal][1])
+                if all(len(v) == 1 for v in groups.values()):
+                    changed = any(min(v) != value for (_, value), v in groups.items())
+                    for k in places:
+                        good[k] = True
+                        other.setdefault(k, []).append(changed)
+            if wanted and (len(good) >= 0.5 * len(wanted) if w == 8 else len(good) == len(wanted)):
+                pair = (i, item, any(all(v) for v in other.values()))
+            split = lambda t: regex.findall(r"[\p{L}\p{N}]+", t.lower())
+            plain, words_ = split(question), split(text)
+            w = 8 if len(plain) >= 8 else 4
+            ask = brute_windows(plain, w) if len(plain) >= 4 else {}
+            have = set(brute_windows(words_, w).values())
+            n = sum(v in have for v in ask.values())
+            if pair is None and ask and (n >= 0.5 * len(ask) if w == 8 else n == len(ask)):
+                pair = (i, item, False)
+            if pair:
+                found.add(pair)
+    return found
+
+
+def test_leaks_match_brute_force(spark):
+    rng = random.Random(23)
+    names, units = ["Maria", "Peter", "Boston", "Anna"], ["miles", "hours", "apples", "kg"]
+
+    def question(n):
+        return " ".join(rng.choice([f"q{rng.randrange(30)}x".translate({c: 97 + c - 48 for c in range(48, 58)}), rng.choice(names), f"{rng.randrange(1, 90)} {rng.choice(units)}", "the"]) for _ in range(n))
+
+    items = [(k, question(rng.choice([3, 5, 9, 14, 20]))) for k in range(25)]
+    again = lambda t: regex.sub(r"[0-9]+", lambda m: str(int(m[0]) + 7), t)
+    renamed = lambda t: t.replace("Maria", "Julia").replace("Boston", "Denver")
+    broken = lambda t: regex.sub(r"[0-9]+", lambda m: str(rng.randrange(100)), t)
+    rows = []
+    for k, (_, t) in enumerate(items):
+        for j, change in enumerate((str, again, renamed, broken, str.upper, lambda t: t[: len(t) // 2], lambda t: t[len(t) // 3 :])):
+            rows.append((10 * k + j, f"some words before it, {change(t)} and after it"))
+    got = decontaminate.leaks(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.id, r.item, r.reparameterised) for r in got.collect()} == brute_leaks(rows, items)
+
+
 def brute_segments(scores):
     """All maximal scoring segments by their definition: the best one, then both sides."""
     n = len(scores)
@@ -220,6 +399,28 @@ def test_toxicity(spark):
     assert toxicity.fit([]).score("x")[0] < 0.01 and toxicity.fit([("a", 1)]).score("x")[0] > 0.5
 
 
+def test_toxicity_query_matches_brute_force(spark, tmp_path):
+    """The whole query: fold, fit, and every document's score by its definition."""
+    from quillon.llm import queries
+
+    rng = random.Random(26)
+    rows = [(k, t, y) for k, (t, y) in enumerate(toxic_rows(rng, 300))] + [(900, None, None), (901, "", None), (902, "vileness scumbag " * 3, None)]
+    spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, y) for k, _, y in rows if y is not None], "doc_id long, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in queries.op4_segment_toxicity(spark, f"file://{tmp_path}").collect()}
+    held = lambda k: zlib.crc32(str(k).encode()) % 5 == 0
+    learned = toxicity.sampled(spark.read.parquet(f"file://{tmp_path}/documents.parquet"), spark.createDataFrame([(k, y) for k, _, y in rows if y is not None and not held(k)], "doc_id long, toxic int"), "toxic", "doc_id", "text", 10_000)
+    assert sorted(learned) == sorted((t, y) for k, t, y in rows if y is not None and not held(k))
+    model = toxicity.fit(learned)
+    for k, text, _ in rows:
+        scores = [next((model.odds[f] for f in reversed(toxicity.chain(w)) if f in model.odds), 0.0) - toxicity.DRIFT for w in toxicity.tokens(text)]
+        over = [model.lam * sum(scores[a:b]) - np.log(max(model.k * len(scores), 1e-9)) for a, b in brute_segments(scores)]
+        kept = [x for x in over if x >= -np.log(toxicity.EXPECTED)]
+        x = model.base + model.slope * np.log1p(sum(kept))
+        assert got[k].score == pytest.approx(1 / (1 + np.exp(-x)), abs=1e-9) and got[k].held_out == held(k) and got[k].n_passages == len(kept)
+        assert got[k].predicted == int(got[k].score >= 0.5)
+
+
 def test_toxic_passages_that_repeat_earlier_words():
     rng = random.Random(6)
     model = toxicity.fit(toxic_rows(rng, 400))
@@ -246,6 +447,36 @@ def test_quality_network(spark):
     assert quality_cnn.Network().fit([("a", 1)]).scores(["x", None]).tolist() == [0.75, 0.75]
 
 
+def brute_quality(text, p):
+    """The network's score by plain loops over every chunk, place and filter."""
+    q = quality_cnn
+    raw = [*(text or "").encode()]
+    chunks = [raw[a : a + q.CHUNK + q.WIDTH] for a in range(0, max(1, len(raw)), q.CHUNK)]
+    feats = []
+    for chunk in chunks:
+        chunk = chunk + [q.PAD] * (q.CHUNK + q.WIDTH - len(chunk))
+        windows = [np.concatenate([p["embed"][c] for c in chunk[a : a + q.WIDTH]]) for a in range(0, q.CHUNK, q.STRIDE)]
+        feats.append([max(0.0, max(float(w @ p["filters"][:, f]) for w in windows) + p["bias"][f]) for f in range(q.FILTERS)])
+    x = np.concatenate([np.mean(feats, axis=0), np.max(feats, axis=0)])
+    h = np.tanh(x @ p["hidden"] + p["hidden_bias"])
+    return 1 / (1 + np.exp(-(h @ p["out"] + p["out_bias"])[0]))
+
+
+def test_quality_scores_match_brute_force(spark):
+    rng = random.Random(17)
+    network = quality_cnn.Network().fit([(words(rng, 80) + "#" * (k % 2 * 30), 1 - k % 2) for k in range(60)])
+    rows = [(1, None), (2, ""), (3, "é" * 300), (4, words(rng, 700)), (5, words(rng, 3) + "###")]
+    got = {r.id: r.score for r in quality_cnn.score_quality(documents(spark, rows), network).collect()}
+    assert all(got[i] == pytest.approx(brute_quality(t, network.p), abs=1e-4) for i, t in rows)
+
+
+def test_quality_learns_from_the_end_of_long_texts():
+    rng = random.Random(18)
+    rows = [(words(rng, 900) + ("###" * 300 if k % 2 else " plain"), 1 - k % 2) for k in range(60)]
+    network = quality_cnn.Network().fit(rows[:40])
+    assert np.mean((network.scores([t for t, _ in rows[40:]]) >= 0.5) == [y for _, y in rows[40:]]) > 0.9
+
+
 def test_quality_gradients_agree_with_differences():
     network = quality_cnn.Network(3)
     chunks = np.concatenate([quality_cnn.chunks_of("some text with ### marks"), quality_cnn.chunks_of("other é text")])
@@ -271,40 +502,44 @@ def test_quality_gradients_agree_with_differences():
 
 def test_suffix_automaton_accepts_exactly_the_substrings():
     codes = np.array([2, 3, 2, 2, 3, 4, 2], dtype=np.uint8)
-    dense = langid.automaton(codes)
+    goto = langid.automaton(codes)
     inside = {tuple(codes[a:b].tolist()) for a in range(7) for b in range(a + 1, 8)}
     for n in (1, 2, 3, 4):
         for word in itertools.product((2, 3, 4), repeat=n):
-            state, ok = 0, True
+            state = 0
             for c in word:
-                to = dense[state, c]
-                ok &= not to & langid.FLAG
-                state = to & (langid.FLAG - 1)
-            assert ok == (word in inside)
+                state = None if state is None else goto[state].get(c)
+            assert (state is not None) == (word in inside)
 
 
 def brute_phrases(codes, train):
-    inside = lambda w: any(train[k : k + len(w)] == w for k in range(len(train)))
-    count = 0
-    for start in range(0, len(codes), langid.SEGMENT):
-        piece, word = codes[start : start + langid.SEGMENT], []
-        count += 1 if piece else 0
-        for c in piece:
-            if inside([*word, c]):
-                word.append(c)
-            else:
-                count += 1
-                word = [c] if inside([c]) else []
+    """Phrases of one greedy parse of the whole text into the longest pieces that train holds."""
+    count, word = 1 if codes else 0, b""
+    for c in codes:
+        c = bytes([c])
+        if word + c in train:
+            word += c
+        else:
+            count += 1
+            word = c if c in train else b""
     return count
 
 
-def test_phrases_match_brute_force():
+@pytest.mark.parametrize("lane", [8_192, 300])
+def test_phrases_match_brute_force(monkeypatch, lane):
+    monkeypatch.setattr(langid, "LANE", lane)
     rng = random.Random(9)
-    train = [rng.randrange(2, 6) for _ in range(60)]
-    dense = langid.automaton(np.array(train, dtype=np.uint8))
-    texts = [[rng.randrange(1, 7) for _ in range(n)] for n in (1, 5, 40, 256, 300)]
-    got = langid.phrases([np.array(t, dtype=np.uint8) for t in texts], dense)
-    assert got.tolist() == [brute_phrases(t, train) for t in texts]
+    samples = {"x": bytes(rng.choices(b"abc ", k=300)), "y": bytes(rng.choices(b"abd", k=90)), "z": b"a"}
+    texts = [bytes(rng.choices(b"abcde ", weights=[9, 9, 9, 3, 1, 2], k=n)) for n in (1, 5, 40, 256, 300, 301, 2_000)] + [b""]
+    parser = langid.Parser({k: np.frombuffer(v, dtype=np.uint8) for k, v in samples.items()})
+    got = parser.phrases([np.frombuffer(t, dtype=np.uint8) for t in texts])
+    assert got.tolist() == [[brute_phrases(t, samples[lang]) for t in texts] for lang in parser.langs]
+
+
+def test_texts_are_spelled_in_letters():
+    said = lambda t: langid.spelled(t).tobytes().decode()
+    assert said("  Ab--C, d1") == "ab c d " and said("É$$ñ") == "é ñ" and said("123 $") == "" and said("") == ""
+    assert said("\U00010330\U00010331!") == "\U00010330\U00010331 "
 
 
 def test_languages(spark):
@@ -320,7 +555,60 @@ def test_languages(spark):
     assert {r.lang_pred for r in langid.identify_languages(docs, F.lit(False)).collect()} == {"und"}
 
 
-def test_masked_lm(spark):
+def brute_language(text, samples):
+    letters = "".join(c if c.isalpha() else " " for c in text.lower())
+    spelt = re.sub(" +", " ", letters).lstrip().encode()
+    cost = {lang: brute_phrases(spelt, own) * np.log2(len(own) + 2) for lang, own in samples.items()}
+    return min(sorted(cost), key=cost.get) if letters.strip() else "und"
+
+
+def test_languages_match_brute_force(spark):
+    """The whole query: samples, spelling, parse and choice, with scripts past any small alphabet and a language of one short text."""
+    rng = random.Random(12)
+    block = lambda start, n: [chr(start + k) for k in range(n)]
+    kinds = {"cjk": block(0x4E00, 900), "got": block(0x10330, 20), "hang": block(0xAC00, 600), "lat": list("abcdefgh")}
+    make = lambda lang, n: " ".join("".join(rng.choices(kinds[lang], k=4)) for _ in range(n))
+    rows = [(k, make(lang, 25), lang) for k, lang in enumerate(["cjk", "hang", "lat"] * 12)] + [(50, make("got", 3), "got"), (51, make("got", 30), None), (52, "7 $", "lat"), (53, None, "lat")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    train = (F.col("doc_id") % 3 != 1) | (F.col("doc_id") >= 50)
+    texts = langid.samples_of(docs.where(train).select("lang", "text"))
+    learned = {lang: {t for i, t, own in rows if own == lang and t and (i % 3 != 1 or i >= 50)} for lang in texts}
+    assert all(set(texts[lang].split("\n")) == {t for t in learned[lang] if any(c.isalpha() for c in t)} for lang in texts)
+    samples = {lang: langid.spelled(t).tobytes() for lang, t in texts.items()}
+    got = {r.id: r.lang_pred for r in langid.identify_languages(docs, train).collect()}
+    assert got == {i: "und" if not t else brute_language(t, samples) for i, t, _ in rows}
+    assert got[51] == got[50] == "got" and got[52] == got[53] == "und"
+
+
+def test_training_texts_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TRAIN_CHARS", 100)
+    rows = [("a", "x" * 90), ("a", "y" * 300), ("b", "z" * 500), ("b", "w" * 400), ("c", "12"), (None, "v")]
+    got = langid.samples_of(spark.createDataFrame(rows, "lang string, text string"))
+    assert got == {"a": "x" * 90, "b": "w" * 400}
+
+
+def brute_log_prob(text, model, counts):
+    """Sum over the words of the log of the product of turns, by plain loops over both sides."""
+    net, found = model.network, text.lower().split()
+    ids = [int(masked_lm.leaves(masked_lm.buckets([w.encode()])[0], model.head)[0]) for w in found]
+    total = 0.0
+    for k, leaf in enumerate(ids):
+        z = net.p["mix"][-1, : masked_lm.EMBED].astype(float)
+        sides = [k + d for d in range(-masked_lm.RADIUS, masked_lm.RADIUS + 1) if d]
+        for place, at in enumerate(sides):
+            side = ids[at] if 0 <= at < len(ids) else net.padding
+            z = z + net.p["mix"][place, : masked_lm.EMBED] * net.p["in"][side, : masked_lm.EMBED]
+        h = np.tanh(z)
+        for step in range(net.starts[leaf], net.starts[leaf + 1]):
+            own = net.p["out"][net.nodes[step]]
+            total -= np.log1p(np.exp(-net.turns[step] * (own[: masked_lm.EMBED] @ h + own[masked_lm.EMBED])))
+        if leaf == len(model.head):
+            total += np.log((counts.get(found[k], 0) + masked_lm.SMOOTH) / model.mass)
+    return total
+
+
+def test_masked_lm(spark, monkeypatch):
+    monkeypatch.setattr(masked_lm, "BATCH", 8)
     rng = random.Random(11)
     order = [f"w{k}" for k in range(12)]
     fluent = [" ".join(order[(k + j) % 12] for j in range(200)) for k in range(30)]
@@ -332,12 +620,9 @@ def test_masked_lm(spark):
     assert len(got) == len({i for i, _ in rows})
     assert got[50].n_tokens == 0 and got[50].log_prob == 0 and got[50].mean_log_prob is None
     assert got[0].mean_log_prob > got[2**60 + 1].mean_log_prob + 0.5
-    # the table is the network, and a text's score is the sum over its words
-    text = fluent[3].encode()
-    buckets, counts = masked_lm.buckets([text])
-    codes = masked_lm.windows(model.classes[buckets], counts)
-    assert abs(sum(model.middle[c] + model.inside[b] for c, b in zip(codes, buckets)) - got[3].log_prob) < 1e-2
-    assert np.allclose(np.exp(model.middle.reshape(16**2, 16, 16**2)).sum(axis=1), 1, atol=1e-4)
+    for i, text in rows:
+        if text:
+            assert got[i].log_prob == pytest.approx(brute_log_prob(text, model, {}), abs=1e-2)
 
 
 def test_lm_words_are_told_apart_beyond_any_table():
@@ -349,59 +634,137 @@ def test_lm_words_are_told_apart_beyond_any_table():
 def test_lm_counts_of_words_past_the_head_are_exact(spark, monkeypatch):
     monkeypatch.setattr(masked_lm, "HEAD", 3)
     texts = ["a a a a b b b c c d", "a b c d e E", "f " * 2 + "a", "", None]
-    docs = documents(spark, [*enumerate(texts)])
-    model = masked_lm.train(docs)
-    got = {r.id: r.log_prob for r in masked_lm.score_documents(documents(spark, [*enumerate(texts), (9, "a unseen f")]), model).collect()}
+    model = masked_lm.train(documents(spark, [*enumerate(texts)]))
+    rows = [*enumerate(texts[:3]), (9, "a unseen f")]
+    got = {r.id: r.log_prob for r in masked_lm.score_documents(documents(spark, rows), model).collect()}
     count = {"a": 6, "b": 4, "c": 3, "d": 2, "e": 2, "f": 2}
-    assert set(model.classes.keys.tolist()) == set(masked_lm.buckets([b"a b c"])[0].tolist())
-    last = [w for w in [*count, "unseen"] if model.classes[masked_lm.buckets([w.encode()])[0]][0] == 15]
-    mass = sum(count.get(w, 0) + masked_lm.SMOOTH for w in last)
-    for i, text in [*enumerate(texts[:3]), (9, "a unseen f")]:
-        words, n = masked_lm.buckets([text.encode()])
-        codes = masked_lm.windows(model.classes[words], n)
-        inside = [np.log((count.get(w, 0) + masked_lm.SMOOTH) / mass) if w in last else model.inside[h] for w, h in zip(text.lower().split(), words)]
-        assert abs(model.middle[codes].sum() + sum(inside) - got[i]) < 1e-4
-
-
-def test_lm_trains_on_every_window_in_each_pass():
-    mass = np.sort(np.random.default_rng(1).pareto(1, 10_000))[::-1]
-    seen = np.zeros(len(mass))
-    for pick, share in masked_lm.batches(mass, np.random.default_rng(2)):
-        np.add.at(seen, pick, share)
-    assert np.allclose(seen, 1)
+    assert set(model.head.tolist()) == set(masked_lm.buckets([b"a b c"])[0].tolist())
+    assert model.mass == sum(count[w] + masked_lm.SMOOTH for w in "def") + masked_lm.SMOOTH
+    for i, text in rows:
+        assert got[i] == pytest.approx(brute_log_prob(text, model, count), abs=1e-4)
+
+
+def test_lm_probabilities_sum_to_one_and_start_as_frequencies():
+    counts = np.array([50.0, 3, 20, 1, 7, 7, 12])
+    net = masked_lm.WindowNetwork(counts)
+    sides = np.array([[0, 1, 2, 3], [7, 7, 6, 5]])
+    every = lambda: np.stack([net.log_p(np.repeat(s[None], 7, axis=0), np.arange(7)) for s in sides])
+    assert np.allclose(np.exp(every()), counts / counts.sum(), atol=1e-6)
+    net.learn(np.repeat(sides, 50, axis=0), np.repeat([3, 0], 50))
+    assert np.allclose(np.exp(every()).sum(axis=1), 1, atol=1e-5) and every()[0, 3] > np.log(1 / 100)
+
+
+@pytest.mark.parametrize("top", [2, 64])
+def test_lm_gradients_agree_with_differences(monkeypatch, top):
+    monkeypatch.setattr(masked_lm, "TOP", top)
+    rng = np.random.default_rng(2)
+    net = masked_lm.WindowNetwork(np.arange(1.0, 9.0))
+    net.p["out"][:, : masked_lm.EMBED] = rng.standard_normal((7, masked_lm.EMBED)) / 3
+    sides, words = rng.integers(0, 9, (20, 4)), rng.integers(0, 8, 20)
+    for name, (rows, g, _) in net.gradients(sides, words).items():
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        place = (rows[at[0]], at[1])
+        loss = []
+        for move in (1e-2, -2e-2):
+            net.p[name][place] += move
+            loss.append(-net.log_p(sides, words).sum())
+        net.p[name][place] += 1e-2
+        assert (loss[0] - loss[1]) / 2e-2 == pytest.approx(g[at], rel=0.02)
+
+
+@pytest.mark.parametrize("top", [3, 64])
+def test_lm_pass_reaches_every_word_and_equals_one_task(spark, monkeypatch, top):
+    """A pass with one task is plain training; with several, every word's path still moves."""
+    monkeypatch.setattr(masked_lm, "EVERY", 1)
+    monkeypatch.setattr(masked_lm, "TOP", top)
+    rows = [(k, words(random.Random(k), 30 + k)) for k in range(40)]
+    texts = documents(spark, rows).select("text")
+    head, counts, rest, n_rest = masked_lm.head_of(masked_lm.word_counts(texts))
+    fresh = lambda: masked_lm.WindowNetwork(np.append(counts, rest + 1.0))
+    alone, several, plain = fresh(), fresh(), fresh()
+    start = plain.p["out"].copy()
+    masked_lm.one_pass(texts.coalesce(1), head, alone)
+    masked_lm.one_pass(texts.repartition(4), head, several)
+    found, n = masked_lm.buckets([t.encode() for _, t in rows])
+    ids = masked_lm.leaves(found, head)
+    order = np.random.default_rng(len(ids)).permutation(len(ids))
+    plain.learn(masked_lm.windows(ids, n, plain.padding)[order], ids[order])
+    assert all(np.allclose(alone.p[k], plain.p[k], atol=1e-4) for k in plain.p)
+    assert (several.p["out"] != start).any(axis=1).all()
 
 
 def test_lm_windows_stay_within_their_text():
-    codes = masked_lm.windows(np.array([1, 2, 3], dtype=np.uint8), np.array([2, 0, 1]))
-    digits = [[c // 16**k % 16 for k in (4, 3, 2, 1, 0)] for c in codes.tolist()]
-    assert digits == [[0, 0, 1, 2, 0], [0, 1, 2, 0, 0], [0, 0, 3, 0, 0]]
-
-
-def test_fill_reshares_what_is_over_the_cap():
-    target = mixing.fill([("a", 10), ("b", 1000), (None, 100)])
-    assert target["a"] == 30 and abs(sum(target.values()) - 1110) < 1e-6 and target[None] < 300.01
-    assert mixing.fill([("a", 5)]) == {"a": 5.0} and mixing.fill([]) == {} and mixing.fill([("a", 0), ("b", 0)]) == {"a": 0.0, "b": 0.0}
+    sides = masked_lm.windows(np.array([1, 2, 3], dtype=np.int32), np.array([2, 0, 1]), 9)
+    assert sides.tolist() == [[9, 9, 2, 9], [9, 1, 9, 9], [9, 9, 9, 9]]
+
+
+def brute_targets(sizes, weights=(5.0, 2.0, 1.0), most=3.0):
+    """Water-filling in a plain loop: share by weight, cap, share the excess again."""
+    order = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight, left, free, target = {s: weights[k % 3] for k, s in enumerate(order)}, float(sum(sizes.values())), list(order), {}
+    while free:
+        total = sum(weight[s] for s in free)
+        over = [s for s in free if left * weight[s] / total > most * sizes[s]]
+        if not over:
+            return target | {s: left * weight[s] / total for s in free}
+        target |= {s: most * sizes[s] for s in over}
+        left -= sum(most * sizes[s] for s in over)
+        free = [s for s in free if s not in over]
+    return target
+
+
+@pytest.mark.parametrize("sizes", [{"a": 10, "b": 1000, None: 100}, {"a": 5}, {}, {"a": 0, "b": 0}, {f"s{k:02}": k * k for k in range(40)}, {"é": 7, "z": 3, "A": 900, "a": 1}])
+def test_targets_match_water_filling(spark, sizes):
+    totals = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(totals).collect()}
+    want = brute_targets(sizes)
+    assert set(got) == set(want) and all(abs(got[s] - want[s]) < 1e-6 for s in want)
+
+
+def brute_mix(rows, keys):
+    """Complete epochs, then whole documents in key order up to the target, the one across it in part."""
+    sizes, own = {}, {}
+    for k, (_, text, source, *_) in enumerate(rows):
+        sizes[source] = sizes.get(source, 0) + len((text or "").split())
+        own.setdefault(source, []).append(k)
+    taken = {}
+    for source, target in brute_targets(sizes).items():
+        epochs = int(target // sizes[source]) if sizes[source] else 0
+        rest = target - epochs * sizes[source]
+        for k in sorted(own[source], key=lambda k: keys[k]):
+            n = len((rows[k][1] or "").split())
+            part = min(n, max(0, int(rest)))
+            rest -= n
+            taken[k] = epochs * n + part
+    return taken
 
 
 def test_mixture(spark):
     rng = random.Random(12)
-    rows = [(k, words(rng, rng.randrange(0, 60)), rng.choice(["a", "b", "c", None])) for k in range(600)] + [(5, None, "a"), (5, None, "a"), (None, "x y", "b")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash"))
-    weights = spark.createDataFrame([(k, 1.0 if k % 2 else 0.1) for k in range(600)], "id long, weight double")
-    got = mixing.mix(docs, weights).collect()
-    assert sorted(got, key=repr) == sorted(mixing.mix(docs, weights).collect(), key=repr) and len(got) == len(rows)
+    rows = [(k, words(rng, rng.randrange(0, 60)), rng.choice(["a", "b", "c", None]), 1.0 if k % 2 else 0.1) for k in range(600)] + [(700, None, "a", None), (701, None, "a", 0.5), (None, "x y", "b", 0.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, w double").withColumn("size", F.lit("clash")).withColumn("quality", F.lit("clash"))
+    got = mixing.mix(docs, F.col("w")).collect()
+    assert sorted(got, key=repr) == sorted(mixing.mix(docs, F.col("w")).collect(), key=repr) and len(got) == len(rows)
+    # the reference selection by plain loops, from the same uniform numbers
+    from quillon.llm.common import unit_hash
+
+    u = {r.doc_id: r.u for r in docs.select("doc_id", unit_hash(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")), seed=5).alias("u")).collect()}
+    weight = lambda w: max(mixing.USUAL if w is None else w, mixing.FLOOR)
+    taken = brute_mix(rows, [-np.log(u[i]) / weight(w) for i, _, _, w in rows])
+    assert {r.id: r.taken for r in got} == {rows[k][0]: n for k, n in taken.items()}
     size = {}
-    for _, t, s in rows:
+    for _, t, s, _ in rows:
         size[s] = size.get(s, 0) + len((t or "").split())
-    target = mixing.fill(list(size.items()))
+    target = brute_targets(size)
     for s in size:
         own = [r for r in got if r.source == s]
         assert {r.source_size for r in own} == {size[s]} and abs(own[0].target - target[s]) < 1e-6
         assert abs(sum(r.taken for r in own) - target[s]) < 1
-        epochs = int(target[s] / size[s])
-        assert all(epochs * r.size <= r.taken <= min(3, epochs + 1) * r.size for r in own)
+        assert all(r.taken <= 3 * r.size for r in own)
     picked = lambda odd: np.mean([r.taken % max(r.size, 1) == 0 and r.taken > 0 for r in got if r.source == "c" and r.id is not None and r.size and r.id % 2 == odd])
     assert picked(1) > picked(0)
+    again = mixing.mix(spark.createDataFrame([(5, "a b c", "s"), (5, "a b c", "s"), (6, "", "t")], "doc_id long, text string, source string")).collect()
+    assert sorted((r.id, r.taken) for r in again) == [(5, 3), (5, 3), (6, 0)]
     assert mixing.mix(docs.limit(0)).collect() == []
 
 
@@ -425,6 +788,41 @@ def test_warc_round_trip(spark, tmp_path):
         gzip.decompress(file.read_bytes())  # a valid concatenation of members
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_archives_are_cut_by_bytes(spark, tmp_path, monkeypatch, small):
+    monkeypatch.setattr(warc, "FILE_BYTES", 4_000)
+    monkeypatch.setattr(warc, "is_small", lambda df: small)
+    rng = random.Random(19)
+    rows = [(k, "u", "same" if k % 3 == 0 else words(rng, 900 if k > 40 else 3)) for k in range(60)]
+    path = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2), f"file://{tmp_path}/archive")
+    sizes = [f.stat().st_size for f in (tmp_path / "archive").glob("part-*")]
+    assert len(sizes) > 5 and max(sizes) < 4_000 + 2_000
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.read_archives(spark, path).collect()}
+    assert got == {i: ("revisit", 0) if t == "same" and i else ("response", None) for i, _, t in rows}
+
+
+def test_a_lost_page_ends_the_query(spark, tmp_path, monkeypatch):
+    from quillon.llm import queries
+
+    rows = [(k, "u", f"page {k}") for k in range(6)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    assert queries.op7_warc_salvage(spark, f"file://{tmp_path}").count() == 6
+    real = warc.member
+    monkeypatch.setattr(queries, "archived", lambda pages: warc.read_archives(spark, damaged(warc.write_archives(pages, f"file://{tmp_path}/damaged"))))
+
+    def damaged(path):
+        for f in (tmp_path / "damaged").glob("part-*"):
+            data = bytearray(f.read_bytes())
+            data[len(data) // 2] ^= 0xFF
+            f.write_bytes(bytes(data))
+            (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+        return path
+
+    with pytest.raises(Exception, match="unreadable archive"):
+        queries.op7_warc_salvage(spark, f"file://{tmp_path}").collect()
+    assert real is warc.member
+
+
 @pytest.mark.parametrize("packed", [True, False])
 def test_salvage_recovers_what_damage_leaves(packed):
     parts = [warc.record(str(k), "u", f"body {k} ".encode() * 50, None) for k in range(6)]

@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 import corpus_pipeline
 from quillon.llm import mixing
 from quillon.llm.common import table
@@ -54,9 +56,41 @@ def test_stages_and_run(spark, tmp_path):
     size = {}
     for i in kept[4]:
         size[source(i)] = size.get(source(i), 0) + len((rows[i] or "").split())
-    target = mixing.fill(list(size.items()))
-    for s, goal in target.items():
-        assert abs(sum(r.taken for r in final if r.source == s) - goal) < 1
+    totals = spark.createDataFrame([(s, n) for s, n in size.items()], "source string, source_size long")
+    for r in mixing.targets(totals).collect():
+        assert abs(sum(x.taken for x in final if x.source == r.source) - r.target) < 1
+
+
+def odd(spark, rows):
+    """Documents with further columns whose names operators use inside."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row long, id string, class string, n int"
+    return spark.createDataFrame([(i, t, None, None, None, 7, "x", "y", 1) for i, t in rows], schema)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_empty_tables_nulls_and_clashing_columns(spark, tmp_path, name):
+    plant(spark, str(tmp_path))
+    stage = dict(corpus_pipeline.STAGES)[name]
+    assert stage(spark, odd(spark, []), str(tmp_path)).count() == 0
+    rng = random.Random(4)
+    own = words(rng, 70)
+    rows = [(None, None), (None, own), (1, None), (2, ""), (2, ""), (3, own), (3, own), (4, own + " end"), (5, words(rng, 20_000)), (6, " \t\n"), (None, words(rng, 50))]
+    docs = odd(spark, rows)
+    out = stage(spark, docs, str(tmp_path))
+    left = sorted(((r.doc_id, getattr(r, "text", None)) for r in out.collect()), key=repr)
+    if name == "mixing":
+        assert [i for i, _ in left] == sorted((i for i, _ in rows), key=repr)
+        return
+    assert out.columns == docs.columns
+    gone = {"exact_dedup": [(1, None), (2, ""), (None, None), (3, own), (None, own)], "near_dedup": [(3, own), (4, own + " end")]}.get(name, [])
+    if name == "exact_dedup":  # null, empty: one row stays, of the smallest id
+        gone = [(None, None), (2, ""), (2, ""), (3, own), (None, own)]
+    assert left == sorted([r for r in rows if r not in gone] + [r for r in set(gone) if gone.count(r) < rows.count(r)], key=repr)
+
+
+def test_toxicity_without_labels_drops_nothing(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.toxicity(spark, odd(spark, [(1, "a"), (2, None)]), str(tmp_path)).count() == 2
 
 
 def test_registry():
