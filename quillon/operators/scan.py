@@ -15,6 +15,7 @@ reached.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,7 +93,8 @@ def gate(lines: DataFrame, rules: list[Rule], compat_gate: bool = False) -> Data
     of_word: dict[str, list[int]] = {}
     for word, k in words:
         of_word.setdefault(word, []).append(k)
-    table = F.create_map(*[c for word, own in of_word.items() for c in (F.lit(word), F.array(*map(F.lit, own)))])
+    keys, ordinals = ", ".join(map(_quoted, of_word)), ", ".join(f"array({', '.join(map(str, own))})" for own in of_word.values())
+    table = F.expr(f"map_from_arrays(array({keys}), array({ordinals}))")
     found = lines.withColumn("_words", F.regexp_extract_all(fold(F.col("text")), F.lit(_trie(sorted(of_word))), F.lit(0)))
     # lines without words explode to nothing, so no filter runs the pattern a second time
     ordinals = F.concat(always, F.flatten(F.transform(F.array_distinct("_words"), lambda w: F.element_at(table, w))))
@@ -116,12 +118,21 @@ def matches(pattern: Column, line: Column, group: int = 0) -> Column:
     return F.aggregate(zipped, zero, step, lambda acc: acc["out"])
 
 
-def _by_rule(rules: list[Rule], ordinal: Column, one) -> Column:
-    """one(k, rule) of the row's rule: a branch for each, so that patterns are literals and compiled once a task."""
-    out = F
-    for k, r in enumerate(rules):
-        out = out.when(ordinal == k, one(r))
-    return out
+def _quoted(value: str) -> str:
+    """A text as an SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _by_rule(rules: list[Rule], one: Callable[[Rule], str | None]) -> Column:
+    """one(rule) of the row's rule, in SQL: a branch for each, so that patterns are literals and compiled once a task.
+
+    A catalog makes hundreds of branches; as one text they are parsed at once.
+    """
+    return F.expr("CASE " + " ".join(f"WHEN ordinal = {k} THEN {sql}" for k, r in enumerate(rules) if (sql := one(r)) is not None) + " END")
+
+
+def _extracted(pattern: str, group: int) -> str:
+    return f"regexp_extract_all(text, {_quoted(pattern)}, {group})"
 
 
 def with_matches(pairs: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -129,15 +140,14 @@ def with_matches(pairs: DataFrame, rules: list[Rule]) -> DataFrame:
 
     The texts of the matches come first and alone, so a line without any costs one pass of its pattern.
     """
-    line, ordinal = F.col("text"), F.col("ordinal")
     # columns of their own, as an expression inside a generator is interpreted, branch by branch
-    found = pairs.withColumn("_hit", _by_rule(rules, ordinal, lambda r: F.regexp_extract_all(line, F.lit(r.pattern), F.lit(0))))
+    found = pairs.withColumn("_hit", _by_rule(rules, lambda r: _extracted(r.pattern, 0)))
     some = F.size("_hit") > 0
-    found = found.withColumn("_gap", F.when(some, _by_rule(rules, ordinal, lambda r: F.regexp_extract_all(line, F.lit(rf"\G(?s:(.*?))({r.pattern})"), F.lit(1)))))
+    found = found.withColumn("_gap", F.when(some, _by_rule(rules, lambda r: _extracted(rf"\G(?s:(.*?))({r.pattern})", 1))))
     grouped = any(r.secret_group is not None for r in rules)
     columns = [F.col("_gap").alias("gap"), F.col("_hit").alias("hit")]
     if grouped:
-        found = found.withColumn("_want", F.when(some, _by_rule(rules, ordinal, lambda r: F.lit(None) if r.secret_group is None else F.regexp_extract_all(line, F.lit(r.pattern), F.lit(r.secret_group)))))
+        found = found.withColumn("_want", F.when(some, _by_rule(rules, lambda r: None if r.secret_group is None else _extracted(r.pattern, r.secret_group))))
         columns.append(F.coalesce("_want", "_hit").alias("want"))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("out"))
 
@@ -192,10 +202,11 @@ def detect(pairs: DataFrame, rules: list[Rule], allow: Allowlist | None = None,
                 found = found.where((F.col("ordinal") != k) | ~_allowed(r.allow, F.col("matched"), F.col("path")))
         if allow is not None:
             found = found.where(~_allowed(allow, F.col("matched"), F.col("path")))
-    about = F.array(*(F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.description).alias("description"), F.lit(r.severity).alias("severity"), F.lit(rank(r.severity)).alias("severity_rank")) for r in rules))
-    rule = F.get(about, F.col("ordinal"))
+    about = {"rule_id": [r.rule_id for r in rules], "description": [r.description for r in rules], "severity": [r.severity for r in rules]}
+    names = {c: F.expr(f"get(array({', '.join(map(_quoted, values))}), ordinal)") for c, values in about.items()}
+    names["severity_rank"] = F.expr(f"get(array({', '.join(str(rank(r.severity)) for r in rules)}), ordinal)")
     return found.select(
-        *(rule[c].alias(c) for c in ("rule_id", "description", "severity", "severity_rank")), "path", "line", (F.col("m.start") + 1).alias("column"), "matched", F.col("text").alias("context"),
+        *(value.alias(c) for c, value in names.items()), "path", "line", (F.col("m.start") + 1).alias("column"), "matched", F.col("text").alias("context"),
         F.lit(None).cast("string").alias("commit"), F.lit(False).alias("likely_false_positive"), F.lit(None).cast("string").alias("verification"), F.lit(None).cast("string").alias("verification_error"),
     )
 
@@ -222,7 +233,7 @@ def scan_raw(lines: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     rules = builtin() if rules is None else rules
     if not rules:
         return lines.sparkSession.createDataFrame([], FINDING)
-    every = F.array(*(F.when(F.col("text").rlike(r.pattern), F.lit(k)) for k, r in enumerate(rules)))
+    every = F.expr("array(" + ", ".join(f"CASE WHEN text RLIKE {_quoted(r.pattern)} THEN {k} END" for k, r in enumerate(rules)) + ")")
     pairs = spread(lines).withColumn("_every", every).withColumn("ordinal", F.explode(F.array_compact("_every"))).drop("_every")
     return detect(pairs, rules, honour_lists=False)
 

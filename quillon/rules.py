@@ -387,24 +387,40 @@ _ASSIGNED: list[tuple[str, str, str, str]] = [
     ("cargo-registry-token", "high", r"""(?i)cargo[_-]?registry[_-]?token\s*[:=]\s*['"]?([A-Za-z0-9]{36,})['"]?""", "cargo_registry_token"),
 ]
 
-#: Services whose keys or tokens have no shape: a rule is made from the name. More names are a parameter.
+#: Services whose keys or tokens have no shape: a rule is made from the name, with an id of its own after a colon. More names are a parameter.
+KEYED_HIGH = (
+    "helpscout:helpscout-token canny:canny-token beamer:beamer-token mailmodo:mailmodo-token zerobounce:zerobounce-token clarifai:clarifai-key statuspage harness fastly fastspring:fastspring-token sellfy:sellfy-token "
+    "fathom:fathom-analytics-key plausible:plausible-analytics-key calendly launchdarkly:launchdarkly-key configcat:configcat-key flagsmith:flagsmith-key bitfinex ringcentral telesign mesibo clicksend mailerlite "
+    "airship close-crm wrike clockify harvest daily-co jotform typeform tradier nasdaq-data-link dwolla checkout-com paymongo avalara currency-cloud:currencycloud-api-key poloniex bitmex glassnode tatum nftport samsara "
+    "shutterstock saucelabs bugsnag keygen adobe-io:adobeio-api-key deepgram agora censys securitytrails loginradius kite-connect:kiteconnect-api-key veeva-vault:veevavault-api-key cloudways"
+).split()
 KEYED = (
-    "canny beamer mailmodo zerobounce clarifai statuspage fastspring sellfy fathom plausible calendly launchdarkly configcat flagsmith bitfinex kakao liveagent ringcentral telesign cometchat mesibo bulbul "
-    "tyntec kaleyra onbuka clicksend sms bombbomb apifonica mailerlite omnisend moosend dotdigital dyspatch postageapp nicereply autopilot airship close-crm copper-crm autoklose salesflare salesblink salescookie "
-    "metrilo revampcrm karmacrm scraperapi scrapingdog scrapeowl webscraping zenscrape zenserp serpstack scraperbox scrapingant scrapestack proxycrawl helpscout fastly harness"
+    "liveagent cometchat bulbul tyntec kaleyra onbuka sms bombbomb apifonica omnisend moosend dotdigital dyspatch postageapp nicereply autopilot copper-crm autoklose salesflare salesblink salescookie metrilo revampcrm "
+    "karma-crm:karmacrm-api-key less-annoying-crm:lessannoyingcrm-api-key nethunt-crm capsule-crm axonaut flowflu clientary clinchpad companyhub campayn hiveage billomat alegra loyverse vouchery uplead brandfetch leadfeeder "
+    "skrappio powrbot shortcut tmetric everhour humanity toggl-track runrunit workstack easyinsight dovico mavenlink float rebrandly surveysparrow survicate delighted feedier zonka-feedback simplesat surveyanyplace surveybot "
+    "qualaroo customerguru abyssale magnetic refiner simvoly checkmarket webengage twelve-data fixer-io alpha-vantage finnhub tiingo finage iex-cloud intrinio qubole enigma stockdata marketstack commodities baremetrics "
+    "carbon-interface currency-layer currencyscoop currencyfreaks coinlayer cryptocompare ethplorer messari coingecko openweather weatherstack accuweather tomorrow-io airvisual stormglass aeris-weather ambee openuv tomtom "
+    "geoapify geocodify geocode geocodio locationiq graphhopper smartystreets route4me zipcode geoipify ipgeolocation ipinfodb ipify ipapi vpn besttime hypertrack fulcrum unsplash pixabay gyazo imgur iconfinder imagekit "
+    "bannerbear imagga skybiometry cloudmersive screenshotapi screenshotlayer browshot linkpreview rawg strava foursquare ticketmaster scraperapi:scraperapi-key scrapingdog scrapeowl webscraping zenscrape zenserp serpstack"
 ).split()
 TOKENED = (
-    "zeplin pepipost verimail teamcity gocd argocd spinnaker pingdom wp-engine akamai railway koyeb keycloak fusion-auth stytch work-os gocardless hotjar full-story calendarific appfollow appcues pinterest turso "
-    "convex harbor snowflake elastic-path storyblok strapi lokalise quicknode line-messaging teamviewer clickup sourcegraph-cody chainlink-node woodpecker-ci agola-ci glitch-project go-proxy maven-central"
+    "zeplin pepipost verimail teamcity gocd argocd spinnaker pingdom wp-engine:wpengine-token akamai railway koyeb keycloak fusion-auth:fusionauth-token stytch work-os:workos-token gocardless hotjar "
+    "full-story:fullstory-token calendarific appfollow appcues pinterest turso convex harbor snowflake elastic-path storyblok strapi:strapi-api-token lokalise quicknode "
+    "line-messaging:line-messaging-api-token teamviewer:teamviewer-api-token clickup:clickup-personal-token chainlink-node maven-central"
 ).split()
 
 
 def assignment(name: str, noun: str = "key", severity: str = "medium") -> Rule:
     """`name_api_key = value`, spelled with underscore, dash or nothing, of twenty characters or more."""
+    name, _, rule_id = name.partition(":")
     words = name.split("-")
     pattern = rf"""(?i){"[_-]?".join(words)}[_-]?(?:api[_-]?)?{noun}\s*[:=]\s*['"]?([A-Za-z0-9_\-]{{20,}})['"]?"""
-    rule_id = f"{name}-api-key" if noun == "key" else f"{name}-{noun}"
-    return Rule(rule_id, rule_id.replace("-", " ").title().replace("Api", "API"), severity, pattern, tuple(dict.fromkeys(("_".join(words), "-".join(words), "".join(words)))))
+    rule_id = rule_id or (f"{name}-api-key" if noun == "key" else f"{name}-{noun}")
+    return Rule(rule_id, _title(rule_id), severity, pattern, tuple(dict.fromkeys(("_".join(words), "-".join(words), "".join(words)))))
+
+
+def _title(rule_id: str) -> str:
+    return rule_id.replace("-", " ").title().replace("Api", "API")
 
 
 ENTROPY_RULE = "generic-high-entropy"
@@ -416,9 +432,10 @@ ENTROPY_GATE = ("key", "token", "secret", "passwd", "password", "api_key", "api-
 def builtin(keyed: tuple[str, ...] = (), tokened: tuple[str, ...] = ()) -> list[Rule]:
     """The built-in catalog with rules for further services by name; the entropy rule last."""
     shapes = [Rule(i, d, s, p, tuple(g.split())) for i, d, s, p, g in _SHAPES]
-    assigned = [Rule(i, i.replace("-", " ").title().replace("Api", "API"), s, p, tuple(g.split())) for i, s, p, g in _ASSIGNED]
-    known = {r.rule_id for r in assigned} | {r.rule_id for r in shapes}
-    named = [assignment(n) for n in (*KEYED, *keyed)] + [assignment(n, "token") for n in (*TOKENED, *tokened)]
+    assigned = [Rule(i, _title(i), s, p, tuple(g.split())) for i, s, p, g in _ASSIGNED]
+    named = [assignment(n, "key", "high") for n in KEYED_HIGH] + [assignment(n) for n in (*KEYED, *keyed)]
+    named += [assignment(n, "token", "high") for n in TOKENED] + [assignment(n, "token") for n in tokened]
+    known = {r.rule_id for r in (*shapes, *assigned)}
     entropy = Rule(ENTROPY_RULE, "High-entropy string assigned to a key/secret/token-like identifier", "medium", ENTROPY_PATTERN, ENTROPY_GATE, ENTROPY_BITS, 2)
     return [*shapes, *assigned, *(r for r in named if r.rule_id not in known), entropy]
 

@@ -85,6 +85,7 @@ POSITIVE = {
     "heroku-api-key": "HEROKU_API_KEY=" + "0A" * 16,
     "datadog-api-key": "datadog_api_key: '" + "Zz" * 16 + "'",
     "copper-crm-api-key": "COPPER_CRM_API_KEY=" + "k" * 24,
+    "wpengine-token": "WP_ENGINE_API_TOKEN: " + "k" * 24,
     "keycloak-token": "keycloak_token = " + "k" * 24,
 }
 NEGATIVE = {"heroku-api-key": "HEROKU_API_KEY=01234567-89ab-cdef-0123-456789abcdef", "datadog-api-key": "datadog_api_key: abc", "github-pat": "t ghp_short", "keycloak-token": "keycloak_token = short"}
