@@ -218,16 +218,16 @@ def prioritise(findings: DataFrame, order: list[str]) -> DataFrame:
     Only the first PLACES places differ, so only those rows are numbered; all others have place PLACES.
     """
     keyed = findings.withColumn("_key", F.struct(*order, F.xxhash64(*findings.columns).alias("_tie")))
-    first = keyed.select("_key").orderBy("_key").limit(PLACES)
-    last = first.agg(F.max("_key").alias("_last"))  # one row
-    both = keyed.crossJoin(F.broadcast(last))
+    last = keyed.select("_key").orderBy("_key").limit(PLACES).agg(F.max("_key")).first()[0]
+    fields = keyed.schema["_key"].dataType.fields
+    limit = F.struct(*(F.lit(None if last is None else last[f.name]).cast(f.dataType).alias(f.name) for f in fields))
     place = F.least(F.row_number().over(Window.orderBy("_key")) - 1, F.lit(PLACES))
-    head = both.where(F.col("_key") <= F.col("_last")).withColumn("place", place)
-    rest = both.where(~F.coalesce(F.col("_key") <= F.col("_last"), F.lit(False))).withColumn("place", F.lit(PLACES))
+    head = keyed.where(F.col("_key") <= limit).withColumn("place", place)
+    rest = keyed.where(F.col("_key") > limit).withColumn("place", F.lit(PLACES))
     most = F.when(F.col("severity") == "low", 10).otherwise(20)
     ranked = head.unionByName(rest).withColumn("priority", risk_score(F.col("severity")) - F.least(F.col("place"), most))
     ranked = ranked.orderBy(F.desc(F.coalesce(F.col("verification") == "active", F.lit(False))), F.desc("severity_rank"), "place", "_key")
-    return ranked.drop("_key", "_last")
+    return ranked.drop("_key")
 
 
 def project_counts(findings: DataFrame) -> DataFrame:

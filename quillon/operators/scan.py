@@ -26,6 +26,8 @@ from ..schema import FINDING, FINDING_COLUMNS, rank
 
 ALLOW_MARKER = "quillon:allow"
 MAX_FILE_BYTES = 5 * 1024 * 1024
+#: Rules whose patterns are compiled into one method.
+FEW_RULES = 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -123,12 +125,23 @@ def _quoted(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _by_rule(rules: list[Rule], one: Callable[[Rule], str | None]) -> Column:
-    """one(rule) of the row's rule, in SQL: a branch for each, so that patterns are literals and compiled once a task.
+def _by_rule(rules: list[Rule], one: Callable[[Rule], str]) -> Column:
+    """one(rule) of the row's rule, in SQL: a leaf for each, so that patterns are literals and compiled once a task.
 
-    A catalog makes hundreds of branches; as one text they are parsed at once.
+    A few leaves are branches of compiled code. A catalog makes hundreds, which are found by halves of the
+    ordinals; inside a function on arrays they are interpreted, as compiled they make a method too large
+    for the JVM; and as one text they are parsed at once.
     """
-    return F.expr("CASE " + " ".join(f"WHEN ordinal = {k} THEN {sql}" for k, r in enumerate(rules) if (sql := one(r)) is not None) + " END")
+    if len(rules) <= FEW_RULES:
+        return F.expr("CASE " + " ".join(f"WHEN ordinal = {k} THEN {one(r)}" for k, r in enumerate(rules)) + " END")
+
+    def half(low: int, high: int) -> str:
+        if high - low == 1:
+            return one(rules[low])
+        middle = (low + high) // 2
+        return f"IF(ordinal < {middle}, {half(low, middle)}, {half(middle, high)})"
+
+    return F.expr(f"get(transform(array(0), x -> {half(0, len(rules))}), 0)")
 
 
 def _extracted(pattern: str, group: int) -> str:
@@ -140,14 +153,13 @@ def with_matches(pairs: DataFrame, rules: list[Rule]) -> DataFrame:
 
     The texts of the matches come first and alone, so a line without any costs one pass of its pattern.
     """
-    # columns of their own, as an expression inside a generator is interpreted, branch by branch
     found = pairs.withColumn("_hit", _by_rule(rules, lambda r: _extracted(r.pattern, 0)))
     some = F.size("_hit") > 0
     found = found.withColumn("_gap", F.when(some, _by_rule(rules, lambda r: _extracted(rf"\G(?s:(.*?))({r.pattern})", 1))))
     grouped = any(r.secret_group is not None for r in rules)
     columns = [F.col("_gap").alias("gap"), F.col("_hit").alias("hit")]
     if grouped:
-        found = found.withColumn("_want", F.when(some, _by_rule(rules, lambda r: None if r.secret_group is None else _extracted(r.pattern, r.secret_group))))
+        found = found.withColumn("_want", F.when(some, _by_rule(rules, lambda r: "NULL" if r.secret_group is None else _extracted(r.pattern, r.secret_group))))
         columns.append(F.coalesce("_want", "_hit").alias("want"))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("out"))
 
@@ -234,7 +246,8 @@ def scan_raw(lines: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     if not rules:
         return lines.sparkSession.createDataFrame([], FINDING)
     every = F.expr("array(" + ", ".join(f"CASE WHEN text RLIKE {_quoted(r.pattern)} THEN {k} END" for k, r in enumerate(rules)) + ")")
-    pairs = spread(lines).withColumn("_every", every).withColumn("ordinal", F.explode(F.array_compact("_every"))).drop("_every")
+    # inside a function on arrays the tests are interpreted: compiled, hundreds of them make a method too large for the JVM
+    pairs = spread(lines).withColumn("ordinal", F.explode(F.filter(every, lambda k: k.isNotNull())))
     return detect(pairs, rules, honour_lists=False)
 
 
