@@ -202,12 +202,13 @@ def scan_files(documents: DataFrame) -> DataFrame:
 
     # a file's kind is a function of its path, so other files are left out before their texts are cut into lines
     docs = documents.select("path", "text").withColumn("kind", file_kind(F.col("path"))).where("kind <> 'unknown'")
-    with_kind = lambda df: df.withColumn("kind", file_kind(F.col("path")))
-    of = lambda *extractors: docs.where(F.col("kind").isin(_kinds(*extractors)))
-    known = with_kind(lines_of(docs))
+    packed = docs.select(F.struct("path", "kind").alias("path"), "text")  # the kind goes with the path through lines and pairs
+    apart = lambda df: df.select("path.path", "path.kind", *(c for c in df.columns if c != "path"))
+    of = lambda *extractors: packed.where(F.col("path.kind").isin(_kinds(*extractors)))
+    known = apart(lines_of(packed))
     yaml = of("yaml").unionByName(of("json-yaml").where(F.try_parse_json("text").isNull()))
     pairs = decode.yaml_pairs(lines_of(yaml)).select("path", "key", "value").unionByName(decode.env_pairs(lines_of(of("env"))).select("path", "key", "value")).unionByName(decode.ini_pairs(lines_of(of("ini"))).select("path", "key", "value"))
-    pairs = with_kind(pairs).withColumn("fixed", F.lit(False)).unionByName(_parsed(docs).select("path", "key", "value", "kind", "fixed"))
+    pairs = apart(pairs).withColumn("fixed", F.lit(False)).unionByName(_parsed(docs).select("path", "kind", "key", "value", "fixed"))
 
     key, value, kind = F.col("key"), F.col("value"), F.col("kind")
     wanted = (
@@ -231,7 +232,7 @@ def scan_files(documents: DataFrame) -> DataFrame:
     out = _findings(hits)
 
     text, low, bare = F.col("text"), F.lower("text"), F.trim("text")
-    single = with_kind(lines_of(docs.where(~F.col("text").contains("$ANSIBLE_VAULT;"))))
+    single = apart(lines_of(packed.where(~F.col("text").contains("$ANSIBLE_VAULT;"))))
     ansible_key = F.trim(F.substring_index(bare, ":", 1))
     listed = F.regexp_extract(bare, r"^- ([^=]*)=", 1)
     line_kinds: list[tuple[str, Column, Column]] = [

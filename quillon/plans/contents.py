@@ -14,6 +14,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -175,7 +176,8 @@ _RANK = {"low": 1, "medium": 2, "high": 3, "critical": 4}
 @register("iac_findings", expected([(p, r, s, _RANK[s], n, m) for p, _, found in IAC for r, s, n, m in found], "path rule_id severity severity_rank line matched"))
 def iac_findings(spark, sf_dir):
     """All kinds of configuration files, with key pairs and credential chains."""
-    found = iac.scan_files(filled(spark, sf_dir, [(p, t) for p, t, _ in IAC]))
+    docs = filled(spark, sf_dir, [(p, t) for p, t, _ in IAC]).persist(StorageLevel.MEMORY_AND_DISK)  # made once, read by every branch
+    found = iac.scan_files(docs)
     return found.select("path", "rule_id", "severity", "severity_rank", "line", "matched")
 
 
