@@ -98,7 +98,9 @@ def _catalog_sql(plain: str, keys: str, gated: bool) -> str:
             parts.append(f"SELECT {quoted(r.rule_id)} AS rule_id, {keys}, text, matched FROM ({hits}) WHERE strlen(matched) >= 20 AND {BITS.format(v='matched')} >= 3.5{gate}")
         else:
             parts.append(f"SELECT {quoted(r.rule_id)} AS rule_id, {keys}, text, unnest(regexp_extract_all(text, {quoted(r.pattern)})) AS matched FROM lines WHERE true{gate}")
-    return f"WITH {some} SELECT * EXCLUDE (text), strlen(substr(text, 1, strpos(text, matched) - 1))::INT + 1 AS \"column\" FROM (" + " UNION ALL ".join(parts) + ")"
+    # of equal matches in a line, the n-th stands before the n-th of the rest
+    each = f"SELECT *, row_number() OVER (PARTITION BY rule_id, {keys}, text, matched) AS n FROM ({' UNION ALL '.join(parts)})"
+    return f"WITH {some} SELECT * EXCLUDE (text, n), (list_sum(list_transform(string_split(text, matched)[1:n], lambda x: strlen(x))) + (n - 1) * strlen(matched) + 1)::INT AS \"column\" FROM ({each})"
 
 
 def _catalog_plain() -> str:
