@@ -166,7 +166,7 @@ _SHAPES: list[tuple[str, str, str, str, str]] = [
     ("curl-auth-string", "curl Basic Auth", "high", r"(?i)curl\s+(?:[^ ]+\s+)*-u\s+([A-Za-z0-9_\-]+):([A-Za-z0-9_\-]+)", "curl"),
     ("uri-embedded-credentials", "Credentials in a URI", "high", r"(?i)\b(https?|ftp|wss?)://[^:\s]+:[^@\s]+@[^\s/]+", "http:// https:// ftp:// wss://"),
     ("env-file-secret", "Secret in an Environment File", "medium", r"""(?i)^(?:export\s+)?([A-Z][A-Z0-9_]*)\s*=\s*['"]?([A-Za-z0-9_\-]{20,})['"]?$""", "SECRET= PASSWORD= TOKEN= API_KEY= PRIVATE_KEY="),
-    ("pulumi-api-token", "Pulumi API Token", "high", r"\bpul-[A-Za-z0-9]{40}\b", "pul-"),
+    ("pulumi-api-key", "Pulumi API Key", "high", r"\bpul-[A-Za-z0-9]{40}\b", "pul-"),
     ("aws-rds-iam-auth-token", "AWS RDS IAM Auth Token", "high", r"amzn-rds-token://[A-Za-z0-9_\-./]+", "amzn-rds-token"),
     ("resend-api-key", "Resend API Key", "high", r"\bre_[A-Za-z0-9]{8,}\b", "re_"),
     ("langsmith-api-key", "LangSmith API Key", "high", r"\blsk_[A-Za-z0-9]{32,}\b", "lsk_"),
