@@ -14,7 +14,6 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,9 +51,9 @@ CUSTOMERS_SQL = "customers AS (SELECT c_custkey::VARCHAR AS k, md5(c_custkey::VA
 def filled(spark, sf_dir, templates: list[tuple[str, str]]) -> DataFrame:
     """(path, text) of every template for every customer: {k} and {v} are replaced."""
     each = F.explode(F.array(*(F.struct(F.lit(p).alias("path"), F.lit(t).alias("text")) for p, t in templates))).alias("t")
-    rows = customers(spark, sf_dir).select("k", "v", each)
+    rows = scan.spread(customers(spark, sf_dir)).select("k", "v", each)  # customers are fewer than their files
     fill = lambda c: F.replace(F.replace(c, F.lit("{k}"), F.col("k")), F.lit("{v}"), F.col("v"))
-    return scan.spread(rows.select(fill(F.col("t.path")).alias("path"), fill(F.col("t.text")).alias("text")))
+    return rows.select(fill(F.col("t.path")).alias("path"), fill(F.col("t.text")).alias("text"))
 
 
 def expected(rows: list[tuple], columns: str) -> str:
@@ -178,8 +177,7 @@ _RANK = {"low": 1, "medium": 2, "high": 3, "critical": 4}
 @register("iac_findings", expected([(p, r, s, _RANK[s], n, m) for p, _, found in IAC for r, s, n, m in found], "path rule_id severity severity_rank line matched"))
 def iac_findings(spark, sf_dir):
     """All kinds of configuration files, with key pairs and credential chains."""
-    docs = filled(spark, sf_dir, [(p, t) for p, t, _ in IAC]).persist(StorageLevel.MEMORY_AND_DISK)  # made once, read by every branch
-    found = iac.scan_files(docs)
+    found = iac.scan_files(filled(spark, sf_dir, [(p, t) for p, t, _ in IAC]))
     return found.select("path", "rule_id", "severity", "severity_rank", "line", "matched")
 
 

@@ -292,6 +292,20 @@ def test_structural_findings(spark):
     assert {p: got.get(p, set()) for p in IAC} == {p: want for p, (_, want) in IAC.items()}
 
 
+def test_structural_scan_judges_each_document_by_itself(spark):
+    """No document is joined with another: equal paths do not multiply findings, and the plan stays a few passes over the input."""
+    texts = ["x: 1\npassword: pw1\n", "password: pw2\r\nmy_password: pw3\r\n"]
+    ini = "[default]\r\n; token\r\n  aws_session_token = t1  \r\n[]\naws_access_key_id=k=1"
+    rows = [("skaffold.yaml", t) for t in texts] + [("a/.aws/credentials", ini), ("main.tf", None), ("skaffold.yaml", None), ("skaffold.yaml", "")]
+    found = iac.scan_files(spark.createDataFrame(rows, "path string, text string"))
+    got = sorted((r.path, r.line, r.matched, r.context) for r in found.collect())
+    assert got == [
+        ("a/.aws/credentials", 1, "t1", "default.aws_session_token=t1"), ("a/.aws/credentials", 5, "k=1", "aws_access_key_id=k=1"),
+        ("skaffold.yaml", 1, "pw2", "password: pw2"), ("skaffold.yaml", 2, "pw1", "password: pw1"), ("skaffold.yaml", 2, "pw3", "my_password: pw3"),
+    ]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_line_formats(spark):
     pairs = lambda fn, t: [(r.key, r.value) for r in fn(lines_frame(spark, t)).orderBy("line").collect()]
     assert pairs(decode.ini_pairs, "a=1\n[s]\nb = 2\n;c=3\n[t]\nd=4") == [("a", "1"), ("s.b", "2"), ("t.d", "4")]
