@@ -8,7 +8,7 @@ import json
 import re
 import unicodedata
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from html import unescape
 
 import pandas as pd
@@ -246,6 +246,23 @@ def _pairs(text: str, kind: str) -> list[str]:
     return out
 
 
+#: Rows and characters that a task holds before it hands them on as one frame: one frame a file costs more than most files.
+FRAME_ROWS, FRAME_SIZE = 5_000, 4 << 20
+
+
+def frames(rows: Iterable[tuple], columns: list[str], size: Callable[[tuple], int]) -> Iterator[pd.DataFrame]:
+    """Rows in frames of bounded rows and sizes."""
+    held, total = [], 0
+    for row in rows:
+        held.append(row)
+        total += size(row)
+        if len(held) >= FRAME_ROWS or total >= FRAME_SIZE:
+            yield pd.DataFrame(held, columns=columns)
+            held, total = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
 def decode_content(content: bytes, kind: str) -> list[str]:
     """The lines that a file of this kind holds for a scanner."""
     text = content.decode("utf-8", "replace") if kind not in ("pdf", "docx", "xlsx", "pptx", "binary") else ""
@@ -276,9 +293,8 @@ def decoded_lines(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for path, content, kind in zip(pdf["path"], pdf["content"], pdf["kind"], strict=True):
-                lines = decode_content(bytes(content or b""), kind)
-                yield pd.DataFrame({"path": path, "line": range(1, len(lines) + 1), "text": lines}).astype({"line": "int32", "path": "str", "text": "str"})
+            of_files = ((path, n, text) for path, content, kind in zip(pdf["path"], pdf["content"], pdf["kind"], strict=True) for n, text in enumerate(decode_content(bytes(content or b""), kind), 1))
+            yield from frames(of_files, ["path", "line", "text"], lambda r: len(r[2]))
 
     return files.select("path", "content", content_type("path").alias("kind")).mapInPandas(run, "path string, line int, text string")
 

@@ -11,7 +11,7 @@ import io
 import re
 import tarfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -232,25 +232,26 @@ def _tarred(entries: dict[str, str], mode: str = "w") -> bytes:
     return out.getvalue()
 
 
-def packed(rows: DataFrame) -> DataFrame:
-    """(path, content) of office files and archives that hold each customer's digest."""
+PACKED: dict[str, Callable[[str], bytes]] = {
+    "{k}.docx": lambda v: _zipped({"word/document.xml": f"<w:t>a</w:t><w:t x='1'>{v}&amp;</w:t>"}),
+    "{k}.xlsx": lambda v: _zipped({"xl/sharedStrings.xml": f"<t>{v}</t>", "xl/worksheets/sheet1.xml": "<v>1</v>"}),
+    "{k}.pptx": lambda v: _zipped({"ppt/slides/slide1.xml": f"<a:t>{v}</a:t>"}),
+    "{k}.zip": lambda v: _zipped({"in/x": f"zip {v}", "y": "2"}),
+    "{k}.tgz": lambda v: _tarred({"y": f"tar {v}"}, "w:gz"),
+    "bad{k}.zip": lambda v: b"no zip",
+    "image{k}.tar": lambda v: _image(v),
+}
+
+
+def packed(rows: DataFrame, *names: str) -> DataFrame:
+    """(path, content) of the named office files and archives, each with a customer's digest in it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for k, v in zip(pdf["k"], pdf["v"], strict=True):
-                out += [
-                    (f"{k}.docx", _zipped({"word/document.xml": f"<w:t>a</w:t><w:t x='1'>{v}&amp;</w:t>"})),
-                    (f"{k}.xlsx", _zipped({"xl/sharedStrings.xml": f"<t>{v}</t>", "xl/worksheets/sheet1.xml": "<v>1</v>"})),
-                    (f"{k}.pptx", _zipped({"ppt/slides/slide1.xml": f"<a:t>{v}</a:t>"})),
-                    (f"{k}.zip", _zipped({"in/x": f"zip {v}", "y": "2"})),
-                    (f"{k}.tgz", _tarred({"y": f"tar {v}"}, "w:gz")),
-                    (f"bad{k}.zip", b"no zip"),
-                    (f"image{k}.tar", b"" + _image(v)),
-                ]
-            yield pd.DataFrame(out, columns=["path", "content"])
-
-    return rows.mapInPandas(run, "path string, content binary")
+            made = ((name.replace("{k}", k), PACKED[name](v)) for k, v in zip(pdf["k"], pdf["v"], strict=True) for name in names)
+            yield from decode.frames(made, ["path", "content"], lambda r: len(r[1]))
+
+    return scan.spread(rows).mapInPandas(run, "path string, content binary")
 
 
 def _image(v: str) -> bytes:
@@ -266,16 +267,16 @@ def _image(v: str) -> bytes:
 
 @register("office_contents", expected([("{k}.docx", "a {v}&"), ("{k}.xlsx", "{v}"), ("{k}.xlsx", "1"), ("{k}.pptx", "{v}")], "path text"))
 def office_contents(spark, sf_dir):
-    made = packed(customers(spark, sf_dir)).where(F.col("path").rlike(r"\.(docx|xlsx|pptx)$"))
+    made = packed(customers(spark, sf_dir), "{k}.docx", "{k}.xlsx", "{k}.pptx")
     return decode.decoded_lines(made).select("path", "text")
 
 
 @register("archive_entries", expected([("{k}.zip/in/x", "zip {v}"), ("{k}.zip/y", "2"), ("{k}.tgz/y", "tar {v}"), ("image{k}.tar/l1.tar/etc/x", "layer {v}")], "path text"))
 def archive_entries(spark, sf_dir):
     """Entries of zip and compressed tar files, and of a saved image's named layers; what is no archive has none."""
-    made = packed(customers(spark, sf_dir))
-    plain = made.where(files.is_archive(F.col("path")) & ~F.col("path").startswith("image"))
-    return files.unpack(plain).unionByName(files.unpack(made.where(F.col("path").startswith("image")), images=True))
+    rows = customers(spark, sf_dir)
+    plain = packed(rows, "{k}.docx", "{k}.zip", "{k}.tgz", "bad{k}.zip").where(files.is_archive(F.col("path")))
+    return files.unpack(plain).unionByName(files.unpack(packed(rows, "image{k}.tar"), images=True))
 
 
 @register("chart_files", expected([(p,) for p in ("{k}/values.yaml", "{k}/values-a.yml", "{k}/Chart.yaml", "{k}/templates/a.tpl")], "path"))

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.decode import frames
 from ..functions.text import basename, glob_regex
 from ..operators.scan import MAX_FILE_BYTES, ignored, lines_of
 
@@ -84,7 +85,9 @@ def archive_entries(name: str, content: bytes) -> Iterator[tuple[str, bytes]]:
                     if not info.is_dir():
                         yield f"{name}/{info.filename}", z.read(info)
         else:
-            with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as t:
+            # a plain header needs no trial of every compression
+            plain = content[257:262] == b"ustar" and not content.startswith((b"\x1f\x8b", b"BZh", b"\xfd7zXZ"))
+            with tarfile.open(fileobj=io.BytesIO(content), mode="r:" if plain else "r:*") as t:
                 for m in t:
                     if m.isfile() and (f := t.extractfile(m)):
                         yield f"{name}/{m.name}", f.read()
@@ -117,9 +120,8 @@ def unpack(files: DataFrame, images: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                for entry, data in (image_entries if images else archive_entries)(path, bytes(content)):
-                    yield pd.DataFrame({"path": [entry], "text": [data.decode("utf-8", "replace")]})
+            entries = ((entry, data.decode("utf-8", "replace")) for path, content in zip(pdf["path"], pdf["content"], strict=True) for entry, data in (image_entries if images else archive_entries)(path, bytes(content)))
+            yield from frames(entries, ["path", "text"], lambda r: len(r[1]))
 
     return files.select("path", "content").mapInPandas(run, "path string, text string")
 

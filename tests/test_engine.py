@@ -306,6 +306,24 @@ def test_structural_scan_judges_each_document_by_itself(spark):
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_many_small_files_go_on_in_few_frames(spark):
+    """A frame holds the rows of many files, is bounded in rows and size, and loses none; large files come whole."""
+    rows = [(f"f{k}", k, "x" * (k % 7)) for k in range(12_000)]
+    made = list(decode.frames(iter(rows), ["path", "line", "text"], lambda r: len(r[2])))
+    assert [len(f) for f in made] == [5_000, 5_000, 2_000]
+    assert [tuple(r) for f in made for r in f.itertuples(index=False)] == rows
+    assert [len(f) for f in decode.frames(iter([("a", "x" * (3 << 20))] * 3), ["path", "text"], lambda r: len(r[1]))] == [2, 1]
+    assert list(decode.frames(iter([]), ["path"], len)) == []
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for k in range(6_000):
+            z.writestr(f"{k}", f"t{k}")
+    found = files.unpack(spark.createDataFrame([("a.zip", packed.getvalue()), ("b.zip", b"no zip")], "path string, content binary"))
+    assert {tuple(r) for r in found.collect()} == {(f"a.zip/{k}", f"t{k}") for k in range(6_000)}
+    many = spark.createDataFrame([("a.txt", b"l\n" * 11_000), ("b.txt", None), ("c.env", b"A=1")], "path string, content binary")
+    assert [tuple(r) for r in decode.decoded_lines(many).groupBy("path").agg(F.max("line"), F.count("*")).orderBy("path").collect()] == [("a.txt", 11_000, 11_000), ("c.env", 1, 1)]
+
+
 def test_line_formats(spark):
     pairs = lambda fn, t: [(r.key, r.value) for r in fn(lines_frame(spark, t)).orderBy("line").collect()]
     assert pairs(decode.ini_pairs, "a=1\n[s]\nb = 2\n;c=3\n[t]\nd=4") == [("a", "1"), ("s.b", "2"), ("t.d", "4")]
