@@ -15,7 +15,7 @@ and one embedding, and such a word's part of the leaf is its exact count, which
 scoring joins from the table.
 
 The network starts as the words' frequencies (the tree's biases) and learns from
-windows of every document, as many as a fixed share (one in EVERY) of its words:
+the window of every word of every document:
 in each of ROUNDS passes the tasks train on
 their own documents from the same parameters, and each row of the parameters
 moves by the mean of what the tasks that met it would move it, weighed by how
@@ -48,8 +48,8 @@ HEAD = 1 << 15
 HELD = 1 << 20
 RADIUS = 2
 EMBED = 20
-#: Passes, and every how many words of a text one is predicted in training (all words are in the sides, and all are scored).
-ROUNDS, EVERY = 1, 4
+#: Passes, and every how many words of a text one is predicted in training: 1 is all of them.
+ROUNDS, EVERY = 1, 1
 BATCH, RATE = 512, 0.15
 #: Heaviest nodes of the tree, which most paths end in: their turns are made for whole batches at once.
 TOP = 64
@@ -273,7 +273,7 @@ _KINDS = ("in", "out", "mix")
 
 
 def one_pass(texts: DataFrame, head: np.ndarray, network: WindowNetwork) -> None:
-    """Train on one in EVERY windows of all texts, each task from the same parameters, and move those by the weighed means."""
+    """Train on the windows of all texts (one in EVERY), each task from the same parameters, and move those by the weighed means."""
     shared = texts.sparkSession.sparkContext.broadcast((head, network))
     columns = [f"d{k}" for k in range(EMBED + 1)]
 

@@ -693,6 +693,20 @@ def test_lm_pass_reaches_every_word_and_equals_one_task(spark, monkeypatch, top)
     assert (several.p["out"] != start).any(axis=1).all()
 
 
+def test_lm_learns_from_every_window(spark):
+    """As it is set, a pass of one task is training on the windows of all words."""
+    rows = [(k, words(random.Random(k), 30 + k)) for k in range(10)]
+    texts = documents(spark, rows).select("text")
+    head, counts, rest, n_rest = masked_lm.head_of(masked_lm.word_counts(texts))
+    trained, plain = (masked_lm.WindowNetwork(np.append(counts, rest + 1.0)) for _ in range(2))
+    masked_lm.one_pass(texts.coalesce(1), head, trained)
+    found, n = masked_lm.buckets([t.encode() for _, t in rows])
+    ids = masked_lm.leaves(found, head)
+    order = np.random.default_rng(len(ids)).permutation(len(ids))
+    plain.learn(masked_lm.windows(ids, n, plain.padding)[order], ids[order])
+    assert all(np.allclose(trained.p[k], plain.p[k], atol=1e-4) for k in plain.p)
+
+
 def test_lm_windows_stay_within_their_text():
     sides = masked_lm.windows(np.array([1, 2, 3], dtype=np.int32), np.array([2, 0, 1]), 9)
     assert sides.tolist() == [[9, 9, 2, 9], [9, 1, 9, 9], [9, 9, 9, 9]]
