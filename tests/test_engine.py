@@ -11,6 +11,7 @@ import urllib.parse
 import zipfile
 
 import duckdb
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -324,6 +325,13 @@ def test_many_small_files_go_on_in_few_frames(spark):
     assert [tuple(r) for r in decode.decoded_lines(many).groupBy("path").agg(F.max("line"), F.count("*")).orderBy("path").collect()] == [("a.txt", 11_000, 11_000), ("c.env", 1, 1)]
 
 
+def test_batches_of_long_texts_are_bounded_in_bytes(spark):
+    """A worker never holds a thousand long texts at once."""
+    texts = spark.range(400, numPartitions=1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+    sizes = texts.mapInPandas(lambda batches: (pd.DataFrame({"n": [int(b["text"].str.len().sum())]}) for b in batches), "n long").collect()
+    assert sum(r.n for r in sizes) == 40_000_000 and max(r.n for r in sizes) <= 9 << 20
+
+
 def test_line_formats(spark):
     pairs = lambda fn, t: [(r.key, r.value) for r in fn(lines_frame(spark, t)).orderBy("line").collect()]
     assert pairs(decode.ini_pairs, "a=1\n[s]\nb = 2\n;c=3\n[t]\nd=4") == [("a", "1"), ("s.b", "2"), ("t.d", "4")]
