@@ -54,8 +54,10 @@ BATCH, RATE = 512, 0.15
 #: Heaviest nodes of the tree, which most paths end in: their turns are made for whole batches at once.
 TOP = 64
 SMOOTH = 0.5
+#: Batches that are laid out together, and values of a row that are added one by one in a batch.
+TOGETHER, OFTEN = 8, 8
 #: Words that one vectorised step of scoring takes.
-STEP = 8_192
+STEP = 1_024
 
 
 def buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -150,19 +152,89 @@ def windows(ids: np.ndarray, counts: np.ndarray, padding: int) -> np.ndarray:
     return np.stack([padded[at + k] for k in range(-RADIUS, RADIUS + 1) if k], axis=1)
 
 
-def _summed_rows(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct rows, the sum of the values of each, and how often it is there."""
-    order = np.argsort(rows, kind="stable")
-    own = rows[order]
-    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-    return own[first], np.add.reduceat(values[order], first, axis=0), np.diff(np.r_[first, len(own)])
+def _narrow(values: np.ndarray, most: int) -> np.ndarray:
+    """The values, all under most, in the type that sorts fastest: numpy sorts 16 bits by radix."""
+    return values.astype(np.uint16) if most <= 1 << 16 else values
+
+
+def _runs(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of such lengths, one after the other: run and place in it of each element."""
+    run = np.repeat(np.arange(len(lengths)), lengths)
+    return run, np.arange(len(run)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def _side_by_side(lengths: np.ndarray, group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of such lengths, in each group the longest first, as run and place ordered by group, place and run, and how many each (group, place) has."""
+    run, at = _runs(lengths)
+    depth = int(lengths.max(initial=0))
+    cell = group[run] * depth + at
+    order = np.argsort(_narrow(cell, groups * depth), kind="stable")
+    return run[order], at[order], np.bincount(cell, minlength=groups * depth).reshape(groups, depth)
+
+
+class Sums:
+    """How the values of a batch add up to its distinct rows: first, one of each; then the second, third and so on of all rows that have one; those beyond OFTEN by a product."""
+
+    def __init__(self, rows: np.ndarray, n: np.ndarray, first: np.ndarray, places: np.ndarray, many: list[int], owner: np.ndarray, beyond: np.ndarray):
+        self.rows, self.n, self.first, self.places, self.many, self.owner, self.beyond = rows, n, first, places, many, owner, beyond
+
+    def of(self, values: np.ndarray) -> np.ndarray:
+        out, laid, at = values.take(self.first, axis=0), values.take(self.places, axis=0), 0
+        for m in self.many:
+            out[:m] += laid[at : at + m]
+            at += m
+        if len(self.owner):
+            whose = np.zeros((self.owner[-1] + 1, len(self.owner)), np.float32)
+            whose[self.owner, np.arange(len(self.owner))] = 1
+            out[: len(whose)] += whose @ values.take(self.beyond, axis=0)
+        return out
+
+
+def sums_of(rows: np.ndarray, sizes: np.ndarray, most: int) -> list[Sums]:
+    """Sums of batches with so many values each, for rows under most."""
+    groups, ends = len(sizes), np.cumsum(sizes)
+    starts = ends - sizes
+    narrow = _narrow(rows, most)
+    order = np.concatenate([np.argsort(narrow[a:b], kind="stable") + a for a, b in zip(starts, ends, strict=True)])
+    own = narrow.take(order)
+    new = np.ones(len(own), dtype=bool)
+    np.not_equal(own[1:], own[:-1], out=new[1:])
+    new[starts] = True
+    first = np.flatnonzero(new)
+    group = np.searchsorted(ends, first, side="right")
+    n = np.diff(np.append(first, len(own)))
+    by = np.argsort(_narrow((group + 1) * (OFTEN + 2) - 1 - np.minimum(n, OFTEN + 1), groups * (OFTEN + 2)), kind="stable")
+    first, n = first[by], n[by]
+    distinct, counts = own[first].astype(np.int64), n.astype(np.float32)
+    run, at, many = _side_by_side(np.minimum(n, OFTEN) - 1, group, groups)
+    places = order.take(first.take(run) + 1 + at)
+    owner, at = _runs(np.maximum(n - OFTEN, 0))
+    beyond, first = order[first[owner] + OFTEN + at], order[first]
+    r, q = (np.searchsorted(g, np.arange(groups + 1)) for g in (group, group[owner]))
+    p = np.r_[0, np.cumsum(many.sum(axis=1))]
+    return [
+        Sums(distinct[a:b], counts[a:b], first[a:b] - start, places[c:d] - start, own_many.tolist(), owner[e:g] - a, beyond[e:g] - start)
+        for start, own_many, a, b, c, d, e, g in zip(starts, many, r[:-1], r[1:], p[:-1], p[1:], q[:-1], q[1:], strict=True)
+    ]
+
+
+def slopes(s: np.ndarray, turns: np.ndarray) -> np.ndarray:
+    """Derivative of -log p of each turn by its sum s, which is overwritten."""
+    s *= turns
+    np.exp(np.minimum(s, 60, out=s), out=s)
+    s += 1
+    return np.divide(turns, np.negative(s, out=s), out=s)
+
+
+_KINDS = ("in", "out", "mix")
 
 
 class WindowNetwork:
     """p(word | words on both sides): embeddings weighed by place, one hidden layer, hierarchical softmax.
 
     p["in"]: embeddings of all leaves and the padding; p["out"]: inner nodes, the last column is the bias;
-    p["mix"]: weights of the places, the last row is the bias. All have EMBED + 1 columns.
+    p["mix"]: weights of the places, the last row is the bias. All have EMBED + 1 columns and are parts of
+    one array, rows, so that a batch moves all it met at once; its end, the top's nodes and the mix, moves whole.
     """
 
     def __init__(self, counts: np.ndarray, seed: int = 11):
@@ -172,94 +244,157 @@ class WindowNetwork:
         self.padding = leaves
         # a path's nodes grow heavier towards the root, so those of the top are its end
         self.first = max(0, len(odds) - TOP)
-        length = np.diff(self.starts)
-        owner = np.repeat(np.arange(leaves), length)
-        over = self.nodes >= self.first
-        self.deep = length - np.bincount(owner[over], minlength=leaves)
-        self.met = length - self.deep
-        self.code = np.zeros((leaves, len(odds) - self.first), np.int8)
-        self.code[owner[over], self.nodes[over] - self.first] = self.turns[over]
-        self.p = {
-            "in": np.zeros((leaves + 1, EMBED + 1), np.float32),
-            "out": np.zeros((len(odds), EMBED + 1), np.float32),
-            "mix": np.zeros((2 * RADIUS + 1, EMBED + 1), np.float32),
-        }
+        self.length = np.diff(self.starts)
+        self.deep = self.length - np.bincount(np.repeat(np.arange(leaves), self.length)[self.nodes >= self.first], minlength=leaves)
+        self.rows = np.zeros((leaves + 1 + len(odds) + 2 * RADIUS + 1, EMBED + 1), np.float32)
+        self.growths = np.full(len(self.rows), 1e-3, np.float32)
+        self.name_parts()
         self.p["in"][:, :EMBED] = rng.standard_normal((leaves + 1, EMBED)) * 0.5
         self.p["out"][:, EMBED] = odds
         self.p["mix"][: 2 * RADIUS, :EMBED] = 1 / np.sqrt(2 * RADIUS) + 0.1 * rng.standard_normal((2 * RADIUS, EMBED))
-        self.grown = {k: np.full(len(v), 1e-3, np.float32) for k, v in self.p.items()}
 
-    def hidden(self, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = self.p["in"].take(sides, axis=0)[:, :, :EMBED]
-        mix = self.p["mix"][:, :EMBED]
-        return x, np.tanh(np.einsum("bkd,kd->bd", x, mix[:-1]) + mix[-1])
+    def name_parts(self) -> None:
+        """p and grown: what belongs to the embeddings, the nodes and the mix."""
+        cut = self.padding + 1, len(self.rows) - 2 * RADIUS - 1
+        self.wholes = self.rows.view(np.dtype((np.void, self.rows.strides[0]))).ravel()
+        self.p, self.grown = (dict(zip(_KINDS, np.split(v, cut), strict=True)) for v in (self.rows, self.growths))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("p", "grown", "wholes")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.name_parts()
 
-    def turns_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Which word, node and turn each step of the words' paths below the top is."""
-        n = self.deep[words]
-        row = np.repeat(np.arange(len(words)), n)
-        at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + self.starts[words][row]
-        return row, self.nodes[at], self.turns[at]
+    def copied(self) -> WindowNetwork:
+        out = WindowNetwork.__new__(WindowNetwork)
+        out.__setstate__(self.__getstate__() | {"rows": self.rows.copy(), "growths": self.growths.copy()})
+        return out
+
+    def hidden(self, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Embeddings of the sides, and the hidden layer, whose last column is 1 for the bias."""
+        x = self.p["in"].take(sides, axis=0)
+        mix = self.p["mix"]
+        h = np.einsum("bkd,kd->bd", x, mix[:-1])
+        h += mix[-1]
+        np.tanh(h, out=h)
+        h[:, EMBED] = 1
+        return x, h
 
     def log_p(self, sides: np.ndarray, words: np.ndarray) -> np.ndarray:
         """log p of each word given its sides."""
         out = np.zeros(len(words))
         if not len(self.nodes):
             return out
-        top = self.p["out"][self.first :]
+        out_of, top = self.p["out"], self.p["out"][self.first :]
         for a in range(0, len(words), STEP):
             own = words[a : a + STEP]
             _, h = self.hidden(sides[a : a + STEP])
-            h1 = np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1)  # the bias's column
-            turn = self.code.take(own, axis=0).astype(np.float32)
-            s = h1 @ top.T
-            s *= turn
-            np.clip(s, -60, 60, out=s)
-            np.exp(np.negative(s, out=s), out=s)
+            run, at = _runs(self.length.take(own))
+            start = np.flatnonzero(at == 0)
+            at += self.starts.take(own).take(run)
+            node = self.nodes.take(at)
+            under, over = np.flatnonzero(node < self.first), np.flatnonzero(node >= self.first)
+            s = np.empty(len(run), np.float32)
+            s[over] = (h @ top.T).ravel().take(run.take(over) * len(top) + node.take(over) - self.first)
+            s[under] = (out_of.take(node.take(under), axis=0) * h.take(run.take(under), axis=0)) @ np.ones(EMBED + 1, np.float32)
+            s *= self.turns.take(at)
+            np.exp(-np.clip(s, -60, 60, out=s), out=s)
             s += 1
-            # a node off the path has turn 0, which log 2 makes up for
-            total = np.log(s, out=s).sum(axis=1, dtype=np.float64) - np.log(2) * (s.shape[1] - self.met[own])
-            row, node, turn = self.turns_of(own)
-            s = np.clip(np.einsum("pd,pd->p", self.p["out"].take(node, axis=0), np.repeat(h1, self.deep[own], axis=0)) * turn, -60, 60)
-            out[a : a + STEP] = -total - np.bincount(row, weights=np.log(1 + np.exp(-s)), minlength=len(own))
+            out[a : a + STEP] = -np.add.reduceat(np.log(s, out=s), start, dtype=np.float64)
         return out
 
-    def gradients(self, sides: np.ndarray, words: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Rows, gradient sums and touches of each parameter for the cross-entropy summed over a batch."""
+    def batches(self, sides: np.ndarray, words: np.ndarray) -> Iterator[tuple]:
+        """Batches of BATCH words with all that does not depend on the parameters, which is made for many batches at once.
+
+        In each the words with the longest paths below the top come first, so that the k-th steps of all that have one are side by side.
+        """
+        groups, tops = -(-len(words) // BATCH), len(self.p["out"]) - self.first
+        group = np.arange(len(words)) // BATCH
+        deep = self.deep.take(words)
+        depth = int(deep.max(initial=0)) + 1
+        by = np.argsort(_narrow((group + 1) * depth - 1 - deep, groups * depth), kind="stable")
+        sides, words = sides.take(by, axis=0), words.take(by)
+        run, at, many = _side_by_side(deep.take(by), group, groups)
+        at += self.starts.take(words).take(run)
+        node, turn = self.nodes.take(at) + (self.padding + 1), self.turns.take(at)
+        run -= group.take(run) * BATCH
+        # steps through the top, as places in a table of a batch's words by the top's nodes
+        deep, length = deep.take(by), self.length.take(words)
+        high = np.repeat(np.arange(len(words)), length - deep)
+        at = np.arange(len(high)) + np.repeat(self.starts.take(words) + length - np.cumsum(length - deep), length - deep)
+        cell = high * tops + self.nodes.take(at) - self.first
+        turned, whose = self.turns.take(at), group.take(high)
+        met = np.bincount(cell % tops + whose * tops, minlength=groups * tops).reshape(groups, tops)
+        p, q = (np.r_[0, np.cumsum(n)] for n in (many.sum(axis=1), np.bincount(whose, minlength=groups)))
+        own = [slice(k * BATCH, (k + 1) * BATCH) for k in range(groups)]
+        rows = np.concatenate([v for k in range(groups) for v in (node[p[k] : p[k + 1]], sides[own[k]].ravel())])
+        sums = sums_of(rows, np.diff(p) + 2 * RADIUS * np.bincount(group), self.padding + 1 + self.first)
+        for k in range(groups):
+            a, b, c, d = *p[k : k + 2], *q[k : k + 2]
+            yield sides[own[k]], many[k].tolist(), run[a:b], node[a:b], cell[c:d] - k * BATCH * tops, np.concatenate([turn[a:b], turned[c:d]]), met[k], sums[k]
+
+    def slope(self, sides: np.ndarray, many: list[int], run: np.ndarray, node: np.ndarray, cell: np.ndarray, turn: np.ndarray, met: np.ndarray, sums: Sums) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Gradient of the cross-entropy summed over one of the batches: that of the rows of sums, that of the end, and how often each row of the end was met."""
         x, h = self.hidden(sides)
-        top = self.p["out"][self.first :]
-        turn = self.code[words].astype(np.float32)
-        g = -turn / (1 + np.exp(np.clip(turn * (h @ top[:, :EMBED].T + top[:, EMBED]), -60, 60)))
-        dh = g @ top[:, :EMBED]
-        met = np.count_nonzero(turn, axis=0)
-        rows = np.flatnonzero(met)
-        parts = [(rows + self.first, np.concatenate([g.T @ h, g.sum(axis=0)[:, None]], axis=1)[rows], met[rows])]
-        row, node, turn = self.turns_of(words)
-        if len(row):
-            own, hr = self.p["out"].take(node, axis=0), np.repeat(h, self.deep[words], axis=0)
-            s = np.einsum("pd,pd->p", own[:, :EMBED], hr) + own[:, EMBED]
-            g = -turn / (1 + np.exp(np.clip(turn * s, -60, 60)))
-            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            dh[row[first]] += np.add.reduceat(g[:, None] * own[:, :EMBED], first, axis=0)
-            parts.append(_summed_rows(node, np.concatenate([g[:, None] * hr, g[:, None]], axis=1)))
-        dz = dh * (1 - h * h)
-        mix = self.p["mix"][:-1, :EMBED]
-        dmix = np.concatenate([np.einsum("bkd,bd->kd", x, dz), dz.sum(axis=0)[None]])
-        dx = np.zeros((sides.size, EMBED + 1), np.float32)
-        dx[:, :EMBED] = (dz[:, None, :] * mix[None]).reshape(-1, EMBED)
-        places = np.arange(len(dmix))
-        out = tuple(np.concatenate(p) for p in zip(*parts, strict=True))
-        return {"out": out, "in": _summed_rows(sides.ravel(), dx), "mix": (places, np.pad(dmix, ((0, 0), (0, 1))), np.full(len(places), len(words)))}
-
-    def learn(self, sides: np.ndarray, words: np.ndarray, touched: dict[str, np.ndarray] | None = None) -> None:
-        """One step a batch, scaled by what each row has moved before; adds how often each row was met to touched."""
-        for a in range(0, len(words) if len(self.nodes) else 0, BATCH):
-            for k, (rows, g, n) in self.gradients(sides[a : a + BATCH], words[a : a + BATCH]).items():
-                g = g / np.sqrt(n, dtype=np.float32)[:, None]  # a row met often in a batch has many steps' worth of gradient
-                self.grown[k][rows] += (g * g).mean(axis=1)
-                self.p[k][rows] -= (RATE / np.sqrt(self.grown[k][rows]))[:, None] * g
-                if touched is not None:
-                    touched[k][rows] += n
+        top, mix = self.p["out"][self.first :], self.p["mix"]
+        own, hr = self.rows.take(node, axis=0), h.take(run, axis=0)
+        s = np.empty(len(turn), np.float32)
+        values = np.empty((len(node) + sides.size, EMBED + 1), np.float32)
+        np.multiply(own, hr, out=values[: len(node)])
+        np.matmul(values[: len(node)], np.ones(EMBED + 1, np.float32), out=s[: len(node)])  # faster than einsum for short rows
+        s[len(node) :] = (h @ top.T).ravel().take(cell)
+        slopes(s, turn)
+        g = np.zeros((len(sides), len(top)), np.float32)
+        g.ravel()[cell] = s[len(node) :]
+        dh = g @ top
+        end = np.empty((len(top) + len(mix), EMBED + 1), np.float32)
+        np.matmul(g.T, h, out=end[: len(top)])
+        g = s[: len(node), None]
+        own *= g
+        np.multiply(hr, g, out=values[: len(node)])
+        a = 0
+        for m in many:
+            dh[:m] += own[a : a + m]
+            a += m
+        dh *= 1 - h * h  # 0 in the bias's column
+        np.einsum("bkd,bd->kd", x, dh, out=end[len(top) : -1])
+        np.matmul(np.ones(len(dh), np.float32), dh, out=end[-1])
+        np.einsum("bd,kd->bkd", dh, mix[:-1], out=values[len(node) :].reshape(x.shape))
+        return sums.of(values), end, np.append(met, np.full(len(mix), len(sides))).astype(np.float32)
+
+    def gradients(self, sides: np.ndarray, words: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows, gradient sums and touches of each parameter for the cross-entropy summed over one batch."""
+        batch = next(self.batches(sides, words))
+        g, end, met = self.slope(*batch)
+        rows = np.concatenate([batch[-1].rows, np.arange(len(self.rows) - len(end), len(self.rows))])
+        g, n = np.concatenate([g, end]), np.concatenate([batch[-1].n, met])
+        firsts = np.cumsum([0, *(len(v) for v in self.p.values())])
+        own = {k: (rows >= a) & (rows < b) for k, a, b in zip(self.p, firsts[:-1], firsts[1:], strict=True)}
+        return {k: (rows[v] - a, g[v], n[v]) for (k, v), a in zip(own.items(), firsts, strict=False)}
+
+    def learn(self, sides: np.ndarray, words: np.ndarray) -> None:
+        """One step a batch, scaled by what each row has moved before."""
+        for a in range(0, len(words) if len(self.nodes) else 0, TOGETHER * BATCH):
+            for batch in self.batches(sides[a : a + TOGETHER * BATCH], words[a : a + TOGETHER * BATCH]):
+                g, end, met = self.slope(*batch)
+                rows, tail = batch[-1].rows, slice(len(self.rows) - len(end), None)
+                g *= self.rate(self.growths.take(rows), rows, g, batch[-1].n)
+                np.subtract(self.rows.take(rows, axis=0), g, out=g)
+                self.wholes[rows] = g.view(self.wholes.dtype).ravel()
+                # a node of the top that no word met has no gradient
+                self.rows[tail] -= end * self.rate(self.growths[tail], tail, end, np.maximum(met, 1))
+
+    def rate(self, grown: np.ndarray, rows: np.ndarray | slice, g: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """What a step takes of each row's gradient: a row met often in a batch has many steps' worth, which the root of n makes up for."""
+        grown = grown + np.square(g) @ np.full(EMBED + 1, 1 / (EMBED + 1), np.float32) / n
+        self.growths[rows] = grown
+        return (RATE / np.sqrt(grown * n))[:, None]
+
+    def met(self, words: np.ndarray, sides: np.ndarray) -> dict[str, np.ndarray]:
+        """How often training met each row, of how often it met each leaf as the word and on the sides."""
+        nodes = np.bincount(self.nodes, weights=np.repeat(words, self.length), minlength=len(self.p["out"]))
+        return {"in": sides, "out": nodes, "mix": np.full(len(self.p["mix"]), words.sum())}
 
 
 class Model:
@@ -269,9 +404,6 @@ class Model:
         self.head, self.network, self.words, self.mass = head, network, words, mass
 
 
-_KINDS = ("in", "out", "mix")
-
-
 def one_pass(texts: DataFrame, head: np.ndarray, network: WindowNetwork) -> None:
     """Train on the windows of all texts (one in EVERY), each task from the same parameters, and move those by the weighed means."""
     shared = texts.sparkSession.sparkContext.broadcast((head, network))
@@ -279,16 +411,19 @@ def one_pass(texts: DataFrame, head: np.ndarray, network: WindowNetwork) -> None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         head, start = shared.value
-        own = WindowNetwork.__new__(WindowNetwork)
-        own.__dict__.update(start.__dict__ | {k: {n: v.copy() for n, v in getattr(start, k).items()} for k in ("p", "grown")})
-        touched = {k: np.zeros(len(v)) for k, v in own.p.items()}
+        own = start.copied()
+        met, beside = np.zeros(own.padding), np.zeros(own.padding + 1)
         for pdf in batches:
             raw = encode(pdf["text"])
             for a, b in _steps(raw):
                 words, counts = buckets(raw[a:b])
                 ids = leaves(words, head)
                 order = np.random.default_rng(len(ids)).permutation(len(ids))[::EVERY]
-                own.learn(windows(ids, counts, own.padding)[order], ids[order], touched)
+                sides, ids = windows(ids, counts, own.padding)[order], ids[order]
+                own.learn(sides, ids)
+                met += np.bincount(ids, minlength=len(met))
+                beside += np.bincount(sides.ravel(), minlength=len(beside))
+        touched = own.met(met, beside)
         for kind, k in enumerate(_KINDS):
             rows = np.flatnonzero(touched[k])
             moved = (own.p[k][rows] - start.p[k][rows]) * touched[k][rows, None]
@@ -342,9 +477,9 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     rows = docs.select(id_text(id_col), F.col(text_col).cast("string").alias("text"))
     rows = rows.mapInPandas(run, "id string, n_tokens long, seen double, rare array<long>")
     rows = stored(rows.select(F.monotonically_increasing_id().alias("uid"), "*"), "scored")
-    # the words past the head: each text's distinct ones meet their counts in the table
-    rare = rows.where(F.size("rare") > 0).select("uid", F.explode("rare").alias("h")).groupBy("uid", "h").agg(F.count(F.lit(1)).alias("k"))
-    logp = F.col("k") * F.log((F.coalesce("n", F.lit(0)) + F.lit(SMOOTH)) / F.lit(float(model.mass)))
+    # the words past the head meet their counts in the table
+    rare = rows.where(F.size("rare") > 0).select("uid", F.explode("rare").alias("h"))
+    logp = F.log((F.coalesce("n", F.lit(0)) + F.lit(SMOOTH)) / F.lit(float(model.mass)))
     rare = rare.join(model.words, "h", "left").groupBy("uid").agg(F.sum(logp).alias("rest"))
     out = rows.drop("rare").join(rare, "uid", "left").withColumn("log_prob", F.col("seen") + F.coalesce("rest", F.lit(0.0)))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import itertools
+import pickle
 import random
 import re
 import zlib
@@ -707,6 +708,65 @@ def test_lm_learns_from_every_window(spark):
     assert all(np.allclose(trained.p[k], plain.p[k], atol=1e-4) for k in plain.p)
 
 
+@pytest.mark.parametrize("most", [40, 1 << 17])
+def test_lm_sums_of_many_batches_match_plain_addition(most):
+    rng = np.random.default_rng(4)
+    sizes = np.array([60, 1, 45])
+    rows = np.minimum(rng.zipf(1.3, sizes.sum()), 40) - 1
+    values = rng.standard_normal((len(rows), 3)).astype(np.float32)
+    for own, a, n in zip(masked_lm.sums_of(rows, sizes, most), np.cumsum(sizes) - sizes, sizes, strict=True):
+        plain, times = np.zeros((40, 3)), np.zeros(40)
+        np.add.at(plain, rows[a : a + n], values[a : a + n])
+        np.add.at(times, rows[a : a + n], 1)
+        assert sorted(own.rows) == np.flatnonzero(times).tolist() and (own.n == times[own.rows]).all()
+        assert np.allclose(own.of(values[a : a + n]), plain[own.rows], atol=1e-5)
+
+
+@pytest.mark.parametrize("top", [2, 64])
+def test_lm_learning_in_laid_out_batches_matches_a_plain_loop(monkeypatch, top):
+    """Batches laid out together, of which the last is short, move every row as a loop over words and turns does."""
+    for name, value in (("TOP", top), ("BATCH", 16), ("TOGETHER", 3), ("OFTEN", 2)):
+        monkeypatch.setattr(masked_lm, name, value)
+    rng = np.random.default_rng(5)
+    net = pickle.loads(pickle.dumps(masked_lm.WindowNetwork(np.arange(1.0, 13.0) ** 2)))
+    net.p["out"][:, : masked_lm.EMBED] = rng.standard_normal((11, masked_lm.EMBED)) / 3
+    plain, grown = ({k: v.astype(float) for k, v in own.items()} for own in (net.p, net.grown))
+    sides, found = rng.integers(0, 13, (120, 4)), rng.integers(0, 12, 120)
+    for a in range(0, 120, 16):
+        g, n = {k: np.zeros_like(v) for k, v in plain.items()}, {k: np.zeros(len(v)) for k, v in plain.items()}
+        for side, word in zip(sides[a : a + 16], found[a : a + 16], strict=True):
+            h = np.tanh((plain["in"][side] * plain["mix"][:4]).sum(axis=0) + plain["mix"][4])
+            h[-1] = 1
+            dh = np.zeros_like(h)
+            for step in range(net.starts[word], net.starts[word + 1]):
+                node, turn = net.nodes[step], net.turns[step]
+                d = -turn / (1 + np.exp(turn * (plain["out"][node] @ h)))
+                dh += d * plain["out"][node]
+                g["out"][node] += d * h
+                n["out"][node] += 1
+            dz = dh * (1 - h * h)
+            for place, row in enumerate(side):
+                g["in"][row] += dz * plain["mix"][place]
+                n["in"][row] += 1
+                g["mix"][place] += dz * plain["in"][row]
+            g["mix"][4] += dz
+            n["mix"] += 1
+        for k in plain:
+            met = n[k] > 0
+            step = g[k][met] / np.sqrt(n[k][met])[:, None]
+            grown[k][met] += (step * step).mean(axis=1)
+            plain[k][met] -= masked_lm.RATE / np.sqrt(grown[k][met])[:, None] * step
+    net.learn(sides, found)
+    assert all(np.allclose(net.p[k], plain[k], atol=1e-3) and np.allclose(net.grown[k], grown[k], rtol=1e-3) for k in plain)
+
+
+def test_lm_words_past_the_head_are_not_shuffled_to_be_counted(spark, monkeypatch):
+    monkeypatch.setattr(masked_lm, "HEAD", 1)
+    docs = documents(spark, [(1, "a a a b b c"), (2, "c c d")])
+    scored = masked_lm.score_documents(docs, masked_lm.train(docs))
+    assert "hashpartitioning(uid#" in (plan := scored._jdf.queryExecution().executedPlan().toString()) and not re.search(r"hashpartitioning\(uid#\d+L, h#", plan)
+
+
 def test_lm_windows_stay_within_their_text():
     sides = masked_lm.windows(np.array([1, 2, 3], dtype=np.int32), np.array([2, 0, 1]), 9)
     assert sides.tolist() == [[9, 9, 2, 9], [9, 1, 9, 9], [9, 9, 9, 9]]
