@@ -54,6 +54,8 @@ BATCH, RATE = 512, 0.15
 #: Heaviest nodes of the tree, which most paths end in: their turns are made for whole batches at once.
 TOP = 64
 SMOOTH = 0.5
+#: First bits of a name by which it is looked up in the head.
+LOOKUP = 18
 #: Batches that are laid out together, and values of a row that are added one by one in a batch.
 TOGETHER, OFTEN = 8, 8
 #: Words that one vectorised step of scoring takes.
@@ -66,12 +68,20 @@ def buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes.view(np.int64), counts
 
 
-def leaves(words: np.ndarray, head: np.ndarray) -> np.ndarray:
+def lookup(head: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """For the sorted head: its names with an end, where names that begin with each LOOKUP bits start, and how many of those there are at most."""
+    edges = np.arange(-(1 << LOOKUP - 1), 1 << LOOKUP - 1, dtype=np.int64) << 64 - LOOKUP
+    start = np.searchsorted(head, edges)
+    return np.append(head, np.iinfo(np.int64).max), start.astype(np.int32), int(np.diff(np.append(start, len(head))).max())
+
+
+def leaves(words: np.ndarray, head: np.ndarray, table: tuple[np.ndarray, np.ndarray, int] | None = None) -> np.ndarray:
     """Place of each word in the sorted head; len(head) for all others."""
-    if not len(head):
-        return np.zeros(len(words), dtype=np.int32)
-    at = np.minimum(np.searchsorted(head, words), len(head) - 1)
-    return np.where(head[at] == words, at, len(head)).astype(np.int32)
+    names, start, most = table or lookup(head)
+    at = start.take((words >> 64 - LOOKUP) + (1 << LOOKUP - 1))
+    for _ in range(most):
+        at += names.take(at) < words
+    return np.where(names.take(at) == words, at, len(head)).astype(np.int32)
 
 
 def _summed(h: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -411,13 +421,13 @@ def one_pass(texts: DataFrame, head: np.ndarray, network: WindowNetwork) -> None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         head, start = shared.value
-        own = start.copied()
+        own, table = start.copied(), lookup(head)
         met, beside = np.zeros(own.padding), np.zeros(own.padding + 1)
         for pdf in batches:
             raw = encode(pdf["text"])
             for a, b in _steps(raw):
                 words, counts = buckets(raw[a:b])
-                ids = leaves(words, head)
+                ids = leaves(words, head, table)
                 order = np.random.default_rng(len(ids)).permutation(len(ids))[::EVERY]
                 sides, ids = windows(ids, counts, own.padding)[order], ids[order]
                 own.learn(sides, ids)
@@ -462,11 +472,12 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         head, network = shared.value
+        table = lookup(head)
         for pdf in batches:
             raw = encode(pdf["text"])
             for a, b in _steps(raw):
                 words, n = buckets(raw[a:b])
-                ids = leaves(words, head)
+                ids = leaves(words, head, table)
                 logp = network.log_p(windows(ids, n, network.padding), ids)
                 past = ids == len(head)
                 sums, others = np.concatenate([[0.0], np.cumsum(logp)]), np.concatenate([[0], np.cumsum(past)])

@@ -708,6 +708,18 @@ def test_lm_learns_from_every_window(spark):
     assert all(np.allclose(trained.p[k], plain.p[k], atol=1e-4) for k in plain.p)
 
 
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_lm_words_are_looked_up_by_their_first_bits(n):
+    """Names at both ends, and many that begin alike."""
+    rng = np.random.default_rng(6)
+    ends = np.array([-(2**63), -1, 0, 2**63 - 1])
+    head = np.unique(np.concatenate([ends, rng.integers(-(2**63), 2**63 - 1, 5000), np.arange(40)]))[:n]
+    found = np.concatenate([ends, head, head + 1, rng.integers(-(2**63), 2**63 - 1, 1000), np.arange(50)])
+    place = {int(w): k for k, w in enumerate(head)}
+    want = [place.get(int(w), len(head)) for w in found]
+    assert masked_lm.leaves(found, head).tolist() == masked_lm.leaves(found, head, masked_lm.lookup(head)).tolist() == want
+
+
 @pytest.mark.parametrize("most", [40, 1 << 17])
 def test_lm_sums_of_many_batches_match_plain_addition(most):
     rng = np.random.default_rng(4)
